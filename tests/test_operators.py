@@ -1,0 +1,165 @@
+"""Edge values and laws that the tables do not reach."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from setwise.functions.integers import order_key_of_double, unsigned64_key
+from setwise.operators import algebra as A
+from setwise.operators import indexes as I
+from setwise.operators import layout as L
+from setwise.operators import order as O
+from setwise.operators import statistics as S
+from setwise.sources import portable
+from setwise.sources import sets as SRC
+from setwise.streaming import builder
+
+
+def make(spark, values, name="s"):
+    return spark.createDataFrame([(name, int(v)) for v in values], "set_id string, v long")
+
+
+def values(df, column="v"):
+    return sorted(r[column] for r in df.collect())
+
+
+EDGES = [0, 1, 2, 63, 64, 32768, 65535, 65536, 65537, 2**31 - 1, 2**31, 2**32 - 1]
+
+
+def test_worked_example(spark):
+    a, b = make(spark, [1, 2, 3, 1000]), make(spark, range(4000, 4255))
+    assert values(O.select(a, 3)) == [1000]
+    assert O.rank_of(a, 2).first()["rank"] == 2
+    assert not A.intersects_range(a, 7, 8).first()[0]
+    assert A.union(a, b).count() == 259
+
+
+def test_layouts_keep_edges(spark):
+    a = make(spark, EDGES)
+    assert values(L.from_words(L.to_words(a))) == EDGES
+    assert L.packed_cardinality(L.to_packed(a)).first()["card"] == len(EDGES)
+
+
+def test_wide_and_counts_empty_sets(spark):
+    sets = make(spark, [1, 2], "a").union(make(spark, [2, 3], "b"))
+    assert values(A.wide_and(sets, 2)) == [2]
+    assert values(A.wide_and(sets, 3)) == []
+    assert values(A.wide_and(sets.limit(0), 0)) == []
+    words = L.word_algebra(L.to_words(sets), "and", 3)
+    assert words.count() == 0
+
+
+def test_empty_ranges_and_sets(spark):
+    a, none = make(spark, [5]), make(spark, [])
+    assert A.contains_range(a, 6, 6).first()[0] is False
+    assert A.contains_set(a, none).first()[0] is True
+    assert A.intersects(a, none).first()[0] is False
+    assert values(A.value_range(spark, 9, 3)) == []
+    with pytest.raises(ValueError):
+        A.value_range(spark, -1, 3)
+
+
+def test_shift_drops_what_leaves(spark):
+    a = make(spark, EDGES)
+    assert values(A.shift(a, 65536)) == [v + 65536 for v in EDGES if v + 65536 < 2**32]
+    assert values(A.shift(a, -65536)) == [v - 65536 for v in EDGES if v >= 65536]
+
+
+def test_rank_select_and_runs_across_chunks(spark):
+    a = make(spark, EDGES)
+    assert [r["rank"] for r in O.ranked(a).orderBy("v").collect()] == list(range(1, len(EDGES) + 1))
+    assert [(r["start"], r["end"]) for r in O.runs(a).orderBy("start").collect()] == [(0, 2), (63, 64), (32768, 32768), (65535, 65537), (2**31 - 1, 2**31), (2**32 - 1, 2**32 - 1)]
+    n = O.absent_neighbours(a, 65536).first()
+    assert (n["next_absent"], n["previous_absent"]) == (65538, 65534)
+    assert O.absent_neighbours(a, 2**32 - 1).first()["next_absent"] == -1
+    assert O.absent_neighbours(a, 1).first()["previous_absent"] == -1
+
+
+def test_or_not_keeps_what_lies_above(spark):
+    a, b = make(spark, [1, 500]), make(spark, [1, 3])
+    assert values(A.or_not(a, b, 5)) == [0, 1, 2, 4, 500]
+
+
+def test_index_domain_merge_and_ties(spark):
+    i = spark.createDataFrame([(0, 0), (1, 6), (2, 1), (3, 7), (4, 0), (5, 9), (6, 9), (7, 8), (8, 9), (9, 8)], "col_id long, val long")
+    assert values(I.top_k(i, 4), "col_id") == [5, 6, 8, 9] == values(I.sliced_top_k(i, 4, 4), "col_id")
+    assert values(I.top_k(i, 0), "col_id") == []
+    with pytest.raises(PySparkException):
+        I.merge(i, i).collect()
+    with pytest.raises(PySparkException):
+        I.check_domain(i, 3).collect()
+    assert I.total(i, spark.range(5, 20).select(F.col("id").alias("col_id"))).first().asDict() == {"total": 43, "n": 15}
+
+
+def test_unsigned_extremes(spark):
+    i = spark.createDataFrame([(0, 0), (1, -(2**63)), (2, -1)], "rid long, val long")
+    assert values(I.compare_unsigned(i, "gt", -1), "rid") == []
+    assert values(I.compare_unsigned(i, "lte", -2), "rid") == [0, 1]
+    assert values(I.compare_unsigned(i, "gte", -(2**63)), "rid") == [1, 2]
+
+
+def test_double_order(spark):
+    x = [-1e300, -2.5, -1.0, -1e-300, 0.0, 1e-300, 0.1, 1.0, 1.5, 2.0, 3.0, 1e16, 1e300]
+    got = spark.createDataFrame([(v,) for v in x], "x double").orderBy(unsigned64_key(order_key_of_double(F.col("x"))))
+    assert [r[0] for r in got.collect()] == x
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=60), st.integers(0, 2**32 - 70000), st.integers(0, 70000))
+def test_portable_round_trip(some, start, length):
+    want = np.unique(np.array([*some, *range(start, start + length)], np.int64))
+    data = portable.encode(want)
+    got, size = portable.decode(data)
+    assert size == len(data) and (got == want).all() and portable.valid(data)
+    assert len(data) <= S.size_bound(len(want), 2**32) + 64
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=40))
+def test_64_bit_round_trips(some):
+    want = sorted({v % 2**64 for v in some})
+    for encode, decode in ((portable.encode64, portable.decode64), (portable.encode64_legacy, portable.decode64_legacy)):
+        assert [int(v) % 2**64 for v in decode(encode(some))] == want
+
+
+def test_bad_bytes():
+    good = portable.encode([1, 2, 3, 70000])
+    for data in (b"", b"\x3b\x30", b"\x3a\x30\x00\x00\xff\xff\xff\xff", good[:-1], b"\x00" * 12, b"\x3b\x30\xff\xff"):
+        with pytest.raises(portable.FormatError):
+            portable.decode(data)
+    assert not portable.valid(good + b"x") and not portable.valid(None)
+
+
+def test_index_format():
+    assert portable.decode_index(portable.encode_index([1, 5, 9], [0, 6, 7])) == {1: 0, 5: 6, 9: 7}
+
+
+def test_size_formula_is_the_writers(spark):
+    rng = np.random.default_rng(1)
+    sets = make(spark, np.unique(rng.integers(0, 300_000, 9000)), "a").union(make(spark, range(100, 90_000), "b")).union(make(spark, np.unique(rng.integers(0, 65536, 30000)), "c"))
+    said = {r["set_id"]: r["bytes"] for r in S.portable_size(sets).collect()}
+    assert said == {r["set_id"]: len(r["data"]) for r in SRC.encode(sets).collect()}
+
+
+def test_zip_and_bitset_limits(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.txt", "1,5,9\n")
+        z.writestr("two.txt", "2")
+    got = SRC.parse_text(SRC.read_zipped_text(spark, str(tmp_path / "a.zip")), "line")
+    assert sorted(map(tuple, got.collect())) == [("one.txt", 1), ("one.txt", 5), ("one.txt", 9), ("two.txt", 2)]
+    with pytest.raises(PySparkException):
+        SRC.to_bitset(make(spark, [2**31])).collect()
+
+
+def test_streamed_words(spark, tmp_path):
+    make(spark, [1, 64, 64, 65536]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("set_id string, v long").parquet(str(tmp_path / "in"))
+    q = builder.growing_words(stream).writeStream.outputMode("complete").format("memory").queryName("words").start()
+    q.processAllAvailable()
+    q.stop()
+    assert values(L.from_words(spark.table("words"))) == [1, 64, 65536]
