@@ -59,12 +59,12 @@ NAMES = (
     ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
     ("postgresql", "postgresql", "postgresql licen[cs]e", "postgresql"),
     ("python-2.0", "python", "python software foundation license|python license", "psf 2 0"),
-    ("ofl-1.1", "open font", "(sil )?open font license( (version )?1 1)?", "ofl 1 1"),
+    ("ofl-1.1", "font license", "(sil )?open font license( (version )?1 1)?", "ofl 1 1"),
     ("odbl-1.0", "odbl", "odbl( 1 0)?", "odbl 1 0"),
     ("pddl-1.0", "public domain", "public domain dedication and license", "pddl 1 0"),
     ("ms-pl", "microsoft", "microsoft public license", "ms pl"),
     ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
-    ("vim", "vim", "vim license", "vim"),
+    ("vim", "vim license", "vim license", "vim"),
     ("ncsa", "ncsa", "(university of illinois )?ncsa( open source license)?", "ncsa"),
     ("afl-3.0", "academic", "academic free license( (version )?3 0)?", "afl 3 0"),
     ("osl-3.0", "open software", "open software license( (version )?3 0)?", "osl 3 0"),
@@ -111,6 +111,14 @@ PHRASES = (
     ("permission", "permission", "(used|reprinted|reproduced) (with|by) permission", 1, 0.5),
     ("fair-use", "fair use", "fair use", 1, 0.3),
 )
+#: One of these stands in every text that a rule or a base phrase can match: verbs of a grant, and parts of all other rules' keywords.
+GRANTS = ("licensed", "released", "distributed", "published", "available", "provided", "covered")
+GATE = (
+    "licen", *GRANTS[1:], "rights", "copyright", "public", "permission", "spdx", "warrant", "proprietary", "reproduc", "unencumbered", "redistribut", "endorse",
+    "creative", "cc", "fair", "apache", "bsd", "gpl", "mpl", "epl", "cddl", "eupl", "artistic", "boost", "zlib", "wtfpl", "postgresql", "python", "odbl",
+    "cecill", "database", "microsoft", "ncsa", "academic", "software", "documentation", "elastic", "server", "business", "union", "lesser", "affero", "mozilla", "eclipse",
+    "hereby", "implied",
+)
 CC_KINDS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
 CC_LONG = {"by": "attribution", "sa": "share ?alike", "nd": "no ?derivat(ive)?s?( works)?", "nc": "non ?commercial"}
 
@@ -118,11 +126,11 @@ CC_LONG = {"by": "attribution", "sa": "share ?alike", "nd": "no ?derivat(ive)?s?
 def rules() -> list[tuple[str, str, str, int, float]]:
     """label, keyword, pattern, priority, weight: each name alone (2), after a grant (3), as an SPDX tag (4) and as `X license` (3)."""
     out = []
-    grant = "(licensed|released|distributed|published|available|provided|covered)( to you)? under (the )?(terms (and conditions )?of )?(the )?(an? )?"
+    grant = f"({'|'.join(GRANTS)})( to you)? under (the )?(terms (and conditions )?of )?(the )?(an? )?"
     for label, keyword, name, spdx in NAMES:
         if len(name) > 4 or not name.isalnum():
             out.append((label, keyword, f"({name})", 2, 0.7))
-        out.append((label, "under", f"{grant}({name})( licen[cs]e)?", 3, 0.95))
+        out.append((label, " under ", f"{grant}({name})( licen[cs]e)?", 3, 0.95))
         out.append((label, "licen", f"(the )?({name}) licen[cs]e", 3, 0.85))
         out.append((label, "spdx", f"spdx license identifier {spdx}", 4, 1.0))
     for kind in CC_KINDS:
@@ -131,7 +139,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         out.append((label, f"cc {kind}", f"cc {kind}{tail}", 2, 0.9))
         out.append((label, "creative commons", f"creative commons {longer}{tail}( licen[cs]e)?", 3, 0.95))
         out.append((label, "creativecommons", f"creativecommons org licenses {kind}( [1-4] [05])?", 4, 0.95))
-        out.append((label, "under", f"{grant}cc {kind}{tail}", 3, 1.0))
+        out.append((label, " under ", f"{grant}cc {kind}{tail}", 3, 1.0))
     return out + list(PHRASES)
 
 
@@ -174,9 +182,10 @@ def detections(texts: DataFrame, key: str = "key", form: str = "form") -> DataFr
     return outer.withColumn("beaten", beaten).where("not beaten").select(key, "label", "weight", "start", "end")
 
 
-def keywords() -> list[str]:
-    """One of these stands in every text that a rule or a base phrase can match: the rules' keywords' longest words, and the first words of the base phrases."""
-    return sorted({max(r[1].split(), key=len) for r in rules()} | {"cc", "public", "rights"})
+def gate_words() -> list[str]:
+    """The parts of GATE that are needed: those that some rule's keyword holds, grants by their verbs, and the base phrases' words."""
+    need = {r[1] for r in rules()} - {" under "}
+    return [g for g in GATE if g in GRANTS or g in ("cc", "public", "rights") or any(g in k for k in need)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -184,8 +193,9 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.regexp_count("text", F.lit(f"[^{BREAK_RAW}]+")).cast("long").alias("n_words"), text_key(F.col("text")).alias("key"))
     low = F.lower("text")
-    hit = functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in keywords()])
-    forms = rows.withColumn("form", F.when(hit, _normal(F.col("text"))).otherwise(F.lit("")))
+    hit = functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in gate_words()])
+    forms = rows.select("doc_id", "key", "n_words", F.when(hit, _normal(F.col("text"))).otherwise(F.lit("")).alias("form"))
+    forms = materialise(forms, "forms")  # whole texts are read once; few of them have a form
     n_base, heads, tails, base = F.lit(0), [], [], []
     for phrase, label in BASE:
         p = _spaced(phrase)
@@ -195,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
         tails.append(F.when(F.contains("form", F.lit(p)), F.col("n_words") - _words_in(F.substring_index("form", p, -1)) - len(phrase.split())))
         base.append(F.when(F.contains("form", F.lit(p)), F.lit(label)))
     rows_out = forms.select("doc_id", "key", "n_words", n_base.cast("long").alias("n_base"), F.least(*heads).alias("first_word"), F.greatest(*tails).alias("last_word"), F.array_sort(F.array_compact(F.array(*base))).alias("base"))
-    texts = materialise(forms.where("form <> ''").groupBy("key").agg(F.first("form").alias("form")), "forms")
+    texts = forms.where("form <> ''").groupBy("key").agg(F.first("form").alias("form"))
     found = detections(texts).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("weight").alias("score"))
     rows_out = lookup(rows_out, materialise(found, "detections"), ["key"])
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
