@@ -27,6 +27,7 @@ from setwise.llm.common import table
 
 PER_LANG, TRAIN_ROWS, TRAIN_CHARS, WORDS = 1000, 8000, 20_000, 32
 BUCKETS, DIM, GRAMS, PASSES, RATE, SEED = 1 << 14, 16, (1, 2, 3, 4), 3, 0.5, 5
+UPDATES = 400
 PRECISION, KEPT_WORDS = 0.995, 150_000
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -56,7 +57,7 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
 class Model:
     """langs, embeddings, weights, bias, temperature, threshold; plain arrays, so that it travels to the workers."""
 
-    def __init__(self, rows: list[tuple[str, str]], passes: int = PASSES):
+    def __init__(self, rows: list[tuple[str, str]], passes: int | None = None):
         rng = np.random.default_rng(SEED)
         self.langs = sorted({x[1] for x in rows})
         self.temperature, self.threshold, k = 1.0, 0.0, len(self.langs)
@@ -69,6 +70,8 @@ class Model:
         held = order[: len(rows) // 10] if len(rows) >= 50 else order[:0]
         train = order[len(held) :]
 
+        passes = passes or max(PASSES, UPDATES * 32 // len(rows))
+
         def bag(text):
             all_ = words(text)
             some = [all_[i] for i in rng.integers(0, len(all_), min(len(all_), WORDS))] if all_ else []

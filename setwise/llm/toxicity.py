@@ -29,6 +29,7 @@ from setwise.llm.language import fold
 PER_CLASS, TRAIN_CHARS = 1500, 8000
 WINDOW, STRIDE = 32, 24
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
+STEPS = 50
 KEPT_WORDS, WINDOWS = 120_000, 2048
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -53,7 +54,7 @@ def starts(n: int) -> list[int]:
 
 
 class Network:
-    """Parameters as plain arrays by name; row 0 of a vocabulary is the pad."""
+    """Parameters as plain arrays by name; entry 0 of a vocabulary is the pad, an input like any other that attention leaves out."""
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -79,7 +80,7 @@ class Network:
         """States after each word (in text order): gates holds a row for each vocabulary entry, at its numbers by window and place."""
         n, t, h = *at.shape, HIDDEN
         rec, state = self.p[f"rec_{d}"], np.zeros((n, h), np.float32)
-        out = np.empty((t, n, h), np.float32)
+        out = np.empty((t, n, h), gates.dtype)
         for k in range(t) if d == "f" else reversed(range(t)):
             a = gates[at[:, k]]
             zr = _sigmoid(a[:, : 2 * h] + state @ rec[:, : 2 * h])
@@ -126,7 +127,6 @@ class Network:
                 d_rec[:, : 2 * h] += old.T @ d_zr
                 d_rec[:, 2 * h :] += (r * old).T @ d_new
                 np.add.at(d_gates, at[:, k], np.concatenate([d_zr, d_new], 1))
-            d_gates[0] = 0
             g[f"rec_{d}"], g[f"in_{d}"], g[f"bias_{d}"] = d_rec, x.T @ d_gates, d_gates.sum(0)
             d_x += d_gates @ p[f"in_{d}"].T
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
@@ -167,7 +167,8 @@ class Network:
                 pick = np.concatenate([top, calm])
             else:
                 pick = rng.permutation(len(at))[: 4 * len(texts)]
-            pick = rng.permutation(pick)
+            # At least STEPS batches a round, however few the texts.
+            pick = np.concatenate([rng.permutation(pick) for _ in range(max(1, -(-STEPS * BATCH // len(pick))))])
             for i in range(0, len(pick), BATCH):
                 rows = pick[i : i + BATCH]
                 used, local = np.unique(np.r_[0, at[rows].ravel()], return_inverse=True)
