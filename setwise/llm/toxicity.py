@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its own hashed embedding beside the mean of its hashed character trigrams' embeddings. Windows of
+A word's input is its own hashed embedding beside the mean of its hashed character n-grams' embeddings. Windows of
 WINDOW words, a new one every STRIDE words and one at the end, cover every whole text; each runs through a gated
 recurrent unit in both directions, attention pools the states, and a logistic unit scores it. A text's score is that of
 its highest window. Training alternates: find each text's highest window, then learn from it (and from random ones).
@@ -29,7 +29,7 @@ from setwise.llm.language import fold
 PER_CLASS, TRAIN_CHARS = 1500, 8000
 WINDOW, STRIDE = 32, 24
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
-STEPS = 50
+STEPS, GRAMS = 50, (3, 4, 5)
 KEPT_WORDS, WINDOWS = 120_000, 2048
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -45,7 +45,7 @@ def words(text: str | None) -> list[str]:
 
 def _ids(word: str) -> tuple[int, list[int]]:
     marked = f"<{word}>"
-    return xxhash.xxh32_intdigest(word) % BUCKETS, [xxhash.xxh32_intdigest(marked[i : i + 3], 1) % BUCKETS for i in range(len(marked) - 2)]
+    return xxhash.xxh32_intdigest(word) % BUCKETS, [xxhash.xxh32_intdigest(marked[i : i + n], n) % BUCKETS for n in GRAMS for i in range(max(1, len(marked) - n + 1))]
 
 
 def starts(n: int) -> list[int]:
