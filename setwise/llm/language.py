@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from setwise.llm.common import table
 
 PER_LANG, TRAIN_ROWS, TRAIN_CHARS, WORDS = 1000, 8000, 20_000, 32
-BUCKETS, DIM, GRAMS, PASSES, RATE, SEED = 1 << 14, 16, (1, 2, 3, 4), 3, 0.5, 5
+BUCKETS, DIM, GRAMS, PASSES, RATE, SEED = 1 << 14, 16, (2, 3), 3, 0.5, 5
 UPDATES = 400
-PRECISION, KEPT_WORDS = 0.995, 150_000
+PRECISION, KEPT_WORDS = 0.995, 300_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -108,7 +108,7 @@ class Model:
         memo = {} if memo is None else memo
         k, found = len(self.langs), words(text)
         if "table" not in memo or memo["used"] >= KEPT_WORDS:
-            memo.update(table=np.zeros((1024, k + 1), np.float64), used=0, at={})
+            memo.update(table=np.zeros((1024, k + 1), np.float64), used=0, at={}, scores=self.embed @ self.weight)
         at, out, n = memo["at"], np.zeros(k + 1), len(found)
         for i in range(0, n, 50_000):  # a long text in parts
             part = found[i : i + 50_000]
@@ -118,7 +118,7 @@ class Model:
                         memo["table"] = np.concatenate([memo["table"], np.zeros_like(memo["table"])])
                     ids = subwords(w)
                     row = memo["table"][memo["used"]]
-                    row[:k], row[k] = self.embed[ids].sum(0) @ self.weight, len(ids)
+                    row[:k], row[k] = memo["scores"][ids].sum(0), len(ids)
                     at[w], memo["used"] = memo["used"], memo["used"] + 1
             out += memo["table"][np.fromiter(map(at.__getitem__, part), np.int64, len(part))].sum(0)
             if memo["used"] >= KEPT_WORDS:
