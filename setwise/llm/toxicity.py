@@ -31,6 +31,8 @@ WINDOW, STRIDE = 32, 24
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
 STEPS, GRAMS = 50, (3, 4, 5)
 KEPT_WORDS, WINDOWS = 120_000, 2048
+#: Odd factors of the hash of n-grams; words that a worker numbers at once.
+MIX, TOGETHER = (0x9E3779B1, 0x85EBCA77), 1 << 15
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
@@ -43,9 +45,24 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _ids(word: str) -> tuple[int, list[int]]:
-    marked = f"<{word}>"
-    return xxhash.xxh32_intdigest(word) % BUCKETS, [xxhash.xxh32_intdigest(marked[i : i + n], n) % BUCKETS for n in GRAMS for i in range(max(1, len(marked) - n + 1))]
+def hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its id, its character n-grams' ids (all words' in one array) and their number; n-grams take marks at both ends, and a shorter word is one n-gram."""
+    own = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in found), np.int64, len(found))
+    chars = np.frombuffer("".join([f"<{w}>" for w in found]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    size = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(chars))  # characters from here to the word's end
+    first = left == np.repeat(size, size)
+    total, ids, there = np.zeros(len(chars), np.uint32), [], []
+    chars = np.r_[chars, np.zeros(max(GRAMS), np.uint32)]
+    for k in range(max(GRAMS)):
+        total = (total ^ np.where(left > k, chars[k : k + len(total)], 0).astype(np.uint32)) * np.uint32(MIX[0])
+        total ^= total >> np.uint32(15)
+        if k + 1 in GRAMS:
+            ids.append((total * np.uint32(MIX[1] + 2 * k) >> np.uint32(16)) % BUCKETS)
+            there.append(first | (left > k))
+    there = np.stack(there, 1)
+    counts = np.add.reduceat(there.sum(1), np.r_[0, np.cumsum(size)[:-1]]) if len(found) else size
+    return own, np.stack(ids, 1)[there].astype(np.int64), counts
 
 
 def starts(n: int) -> list[int]:
@@ -67,11 +84,13 @@ class Network:
 
     def inputs(self, vocabulary: list) -> np.ndarray:
         """A row for each (word id, char ids)."""
-        own = self.p["word"][[w for w, _ in vocabulary]]
         size = np.array([len(c) for _, c in vocabulary])
-        ids = np.fromiter((i for _, c in vocabulary for i in c), np.int64, size.sum())
+        return self.mixed(np.array([w for w, _ in vocabulary]), np.fromiter((i for _, c in vocabulary for i in c), np.int64, size.sum()), size)
+
+    def mixed(self, own: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A row for each word id beside its `size` n-grams' mean, all words' ids of n-grams in one array."""
         chars = np.add.reduceat(self.p["char"][ids], np.r_[0, np.cumsum(size)[:-1]]) / size[:, None]
-        return np.concatenate([own, chars.astype(np.float32)], 1)
+        return np.concatenate([self.p["word"][own], chars.astype(np.float32)], 1)
 
     def gates(self, x: np.ndarray, d: str) -> np.ndarray:
         return x @ self.p[f"in_{d}"] + self.p[f"bias_{d}"]
@@ -146,14 +165,13 @@ class Network:
         for i, text in enumerate(texts):
             row = []
             for w in words(text):
-                if w not in number:
-                    number[w] = len(entries)
-                    entries.append(_ids(w))
-                row.append(number[w])
+                row.append(number.setdefault(w, len(number) + 1))
             for s in starts(len(row)):
                 piece = row[s : s + WINDOW]
                 at.append(piece + [0] * (WINDOW - len(piece)))
                 owner.append(i)
+        own, ids, size = hashed(list(number))
+        entries += zip(own.tolist(), np.split(ids, np.cumsum(size)[:-1]))
         at, owner = np.array(at), np.array(owner)
         moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
         for turn in range(rounds):
@@ -201,7 +219,7 @@ class Scorer:
     def _numbers(self, found: list[str]) -> np.ndarray:
         new = [w for w in dict.fromkeys(found) if w not in self.number]
         if new:
-            x = self.net.inputs([_ids(w) for w in new])
+            x = self.net.mixed(*hashed(new))
             while self.used + len(new) > len(self.gates["f"]):
                 self.gates = {d: np.concatenate([v, np.zeros_like(v)]) for d, v in self.gates.items()}
             for d in "fb":
@@ -212,15 +230,21 @@ class Scorer:
 
     def scores(self, texts) -> np.ndarray:
         out = np.full(len(texts), -np.inf)
-        waiting, owner, held = [], [], 0
+        waiting, held = [], 0
 
         def flush():
-            nonlocal waiting, owner, held
-            if held:
-                at, who = np.concatenate(waiting), np.concatenate(owner)
+            nonlocal waiting, held
+            if waiting:
+                ids, at, owner, done = self._numbers([w for _, found in waiting for w in found]), [], [], 0
+                for i, found in waiting:
+                    own, done = ids[done : done + len(found)], done + len(found)
+                    own = np.pad(own, (0, max(0, WINDOW - len(own))))
+                    at.append(np.lib.stride_tricks.sliding_window_view(own, WINDOW)[starts(len(own))])
+                    owner.append(np.full(len(at[-1]), i))
+                at, owner = np.concatenate(at), np.concatenate(owner)
                 for i in range(0, len(at), WINDOWS):
-                    np.maximum.at(out, who[i : i + WINDOWS], self.net.forward(self.gates, at[i : i + WINDOWS])[0])
-            waiting, owner, held = [], [], 0
+                    np.maximum.at(out, owner[i : i + WINDOWS], self.net.forward(self.gates, at[i : i + WINDOWS])[0])
+            waiting, held = [], 0
             if self.used > KEPT_WORDS:
                 self._clear()
 
@@ -228,13 +252,9 @@ class Scorer:
             found = words(text)
             step = STRIDE * 1024  # a long text in parts that overlap by a window
             for a in range(0, max(len(found) - WINDOW, 1) if found else 0, step):
-                ids = self._numbers(found[a : a + step + WINDOW])
-                ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
-                at = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[starts(len(ids))]
-                waiting.append(at)
-                owner.append(np.full(len(at), i))
-                held += len(at)
-                if held >= WINDOWS or self.used > KEPT_WORDS:
+                waiting.append((i, found[a : a + step + WINDOW]))
+                held += len(waiting[-1][1])
+                if held >= TOGETHER:
                     flush()
         flush()
         return np.where(np.isfinite(out), _sigmoid(out), 0.0)
