@@ -151,7 +151,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     size, times, rows, k, copy = unused(docs, "size", "times", "rows", "k", "copy")
     sized = docs.withColumn(size, n_words(F.col("text"))).alias("d")
     join = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{size}") == F.col("t.size"))
-    got = sized.join(took.alias("t"), join).select("d.*", F.col("t.times").alias(times), F.col("t.rows").alias(rows))
+    got = sized.join(took.alias("t").hint("merge"), join).select("d.*", F.col("t.times").alias(times), F.col("t.rows").alias(rows))
     one = got.where(F.col(rows) == 1)
     rank = F.row_number().over(W.partitionBy("doc_id", "source", size).orderBy("text"))
     share = F.expr(f"`{times}` div `{rows}`") + (F.col(k) <= F.col(times) % F.col(rows)).cast("int")

@@ -266,7 +266,7 @@ def near_deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH)
     id_, n, k = unused(docs, "id", "n", "k")
     keep = materialise(keep.select(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(k), F.col("n").alias(n)), "kept")
     rows = docs.withColumns({id_: F.coalesce("doc_id", F.lit(0)), k: F.col("doc_id").isNull()})
-    rows = lookup(rows, keep, [id_, k], "inner")
+    rows = rows.join(keep.hint("merge"), [id_, k])  # keep grows with docs: never broadcast
     rank = F.row_number().over(W.partitionBy(id_, k).orderBy("text", *[c for c in docs.columns if c in ("source", "lang")]))
     some = rows.where(F.col(n) > 1).withColumn(f"{k}{n}", rank).where(F.col(f"{k}{n}") == 1)
     return rows.where(F.col(n) == 1).select(*docs.columns).unionByName(some.select(*docs.columns))
