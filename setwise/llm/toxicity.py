@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its own hashed embedding beside the mean of its hashed character n-grams' embeddings. Windows of
-WINDOW words, a new one every STRIDE words and one at the end, cover every whole text; each runs through a gated
+A word's input is its own hashed embedding beside the mean of its hashed character n-grams' embeddings. A window of
+WINDOW words begins at every word that has so many to come (a shorter text is one window); each runs through a gated
 recurrent unit in both directions, attention pools the states, and a logistic unit scores it. A text's score is that of
 its highest window. Training alternates: find each text's highest window, then learn from it (and from random ones).
 
@@ -27,10 +27,12 @@ from setwise.llm.common import table
 from setwise.llm.language import fold
 
 PER_CLASS, TRAIN_CHARS = 1500, 8000
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
 STEPS, GRAMS = 50, (3, 4, 5)
 KEPT_WORDS, WINDOWS = 120_000, 2048
+#: A text of fewer words has its windows copied out; in longer ones neighbouring windows share their words in place.
+FEW = 2 * WINDOW
 #: Odd factors of the hash of n-grams; words that a worker numbers at once.
 MIX, TOGETHER = (0x9E3779B1, 0x85EBCA77), 1 << 15
 THRESHOLD = 0.7
@@ -67,7 +69,7 @@ def hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def starts(n: int) -> list[int]:
     """Where the windows of n words begin."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    return list(range(max(1, n - WINDOW + 1)))
 
 
 class Network:
@@ -121,6 +123,48 @@ class Network:
         pooled = (a[:, :, None] * both).sum(0)
         return pooled @ self.p["out"] + self.p["level"][0], both, a, pooled
 
+    def every(self, gates: dict, line: np.ndarray) -> np.ndarray:
+        """Logits as of forward, of the windows at each start in line (at least WINDOW numbers in a row)."""
+        h, out = HIDDEN, []
+        parts = []
+        for d, own in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            rec = self.p[f"rec_{d}"]
+            heads = np.stack([self.p["att"][own], self.p["out"][own]])
+            parts.append((d, np.ascontiguousarray(rec[:, : 2 * h].T) / 2, np.ascontiguousarray(rec[:, 2 * h :].T) / 2, heads))
+        for first in range(0, len(line) - WINDOW + 1, WINDOWS):
+            ids = line[first : first + WINDOWS + WINDOW - 1]
+            n = len(ids) - WINDOW + 1
+            heads_of = np.empty((WINDOW, 2, n), np.float32)
+            zr, new, step, both = (np.empty((m, n), np.float32) for m in (2 * h, h, h, 2))
+            for d, rec_zr, rec_new, heads in parts:
+                a = np.ascontiguousarray(gates[d][ids].T)
+                a[: 2 * h] *= 0.5
+                state = np.zeros((h, n), np.float32)
+                for k in range(WINDOW) if d == "f" else reversed(range(WINDOW)):
+                    np.matmul(rec_zr, state, out=zr)
+                    zr += a[: 2 * h, k : k + n]
+                    np.tanh(zr, out=zr)
+                    zr += 1  # twice the gates
+                    np.multiply(zr[h:], state, out=step)
+                    np.matmul(rec_new, step, out=new)
+                    new += a[2 * h :, k : k + n]
+                    np.tanh(new, out=new)
+                    new -= state
+                    new *= zr[:h]
+                    new *= 0.5
+                    state += new
+                    if d == "f":
+                        np.matmul(heads, state, out=heads_of[k])
+                    else:
+                        heads_of[k] += np.matmul(heads, state, out=both)
+            e, o = heads_of[:, 0], heads_of[:, 1]
+            if not ids.all():
+                e[np.lib.stride_tricks.sliding_window_view(ids, WINDOW).T == 0] = -30
+            e -= e.max(0)
+            np.exp(e, out=e)
+            out.append((e * o).sum(0) / e.sum(0) + self.p["level"][0])
+        return np.concatenate(out)
+
     def gradients(self, vocabulary: list, x: np.ndarray, at: np.ndarray, label: np.ndarray) -> dict:
         h, p, g = HIDDEN, self.p, {}
         tapes = {"f": [], "b": []}
@@ -161,35 +205,34 @@ class Network:
             return self
         rng = np.random.default_rng(SEED)
         entries, number = [(0, [0])], {}
-        at, owner = [], []
+        line, begin, owner, done = [], [], [], 0
         for i, text in enumerate(texts):
-            row = []
-            for w in words(text):
-                row.append(number.setdefault(w, len(number) + 1))
-            for s in starts(len(row)):
-                piece = row[s : s + WINDOW]
-                at.append(piece + [0] * (WINDOW - len(piece)))
-                owner.append(i)
+            row = [number.setdefault(w, len(number) + 1) for w in words(text)]
+            row += [0] * (WINDOW - len(row))
+            begin.append(done + np.array(starts(len(row))))
+            owner.append(np.full(len(begin[-1]), i))
+            line.append(np.array(row))
+            done += len(row)
         own, ids, size = hashed(list(number))
         entries += zip(own.tolist(), np.split(ids, np.cumsum(size)[:-1]))
-        at, owner = np.array(at), np.array(owner)
+        line, begin, owner = map(np.concatenate, (line, begin, owner))
         moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
         for turn in range(rounds):
             if turn:
                 x = self.inputs(entries)
                 gates = {d: self.gates(x, d) for d in "fb"}
-                logit = np.concatenate([self.forward(gates, at[i : i + WINDOWS])[0] for i in range(0, len(at), WINDOWS)])
+                logit = self.every(gates, line)[begin]
                 order = np.lexsort((-logit, owner))
                 top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
                 calm = rng.permutation(np.flatnonzero(label[owner] == 0))[: len(top) // 2]
                 pick = np.concatenate([top, calm])
             else:
-                pick = rng.permutation(len(at))[: 4 * len(texts)]
+                pick = rng.permutation(len(begin))[: 4 * len(texts)]
             # At least STEPS batches a round, however few the texts.
             pick = np.concatenate([rng.permutation(pick) for _ in range(max(1, -(-STEPS * BATCH // len(pick))))])
             for i in range(0, len(pick), BATCH):
                 rows = pick[i : i + BATCH]
-                used, local = np.unique(np.r_[0, at[rows].ravel()], return_inverse=True)
+                used, local = np.unique(np.r_[0, line[begin[rows, None] + np.arange(WINDOW)].ravel()], return_inverse=True)
                 vocabulary = [entries[k] for k in used]
                 grad = self.gradients(vocabulary, self.inputs(vocabulary), local[1:].reshape(len(rows), WINDOW), label[owner[rows]])
                 step += 1
@@ -235,24 +278,31 @@ class Scorer:
         def flush():
             nonlocal waiting, held
             if waiting:
-                ids, at, owner, done = self._numbers([w for _, found in waiting for w in found]), [], [], 0
+                ids, done, long, few = self._numbers([w for _, found in waiting for w in found]), 0, [], []
                 for i, found in waiting:
                     own, done = ids[done : done + len(found)], done + len(found)
-                    own = np.pad(own, (0, max(0, WINDOW - len(own))))
-                    at.append(np.lib.stride_tricks.sliding_window_view(own, WINDOW)[starts(len(own))])
-                    owner.append(np.full(len(at[-1]), i))
-                at, owner = np.concatenate(at), np.concatenate(owner)
-                for i in range(0, len(at), WINDOWS):
-                    np.maximum.at(out, owner[i : i + WINDOWS], self.net.forward(self.gates, at[i : i + WINDOWS])[0])
+                    (few if len(own) < FEW else long).append((i, np.pad(own, (0, max(0, WINDOW - len(own))))))
+                if long:  # windows that reach into the next text are left out
+                    size = np.array([len(own) for _, own in long])
+                    first = np.cumsum(size) - size
+                    logit = np.r_[self.net.every(self.gates, np.concatenate([own for _, own in long])), -np.inf]
+                    top = np.maximum.reduceat(logit, np.stack([first, first + size - WINDOW + 1], 1).ravel())[::2]
+                    np.maximum.at(out, [i for i, _ in long], top)
+                if few:
+                    at = [np.lib.stride_tricks.sliding_window_view(own, WINDOW) for _, own in few]
+                    owner = np.repeat([i for i, _ in few], [len(x) for x in at])
+                    at = np.concatenate(at)
+                    for i in range(0, len(at), WINDOWS):
+                        np.maximum.at(out, owner[i : i + WINDOWS], self.net.forward(self.gates, at[i : i + WINDOWS])[0])
             waiting, held = [], 0
             if self.used > KEPT_WORDS:
                 self._clear()
 
         for i, text in enumerate(texts if self.net.ready else []):
             found = words(text)
-            step = STRIDE * 1024  # a long text in parts that overlap by a window
-            for a in range(0, max(len(found) - WINDOW, 1) if found else 0, step):
-                waiting.append((i, found[a : a + step + WINDOW]))
+            step = TOGETHER  # starts of a long text in parts
+            for a in range(0, max(len(found) - WINDOW + 1, 1) if found else 0, step):
+                waiting.append((i, found[a : a + step + WINDOW - 1]))
                 held += len(waiting[-1][1])
                 if held >= TOGETHER:
                     flush()

@@ -118,6 +118,25 @@ def test_toxicity_held_out_and_windows(spark, edges):
     assert covered == set(range(1001))
 
 
+def test_toxicity_scores_every_window():
+    net = toxicity.Network(seed=5)
+    net.ready = True
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], n)) for n in (1, 31, 32, 33, 63, 64, 65, 200, 3000)]
+    want = []
+    for text in texts:  # each window as a text of its own
+        w = text.split()
+        alone = [" ".join(w[s : s + 32]) for s in range(max(1, len(w) - 31))]
+        want.append(toxicity.Scorer(net).scores(alone).max())
+    assert np.abs(toxicity.Scorer(net).scores(texts) - want).max() < 1e-5
+    cut, kept = toxicity.Scorer(net), toxicity.TOGETHER
+    try:
+        toxicity.TOGETHER = 100  # a long text in parts
+        assert np.abs(cut.scores(texts) - want).max() < 1e-5
+    finally:
+        toxicity.TOGETHER = kept
+
+
 def test_gradients_are_those_of_the_loss():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
