@@ -261,7 +261,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -
 
 def near_deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """The rows of docs, all columns, with one of each component: a row of the doc_id that names it (the first by text, then source, of repeated ones)."""
-    found = near_duplicates(docs, radius, width)
+    return first_of(docs, near_duplicates(docs, radius, width))
+
+
+def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs with one of each component of found (doc_id, fingerprint, component_id)."""
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fingerprint").alias("fp"))
     id_, n, k = unused(docs, "id", "n", "k")
     keep = materialise(keep.select(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(k), F.col("n").alias(n)), "kept")

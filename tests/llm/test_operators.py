@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setwise.llm import bpe, language, licenses, line_spread, mixing, quality, simhash, toxicity, warc, webp
+from setwise.llm import bpe, language, licenses, line_spread, mixing, near_copies, quality, simhash, toxicity, warc, webp
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,6 +251,28 @@ def test_simhash(spark, documents, edges, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.fingerprint(None) == 0
 
 
+def test_near_dedup_links_at_the_similarity_of_shingles(spark, documents, edges, none):
+    rng = np.random.default_rng(6)
+    rows = [(100 + d, t, "en", "a", 0) for d, t, *_ in (x for x in EDGES if x[0] is not None)] + [(None, "null id here", "fr", "b", 12)]
+    for i in range(60):  # copies with 0 to 5 words changed, and chains of them
+        w = rng.choice([f"w{k}" for k in range(500)], 120).tolist()
+        for j in range(5):
+            rows.append((1000 + 5 * i + j, " ".join(w), "en", "a", 0))
+            for _ in range(int(rng.integers(0, 6))):
+                w[int(rng.integers(0, 120))] = f"x{rng.integers(0, 1 << 30)}"
+    for docs in (spark.createDataFrame(rows, DOCS), documents):
+        got = corpus_pipeline.near_dedup(spark, docs, SF)
+        assert got.columns == docs.columns
+        all_ = docs.collect()
+        low = [words("".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")) for r in all_]
+        sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in low]
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        root = simhash._roots(len(sets), *np.array(pairs).reshape(-1, 2).T)
+        want = {k: min((r["doc_id"] for r, x in zip(all_, root) if x == k and r["doc_id"] is not None), default=None) for k in set(root.tolist())}
+        assert sorted(map(repr, (r["doc_id"] for r in got.collect()))) == sorted(map(repr, want.values()))
+    assert corpus_pipeline.near_dedup(spark, none, SF).count() == 0
+
+
 def test_hot_buckets_lose_nothing(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 12, np.uint64)
