@@ -124,9 +124,17 @@ query("card_range", lambda s, d: A.select_range(prio(s, d), 100, 1000).groupBy("
 query("pair_measures", lambda s, d: A.pair_measures(prio(s, d), 400), "SELECT x.set_id AS a, y.set_id AS b, ca.n + cb.n - 2 * count(*) AS hamming, ca.n + cb.n - 2 * count(*) <= 400 AS similar, count(*) = cb.n AS a_holds_b, count(*) = ca.n AS b_holds_a, count(*) / (ca.n + cb.n - count(*)) AS jaccard FROM B x JOIN B y ON x.v = y.v AND x.set_id < y.set_id JOIN c ca ON ca.set_id = x.set_id JOIN c cb ON cb.set_id = y.set_id GROUP BY x.set_id, y.set_id, ca.n, cb.n", PRIO + ", c AS (SELECT set_id, count(*) AS n FROM B GROUP BY set_id)")
 
 
+def consecutive_ids(sets: DataFrame, most: int = 1000) -> list:
+    """The sorted set ids, on the driver; more than `most` are an error, never cut."""
+    ids = sorted(r[0] for r in A.set_ids(sets).limit(most + 1).collect())
+    if len(ids) > most:
+        raise ValueError(f"more than {most} set ids")
+    return ids
+
+
 def _neighbours(s, d) -> DataFrame:
     sets = prio(s, d)
-    return A.consecutive_pairs(sets, sorted(r[0] for r in A.set_ids(sets).limit(1000).collect()))  # the five priorities
+    return A.consecutive_pairs(sets, consecutive_ids(sets))  # the five priorities
 
 
 query("pairwise_consecutive", _neighbours, "SELECT p.a, p.b, count(*) FILTER (WHERE k = 3) AS and_card, count(*) AS or_card, count(*) FILTER (WHERE k < 3) AS xor_card, count(*) FILTER (WHERE k = 1) AS andnot_card FROM (SELECT p.a, p.b, v, sum(CASE WHEN set_id = p.a THEN 1 ELSE 2 END) AS k FROM p JOIN B ON B.set_id IN (p.a, p.b) GROUP BY ALL) p GROUP BY p.a, p.b", PRIO + ", ids AS (SELECT DISTINCT set_id FROM B), p AS (SELECT * FROM (SELECT set_id AS a, lead(set_id) OVER (ORDER BY set_id) AS b FROM ids) WHERE b IS NOT NULL)")

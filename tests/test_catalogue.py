@@ -32,3 +32,10 @@ def test_query(spark, oracle, name):
     columns = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
+
+
+def test_pairwise_set_ids_are_never_cut(spark):
+    sets = spark.range(1001).selectExpr("lpad(id, 5, '0') AS set_id", "id AS v")
+    with pytest.raises(ValueError):
+        catalogue.consecutive_ids(sets)
+    assert len(catalogue.consecutive_ids(sets.limit(1000))) == 1000
