@@ -3,7 +3,9 @@
 A word's input is its own hashed embedding beside the mean of its hashed character n-grams' embeddings. A window of
 WINDOW words begins at every word that has so many to come (a shorter text is one window); each runs through a gated
 recurrent unit in both directions, attention pools the states, and a logistic unit scores it. A text's score is that of
-its highest window. Training alternates: find each text's highest window, then learn from it (and from random ones).
+its highest window. Training alternates: find each text's highest window, then learn from it, its neighbours and random ones
+of label 0. The first windows to learn from are those whose words and n-grams stand out in texts of label 1 (by the
+log-likelihood ratio of the number of texts), as nothing else says where in a long text its label comes from.
 
 The network is fitted on a bounded sample: up to PER_CLASS labelled rows of either class (by hash), from texts of at
 most TRAIN_CHARS characters.
@@ -29,7 +31,8 @@ from setwise.llm.language import fold
 PER_CLASS, TRAIN_CHARS = 1500, 8000
 WINDOW = 32
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
-STEPS, GRAMS = 50, (3, 4, 5)
+STEPS, GRAMS, NEIGHBOURS = 50, (3, 4, 5), 4
+LEAST, SWAPPED, STANDS_OUT = 3, 0.5, 36.0
 KEPT_WORDS, WINDOWS = 120_000, 2048
 #: A text of fewer words has its windows copied out; in longer ones neighbouring windows share their words in place.
 FEW = 2 * WINDOW
@@ -67,6 +70,25 @@ def hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, np.stack(ids, 1)[there].astype(np.int64), counts
 
 
+def standing_out(found: list[np.ndarray], label: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each word, how much it or one of its n-grams stands out in texts of label 1: the log-likelihood ratio of the texts that hold it. found: each text's words by number (-1: none)."""
+    ends = np.cumsum(size)
+    share = label.mean()
+
+    def ratio(of: list[np.ndarray], n: int) -> np.ndarray:
+        seen = [np.bincount(np.concatenate([x for x, y in zip(of, label) if y == k]), minlength=n) for k in (0, 1)]
+        a, b = seen[1].astype(float), seen[0].astype(float)
+        n_1, n_0 = max(label.sum(), 1), max(len(label) - label.sum(), 1)
+        both = np.maximum(a + b, 1)
+        got = a * np.log(np.maximum(a, 0.5) / (both * share)) + b * np.log(np.maximum(b, 0.5) / (both * (1 - share)))
+        return np.where(a / n_1 > b / n_0, np.maximum(got, 0), 0)
+
+    own = [x[x >= 0] for x in found]
+    grams = [np.unique(np.concatenate([ids[ends[w] - size[w] : ends[w]] for w in x]) if len(x) else np.zeros(0, int)) for x in own]
+    by_word, by_gram = ratio(own, len(size)), ratio(grams, BUCKETS)
+    return np.maximum(by_word, np.maximum.reduceat(by_gram[ids], ends - size) if len(size) else by_word) ** 2
+
+
 def starts(n: int) -> list[int]:
     """Where the windows of n words begin."""
     return list(range(max(1, n - WINDOW + 1)))
@@ -199,6 +221,19 @@ class Network:
         np.add.at(g["char"], ids, np.repeat(d_x[:, DIM:] / size[:, None], size, 0))
         return g
 
+    def _forget_rare(self, found: list[np.ndarray], own: np.ndarray, ids: np.ndarray, size: np.ndarray):
+        """Embeddings of words and n-grams of fewer than LEAST texts are zero and stay so: a text cannot be known by them."""
+        ends = np.cumsum(size)
+        seen = {"word": np.zeros(BUCKETS, int), "char": np.zeros(BUCKETS, int)}
+        for x in found:
+            x = x[x >= 0]
+            seen["word"][np.unique(own[x])] += 1
+            if len(x):
+                seen["char"][np.unique(np.concatenate([ids[ends[w] - size[w] : ends[w]] for w in x]))] += 1
+        self.rare = {k: v < LEAST for k, v in seen.items()}
+        for k, gone in self.rare.items():
+            self.p[k][gone] = 0
+
     def train(self, texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Network:
         label = np.array(labels, np.float32)
         if not len(label) or label.min() == label.max():
@@ -215,27 +250,41 @@ class Network:
             done += len(row)
         own, ids, size = hashed(list(number))
         entries += zip(own.tolist(), np.split(ids, np.cumsum(size)[:-1]))
+        texts_of = [np.unique(row) - 1 for row in line]
+        worth = np.r_[0, standing_out(texts_of, label, ids, size)]
+        self._forget_rare(texts_of, own, ids, size)
         line, begin, owner = map(np.concatenate, (line, begin, owner))
+        low, high = np.searchsorted(owner, np.arange(len(texts))), np.searchsorted(owner, np.arange(len(texts)), "right") - 1
         moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
+        calm = np.flatnonzero(label[owner] == 0)
         for turn in range(rounds):
             if turn:
                 x = self.inputs(entries)
-                gates = {d: self.gates(x, d) for d in "fb"}
-                logit = self.every(gates, line)[begin]
-                order = np.lexsort((-logit, owner))
-                top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-                calm = rng.permutation(np.flatnonzero(label[owner] == 0))[: len(top) // 2]
-                pick = np.concatenate([top, calm])
+                value = self.every({d: self.gates(x, d) for d in "fb"}, line)[begin]
             else:
-                pick = rng.permutation(len(begin))[: 4 * len(texts)]
+                sums = np.r_[0, np.cumsum(worth[line])]
+                value = sums[begin + WINDOW] - sums[begin] + rng.random(len(begin)) * 1e-3
+            order = np.lexsort((-value, owner))
+            top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+            # Neighbours of the highest window that are nearly as high hold what makes it so, at another place.
+            near = np.clip(np.repeat(top, NEIGHBOURS) + rng.integers(-WINDOW, WINDOW + 1, NEIGHBOURS * len(top)), np.repeat(low, NEIGHBOURS), np.repeat(high, NEIGHBOURS))
+            best = np.repeat(value[top], NEIGHBOURS)
+            near = near[(value[near] >= (best - 1.0 if turn else 0.7 * best)) & (label[owner[near]] == 1)]
+            pick = np.concatenate([top, near, rng.permutation(calm)[: len(top) // 2 + len(near)]])
             # At least STEPS batches a round, however few the texts.
             pick = np.concatenate([rng.permutation(pick) for _ in range(max(1, -(-STEPS * BATCH // len(pick))))])
             for i in range(0, len(pick), BATCH):
                 rows = pick[i : i + BATCH]
-                used, local = np.unique(np.r_[0, line[begin[rows, None] + np.arange(WINDOW)].ravel()], return_inverse=True)
+                at = line[begin[rows, None] + np.arange(WINDOW)]
+                # Half of the windows get other words from texts of label 0 for all that does not stand out: the label must not hang on them.
+                swap = (rng.random((len(rows), 1)) < SWAPPED) & (worth[at] < STANDS_OUT) & (at > 0) & (label[owner[rows], None] == 1) & (worth[at] >= STANDS_OUT).any(1, keepdims=True)
+                at = np.where(swap, line[begin[rng.choice(calm, at.shape)]] if len(calm) else at, at)
+                used, local = np.unique(np.r_[0, at.ravel()], return_inverse=True)
                 vocabulary = [entries[k] for k in used]
                 grad = self.gradients(vocabulary, self.inputs(vocabulary), local[1:].reshape(len(rows), WINDOW), label[owner[rows]])
                 step += 1
+                for k, gone in self.rare.items():
+                    grad[k][gone] = 0
                 for k, v in self.p.items():
                     m, s = moments[k]
                     m += 0.1 * (grad[k] - m)
