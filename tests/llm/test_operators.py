@@ -137,6 +137,24 @@ def test_toxicity_scores_every_window():
         toxicity.TOGETHER = kept
 
 
+def test_toxicity_learns_nothing_from_the_held_out_labels(spark, documents, tmp_path):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    twice = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1, 1), (-5, 1, None)], labels.schema))
+    for name, toxic in (("a", F.col("toxic")), ("b", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        twice.withColumn("toxic", toxic).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    kept, toxicity.Network.train.__defaults__ = toxicity.Network.train.__defaults__, (2,)
+    try:
+        a, b = (sorted(map(tuple, toxicity.op3(spark, f"{tmp_path}/{x}").collect())) for x in "ab")
+    finally:
+        toxicity.Network.train.__defaults__ = kept
+    assert a == b and len(a) == documents.count() and {r[1] for r in a} == {True, False}
+    assert all(0 <= r[2] <= 1 and r[3] == (r[2] >= 0.7) for r in a)
+    empty = toxicity.score(documents.limit(0), toxicity.Network())
+    assert empty.count() == 0 and empty.columns == ["doc_id", "score"]
+
+
 def test_gradients_are_those_of_the_loss():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -174,14 +192,55 @@ def test_frequent_lines_deplete(spark):
     assert sum(kept[i] for i in range(25)) <= 1 and all(kept[i] for i in range(25, 40))
 
 
-def test_language(spark, edges):
+def test_language(spark, edges, none):
     docs = duckdb.sql(f"SELECT text, lang FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
     model = language.Model(docs[:140])
-    got = [model.predict(t)[0] for t, _ in docs[140:]]
-    assert np.mean([g == x for g, (_, x) in zip(got, docs[140:])]) > 0.85
-    assert model.predict(None)[0] == model.predict("12 34 !")[0] == "und" and language.Model([]).predict("abc")[0] == "und"
+    got = model.predict([t for t, _ in docs[140:]])
+    assert np.mean([g[0] == x for g, (_, x) in zip(got, docs[140:])]) > 0.85
+    assert {x[0] for x in model.predict([None, "", "12 34 !", "² ½ ⅔ ①"])} == {"und"} and language.Model([]).predict(["abc"])[0][0] == "und"
     rows = language.identify(edges, model).collect()
     assert len(rows) == len(EDGES) and all(0 <= r["score"] <= 1 for r in rows)
+    assert language.identify(none, model).count() == 0
+
+
+def test_language_scores_are_sums_over_all_subwords():
+    docs = duckdb.sql(f"SELECT text, lang FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()[:60]
+    model = language.Model(docs)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h ^ ord(c)) * language.MIX[0] & 0xFFFFFFFF
+            h ^= h >> 15
+        return ((h * (language.MIX[1] + 2 * (len(gram) - 1)) & 0xFFFFFFFF) >> 16) % language.BUCKETS
+
+    texts = ["one Two  zwölf", "", "a", "x" * 3000, docs[0][0][:2000]]
+    for kept in (language.KEPT_BYTES, 0):
+        was, language.KEPT_BYTES = language.KEPT_BYTES, kept
+        try:
+            got = language.Scorer(model).logits(texts)
+        finally:
+            language.KEPT_BYTES = was
+        for text, row in zip(texts, got):
+            marked = [f"<{w}>" for w in text.lower().split()]
+            ids = [bucket(w[i : i + n]) for w in marked for n in language.GRAMS for i in range(len(w) - n + 1)]
+            want = model.embed[ids].astype(float).sum(0) / max(len(ids), 1) @ model.weight.astype(float) + model.bias
+            assert np.abs(row - want).max() < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    rows = spark.range(2100 * 9).selectExpr("id AS doc_id", "concat('word', id) AS text", "concat('l', id % 2100) AS lang")
+    got = language.sample(rows)
+    assert len({x for _, x in got}) > 2050 and len(got) < language.TRAIN_MOST
+
+
+def test_language_learns_nothing_from_the_held_out_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    for name, lang in (("a", F.col("lang")), ("b", F.when(out, "xx").otherwise(F.col("lang")))):
+        docs.withColumn("lang", lang).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    a, b = (sorted(map(tuple, language.op5(spark, f"{tmp_path}/{x}").collect())) for x in "ab")
+    assert a == b and len(a) == docs.count() and {r[1] for r in a} == {True, False}
 
 
 def test_line_spread(spark, edges, none):
