@@ -1,11 +1,14 @@
 """Lossless WebP images as a store of bytes.
 
-`decode` reads any lossless image: prefix codes (simple and normal, one group or many by an entropy image), literals,
-back-references with two-dimensional distances, the colour cache, and the inverse predictor, cross-colour,
-subtract-green and palette transforms. `encode` writes pixels with any of these. `store` and `load` keep bytes: WIDE
-samples a row, each the index of a grey in a palette, with a prefix code of the image's own and back-references for
-runs; over ROWS rows make a row of images. `load` decodes many such images in step with each other, a symbol of each at
-a time, and gives all others to `decode`.
+Reading: `decode_all` reads any lossless images, many in step with each other, a pixel of each at a time: prefix codes
+(simple and normal, one group or many by an entropy image), literals, back-references with two-dimensional distances
+and the colour cache; then it inverts predictor, cross-colour, subtract-green and palette transforms, and gives pixel
+arrays. Side images (palettes, block modes, entropy images) go through the same loop.
+
+Writing: `store` lays bytes out as red, green and blue of ACROSS opaque pixels a row, ROWS rows an image. An image is
+written with the transform that makes it smallest: none, subtract-green, predictor, cross-colour or palette, by an
+estimate of their entropy, and for those near the best by their real size; each with back-references to the latest
+place of the same three pixels and with the size of colour cache that costs least.
 
 op8's defined results: a null text is empty and stored as one row of 255s; equal texts give equal values; repeated rows
 each get a row; texts of any length are stored whole; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,14 @@ from pyspark.sql import DataFrame
 
 from setwise.llm.common import table
 
-WIDE, ROWS, FILL, MOST_BITS = 576, 16, 255, 12
+WIDE, ROWS, FILL = 576, 16, 255
+ACROSS, BLOCK_BITS, CACHES = WIDE // 3, 4, (0, 8)
+#: Predictors that the writer tries; factors of the hash of three pixels.
+MODES, MIX = (1, 2, 4, 7, 10, 11, 12, 13), (0x9E3779B1, 0x85EBCA77)
+#: Images that are decoded in step.
+AT_ONCE = 2048
+#: A transform is tried in full if its estimate is at most so many times the best one.
+NEARLY = 1.05
 #: Fixed values of the format: order in which lengths of code lengths stand, and offsets (x, y) of the short distances.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -37,6 +48,7 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS, SUBTRACT, PALETTE = range(4)
+_DX, _DY = (np.array(x) for x in zip(*NEAR))
 
 
 class Bits:
@@ -57,22 +69,10 @@ class Bits:
         return out
 
 
-class Writer:
-    def __init__(self):
-        self.value = self.n = 0
-
-    def put(self, value: int, n: int):
-        self.value |= value << self.n
-        self.n += n
-
-
 def _reverse(code: int, n: int) -> int:
     return int(f"{code:0{n}b}"[::-1], 2) if n else 0
 
 
-_NIBBLES = np.array([_reverse(k, 4) for k in range(16)], np.uint8)
-
-
 def canonical(lengths) -> np.ndarray:
     """The code of each symbol, bits in the order in which they are written."""
     lengths = np.asarray(lengths)
@@ -150,119 +150,199 @@ def read_lengths(b: Bits, alphabet: int) -> np.ndarray:
     return out
 
 
-def _extended(b: Bits, s: int) -> int:
-    """A length or distance from its prefix symbol and extra bits."""
-    if s < 4:
-        return s + 1
-    extra = (s - 2) >> 1
-    return ((2 + (s & 1)) << extra) + b.read(extra) + 1
-
-
-def distance(code: int, wide: int) -> int:
-    if code > 120:
-        return code - 120
-    x, y = NEAR[code - 1]
-    return max(1, x + y * wide)
-
+# Reading
 
-def _groups(b: Bits, n: int, cache: int) -> list[list[Code]]:
-    return [[Code(read_lengths(b, a)) for a in (280 + cache, 256, 256, 256, 40)] for _ in range(n)]
 
-
-def _image(b: Bits, wide: int, high: int, top: bool) -> np.ndarray:
-    """Pixels (as ARGB numbers) of an entropy-coded image; top: it may have groups of codes."""
+def _asked(b: Bits, wide: int, high: int, top: bool):
+    """Asks for the pixels of an entropy-coded image at b, once its codes are read. top: it may have groups of codes."""
     bits = b.read(4) if b.read(1) else 0
-    cache = [0] * (1 << bits) if bits else []
     which, shift = None, 0
     if top and b.read(1):
         shift = b.read(3) + 2
-        across = -(-wide >> shift)
-        which = (_image(b, across, -(-high >> shift), False) >> 8 & 0xFFFF).tolist()
-    groups = _groups(b, max(which) + 1 if which else 1, len(cache))
-    out, total, at = [0] * (wide * high), wide * high, 0
-    seen = 0  # pixels in the cache
-    while at < total:
-        g = groups[which[(at // wide >> shift) * across + (at % wide >> shift)]] if which else groups[0]
-        s = g[0].read(b)
-        if s < 256:
-            red, blue, alpha = (g[k].read(b) for k in (1, 2, 3))
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
-        elif s < 280:
-            n = _extended(b, s - 256)
-            back = distance(_extended(b, g[4].read(b)), wide)
-            if back > at or at + n > total:
-                raise ValueError("back-reference outside the image")
-            for at in range(at, at + n):
-                out[at] = out[at - back]
-            at += 1
+        which = (yield from _asked(b, -(-wide >> shift), -(-high >> shift), False)) >> 8 & 0xFFFF
+    n = 1 if which is None else int(which.max()) + 1
+    groups = [[Code(read_lengths(b, a)) for a in (280 + (1 << bits if bits else 0), 256, 256, 256, 40)] for _ in range(n)]
+    argb, b.pos = yield b.data, b.pos, wide, high, which, shift, groups, bits
+    return argb.astype(np.int64)
+
+
+def _parsed(file: bytes):
+    """Asks for the images of a file; gives its size, the transforms to undo in the order read, and the pixels that they left."""
+    b = Bits(chunk(file))
+    wide, high = _header(b)
+    full, out, done = wide, [], set()
+    while b.read(1):
+        kind = b.read(2)
+        if kind in done:
+            raise ValueError("a transform stands twice")
+        done.add(kind)
+        if kind in (PREDICTOR, CROSS):
+            bits = b.read(3) + 2
+            w, h = -(-wide >> bits), -(-high >> bits)
+            out.append((kind, wide, bits, _channels((yield from _asked(b, w, h, False)), h, w)))
+        elif kind == PALETTE:
+            n = b.read(8) + 1
+            colours = np.zeros((256, 4), np.int64)  # an index beyond the palette is transparent black
+            colours[:n] = np.cumsum(_channels((yield from _asked(b, n, 1, False)), 1, n)[0], 0) & 255
+            out.append((kind, wide, _bundle(n), colours))
+            wide = -(-wide >> _bundle(n))
         else:
-            for p in out[seen:at]:
-                cache[(p * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - bits)] = p
-            seen, out[at] = at, cache[s - 280]
-            at += 1
-    if b.pos > 8 * len(b.data):
-        raise ValueError("image data ends too early")
-    return np.array(out, np.int64)
+            out.append((kind, wide, 0, None))
+    argb = yield from _asked(b, wide, high, True)
+    return full, high, out, _channels(argb, high, wide)
+
+
+def _in_step(asked: list) -> list:
+    """The pixels (as ARGB numbers) and the end of each image asked for: a pixel of each at a time."""
+    n, slack = len(asked), 1024
+    data, base, start = {}, {}, 0
+    for x in asked:
+        if id(x[0]) not in base:
+            data[start], base[id(x[0])] = x[0], start
+            start += len(x[0]) + 8
+    flat = np.frombuffer(b"".join(x + b"\0" * 8 for x in data.values()) + b"\0" * slack, np.uint8).astype(np.uint32)
+    word = flat[:-3] | flat[1:-2] << 8 | flat[2:-1] << 16 | flat[3:] << 24
+    codes = [c for x in asked for g in x[6] for c in g]
+    table_ = np.concatenate([c.table for c in codes]).astype(np.int32)
+    ends_of = np.cumsum([len(c.table) for c in codes])
+    all_off = (ends_of - [len(c.table) for c in codes]).reshape(-1, 5)
+    all_mask = np.array([(1 << c.bits) - 1 for c in codes], np.uint32).reshape(-1, 5)
+    used = [bool(all_mask[:, k].any()) for k in range(5)]
+    lone = table_[all_off] >> 4  # the symbols of codes that take no bits
+    groups = np.array([len(x[6]) for x in asked])
+    first_group = np.cumsum(groups) - groups
+    wide_, total = np.array([x[2] for x in asked]), np.array([x[2] * x[3] for x in asked])
+    at = np.cumsum(total) - total
+    home, goal, pixels = at.copy(), at + total, np.zeros(int(total.sum()), np.uint32)
+    maps = [x[4] if x[4] is not None else np.zeros(0, np.int64) for x in asked]
+    which, map_at, shift = np.concatenate(maps), np.cumsum([0, *map(len, maps)])[:-1], np.array([x[5] for x in asked])
+    across, many = -(-wide_ >> shift), np.array([len(m) > 0 for m in maps])
+    bits = np.array([x[7] for x in asked])
+    places = np.where(bits > 0, 1 << bits, 0)
+    cache, cache_at = np.zeros(int(places.sum()), np.uint32), np.cumsum(places) - places
+    pos = np.array([8 * base[id(x[0])] + x[1] for x in asked])
+    last = np.array([8 * (base[id(x[0])] + len(x[0])) for x in asked])
+    lane, row, left, back, finish, step = np.arange(n), first_group.copy(), np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), 0
+
+    def read(i, k):
+        """The next symbol of the k-th code of lanes i."""
+        p, r = pos[i], row[i]
+        got = table_[all_off[r, k] + (word[p >> 3] >> (p & 7).astype(np.uint32) & all_mask[r, k])]
+        pos[i] = p + (got & 15)
+        return got >> 4
+
+    def extended(i, s):
+        """Lengths or distances of lanes i from their prefix symbols and extra bits."""
+        extra = np.maximum(s - 2, 0) >> 1
+        p = pos[i]
+        more = (word[p >> 3] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+        pos[i] = p + extra
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + more + 1)
+
+    with_cache, several = np.flatnonzero(bits > 0), bool(many.any())
+    while len(lane):
+        if several:
+            i = np.flatnonzero(many)
+            y, x = np.divmod(at[i] - home[i], wide_[i])
+            row[i] = first_group[i] + which[map_at[i] + (y >> shift[i]) * across[i] + (x >> shift[i])]
+        value = np.zeros(len(lane), np.uint32)
+        i = np.flatnonzero(left == 0)
+        if len(i):
+            s = read(i, 0)
+            plain = i[s < 256] if s.max() >= 256 else i
+            argb = (s[s < 256] if len(plain) < len(i) else s).astype(np.uint32) << 8
+            for k, places_ in ((1, 16), (2, 0), (3, 24)):
+                argb |= (read(plain, k) if used[k] else lone[row[plain], k]).astype(np.uint32) << places_
+            value[plain] = argb
+            if len(plain) < len(i):
+                hit = s >= 280
+                if hit.any():
+                    j = i[hit]
+                    value[j] = cache[cache_at[j] + s[hit] - 280]
+                copy = (s >= 256) & ~hit
+                if copy.any():
+                    j = i[copy]
+                    left[j] = extended(j, s[copy] - 256)
+                    code = extended(j, read(j, 4))
+                    near_ = np.minimum(code, 120) - 1
+                    back[j] = np.where(code > 120, code - 120, np.maximum(1, _DX[near_] + _DY[near_] * wide_[j]))
+                    if (back[j] > at[j] - home[j]).any() or (at[j] + left[j] > goal[j]).any():
+                        raise ValueError("back-reference outside the image")
+        j = np.flatnonzero(left)
+        if len(j):
+            value[j] = pixels[at[j] - back[j]]
+            left[j] -= 1
+        pixels[at] = value
+        if len(with_cache):
+            v = value[with_cache]
+            cache[cache_at[with_cache] + (v * np.uint32(CACHE_FACTOR) >> (32 - bits[with_cache]).astype(np.uint32))] = v
+        at = at + 1
+        step += 1
+        live = at < goal
+        if step % 32 == 0 or not live.all():  # a broken image runs into the slack at most, until its end shows it
+            if (pos > last).any():
+                raise ValueError("image data ends too early")
+            if not live.all():
+                finish[lane[~live]] = pos[~live]
+                lane, pos, last, at, home, goal, wide_, row, left, back, first_group, map_at, shift, across, many, bits, cache_at = (
+                    x[live] for x in (lane, pos, last, at, home, goal, wide_, row, left, back, first_group, map_at, shift, across, many, bits, cache_at)
+                )
+                with_cache, several = np.flatnonzero(bits > 0), bool(many.any())
+    begin = np.cumsum(total) - total
+    return [(pixels[a : a + t], int(p - 8 * base[id(x[0])])) for a, t, p, x in zip(begin, total, finish, asked)]
 
 
 def _channels(argb: np.ndarray, high: int, wide: int) -> np.ndarray:
     return np.stack([argb >> k & 255 for k in (24, 16, 8, 0)], -1).reshape(high, wide, 4)
 
 
-def _predicted(mode: int, l, t, tl, tr):
-    """The prediction from the left, top, top-left and top-right pixels (tuples of channels)."""
-    mean = lambda a, b: tuple((x + y) >> 1 for x, y in zip(a, b))
-    clamp = lambda x: 0 if x < 0 else 255 if x > 255 else x
-    if mode == 0:
-        return 255, 0, 0, 0
-    if mode <= 4:
+def _guess(mode: int, l, t, tl, tr, axis: int = -1):
+    """The prediction from the left, top, top-left and top-right pixels (arrays; axis: that of the channels)."""
+    mean = lambda a, b: (a + b) >> 1
+    if mode in (1, 2, 3, 4):
         return (l, t, tr, tl)[mode - 1]
     if mode == 5:
         return mean(mean(l, tr), t)
-    if mode <= 9:
+    if mode in (6, 7, 8, 9):
         return mean(*((l, tl), (l, t), (tl, t), (t, tr))[mode - 6])
     if mode == 10:
         return mean(mean(l, tl), mean(t, tr))
     if mode == 11:
-        to_left, to_top = sum(abs(a - b) for a, b in zip(t, tl)), sum(abs(a - b) for a, b in zip(l, tl))
-        return l if to_left < to_top else t
+        to_left, to_top = np.abs(t - tl).sum(axis, keepdims=True), np.abs(l - tl).sum(axis, keepdims=True)
+        return np.where(to_left < to_top, l, t)
     if mode == 12:
-        return tuple(clamp(a + b - c) for a, b, c in zip(l, t, tl))
+        return np.clip(l + t - tl, 0, 255)
     if mode == 13:
         m = mean(l, t)
-        return tuple(clamp(a + int((a - c) / 2)) for a, c in zip(m, tl))
-    return 255, 0, 0, 0
-
-
-def _predictor(px: np.ndarray, modes: np.ndarray, bits: int, sign: int) -> np.ndarray:
-    """sign 1: adds predictions to residuals; -1: takes predictions from pixels."""
-    high, wide, _ = px.shape
-    src = [[tuple(p) for p in row] for row in px.tolist()]
-    whole = [list(row) for row in src]  # pixels, as far as they are known
-    out = [list(row) for row in src]
-    for y in range(high):
-        for x in range(wide):
-            if x == 0 and y == 0:
-                p = (255, 0, 0, 0)
-            elif y == 0:
-                p = whole[0][x - 1]
-            elif x == 0:
-                p = whole[y - 1][0]
-            else:
-                above = whole[y - 1]
-                right = above[x + 1] if x + 1 < wide else whole[y][0]
-                p = _predicted(int(modes[y >> bits, x >> bits]), whole[y][x - 1], above[x], above[x - 1], right)
-            out[y][x] = tuple((a + sign * b) & 255 for a, b in zip(src[y][x], p))
-            if sign > 0:
-                whole[y][x] = out[y][x]
-    return np.array(out).reshape(px.shape)
+        d = m - tl
+        return np.clip(m + ((d + (d < 0)) >> 1), 0, 255)
+    return np.broadcast_to(np.array([255, 0, 0, 0]), l.shape)
+
+
+def _add_predictions(px: np.ndarray, tall: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """Inverts the predictor of many images (images, rows, columns, channels), the tallest first, a pixel of each at a time."""
+    out = px.copy()
+    out[:, 0, 0, 0] += 255
+    out[:, 0] = np.cumsum(out[:, 0], 1) & 255
+    for y in range(1, px.shape[1]):
+        n = int((tall > y).sum())
+        above = out[:n, y - 1]
+        out[:n, y, 0] = (out[:n, y, 0] + above[:, 0]) & 255
+        for x in range(1, px.shape[2]):
+            if x == 1 or x & ((1 << bits) - 1) == 0:
+                own = modes[:n, y >> bits, x >> bits]
+                sets = [(int(m), np.flatnonzero(own == m)) for m in np.unique(own)]
+            right = above[:, x + 1] if x + 1 < px.shape[2] else out[:n, y, 0]
+            for m, i in sets:
+                out[i, y, x] = (out[i, y, x] + _guess(m, out[i, y, x - 1], above[i, x], above[i, x - 1], right[i])) & 255
+    return out
 
 
 def _cross(px: np.ndarray, elements: np.ndarray, bits: int, sign: int) -> np.ndarray:
+    """sign 1 adds, -1 takes what green and red say of red and blue; elements: a row of factors for each block."""
     signed = lambda x: ((x + 128) & 255) - 128
-    high, wide, _ = px.shape
-    e = signed(elements[np.arange(high)[:, None] >> bits, np.arange(wide)[None] >> bits])
+    high, wide = px.shape[-3:-1]
+    e = signed(elements[..., np.arange(high)[:, None] >> bits, np.arange(wide)[None] >> bits, :])
     out, green = px.copy(), signed(px[..., 2])
     delta = lambda t, c: (t * c) >> 5
     out[..., 1] = (px[..., 1] + sign * delta(e[..., 3], green)) & 255
@@ -284,45 +364,39 @@ def _header(b: Bits):
     return wide, high
 
 
-def _transforms(b: Bits, wide: int, high: int) -> tuple[list, int]:
-    """What to undo, in the order read, and the width of the coded image."""
-    out, done = [], set()
-    while b.read(1):
-        kind = b.read(2)
-        if kind in done:
-            raise ValueError("a transform stands twice")
-        done.add(kind)
-        if kind in (PREDICTOR, CROSS):
-            bits = b.read(3) + 2
-            w, h = -(-wide >> bits), -(-high >> bits)
-            out.append((kind, wide, bits, _channels(_image(b, w, h, False), h, w)))
-        elif kind == PALETTE:
-            n = b.read(8) + 1
-            colours = np.cumsum(_channels(_image(b, n, 1, False), 1, n)[0], 0) & 255
-            out.append((kind, wide, _bundle(n), colours))
-            wide = -(-wide >> _bundle(n))
-        else:
-            out.append((kind, wide, 0, None))
-    return out, wide
-
-
-def _undo(px: np.ndarray, transforms: list) -> np.ndarray:
-    for kind, wide, bits, data in reversed(transforms):
-        if kind == PREDICTOR:
-            px = _predictor(px, data[..., 2], bits, 1)
-        elif kind == CROSS:
-            px = _cross(px, data, bits, 1)
-        elif kind == SUBTRACT:
-            px = px.copy()
-            px[..., 1] = (px[..., 1] + px[..., 2]) & 255
-            px[..., 3] = (px[..., 3] + px[..., 2]) & 255
-        else:
-            x = np.arange(wide)
-            index = px[:, x >> bits, 2] >> ((x & (1 << bits) - 1) * (8 >> bits)) & ((1 << (8 >> bits)) - 1)
-            full = np.zeros((256, 4), np.int64)  # an index beyond the palette is transparent black
-            full[: len(data)] = data
-            px = full[index]
-    return px
+def _undone(parts: list) -> list[np.ndarray]:
+    """The pixels of images (full width, rows, transforms, coded pixels), those of like transforms together."""
+    alike, out = defaultdict(list), [None] * len(parts)
+    for k, (full, _, transforms, px) in enumerate(parts):
+        alike[full, px.shape[1], tuple(x[:3] for x in transforms)].append(k)
+    for (_, _, shape), ks in alike.items():
+        ks.sort(key=lambda k: -parts[k][1])
+        tall = np.array([parts[k][1] for k in ks])
+
+        def together(arrays):
+            got = np.zeros((len(arrays), max(len(x) for x in arrays), *arrays[0].shape[1:]), np.int64)  # noqa: B023
+            for i, x in enumerate(arrays):
+                got[i, : len(x)] = x
+            return got
+
+        px = together([parts[k][3] for k in ks])
+        for j in reversed(range(len(shape))):
+            kind, wide, bits = shape[j]
+            data = None if kind == SUBTRACT else together([parts[k][2][j][3] for k in ks])
+            if kind == PREDICTOR:
+                px = _add_predictions(px, tall, data[..., 2], bits)
+            elif kind == CROSS:
+                blocks = -(-px.shape[1] >> bits)
+                px = _cross(px, np.pad(data, ((0, 0), (0, blocks - data.shape[1]), (0, 0), (0, 0))), bits, 1)
+            elif kind == SUBTRACT:
+                px[..., [1, 3]] = (px[..., [1, 3]] + px[..., 2:3]) & 255
+            else:
+                x = np.arange(wide)
+                index = px[:, :, x >> bits, 2] >> ((x & (1 << bits) - 1) * (8 >> bits)) & ((1 << (8 >> bits)) - 1)
+                px = data[np.arange(len(ks))[:, None, None], index]
+        for i, k in enumerate(ks):
+            out[k] = px[i, : parts[k][1]].astype(np.uint8)
+    return out
 
 
 def chunk(file: bytes) -> bytes:
@@ -332,17 +406,60 @@ def chunk(file: bytes) -> bytes:
     return file[20 : 20 + int.from_bytes(file[16:20], "little")]
 
 
+def decode_all(files_: list[bytes]) -> list[np.ndarray]:
+    """Pixels (rows, columns, alpha red green blue) of lossless WebP files."""
+    out, waiting = [None] * len(files_), []
+
+    def go_on(k, parser, answer):
+        try:
+            waiting.append((k, parser, parser.send(answer)))
+        except StopIteration as e:
+            out[k] = e.value
+
+    for k, f in enumerate(files_):
+        go_on(k, _parsed(f), None)
+    while waiting:
+        now, waiting = waiting, []
+        for (k, parser, _), answer in zip(now, _in_step([x[2] for x in now])):
+            go_on(k, parser, answer)
+    return _undone(out)
+
+
 def decode(file: bytes) -> np.ndarray:
-    """Pixels (rows, columns, alpha red green blue) of a lossless WebP file."""
-    b = Bits(chunk(file))
-    wide, high = _header(b)
-    transforms, coded = _transforms(b, wide, high)
-    return _undo(_channels(_image(b, coded, high, True), high, coded), transforms).astype(np.uint8)
+    return decode_all([file])[0]
 
 
 # Writing
 
 
+class Writer:
+    """Fields of up to 32 bits, the lowest bit first."""
+
+    def __init__(self):
+        self.parts, self.own = [], ([], [])
+
+    def put(self, value: int, n: int):
+        self.own[0].append(value)
+        self.own[1].append(n)
+
+    def put_all(self, values: np.ndarray, sizes: np.ndarray):
+        self.parts += [(np.array(self.own[0], np.uint64), np.array(self.own[1], np.int64)), (values.astype(np.uint64), sizes)]
+        self.own = ([], [])
+
+    def data(self) -> bytes:
+        self.put_all(np.zeros(0), np.zeros(0, np.int64))
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts))
+        values, sizes = values[sizes > 0], sizes[sizes > 0]
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        first = np.flatnonzero(np.diff(at >> 5, prepend=-1))
+        sums = np.add.reduceat(values << (at & 31).astype(np.uint64), first)  # fields share no bit
+        out, words = np.zeros(int(ends[-1] >> 5) + 2, np.uint64), at[first] >> 5
+        out[words] += sums & np.uint64(0xFFFFFFFF)
+        out[words + 1] += sums >> np.uint64(32)
+        return out.astype("<u4").tobytes()[: -(-int(ends[-1]) // 8)]
+
+
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a prefix code for symbols with counts, none above most."""
     out, counts = np.zeros(len(counts), np.int64), counts.astype(np.int64)
@@ -374,7 +491,7 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def write_lengths(w: Writer, lengths: np.ndarray):
-    """Lengths of a code: one or two symbols below 256 as a simple code, else each length in 4 bits."""
+    """Lengths of a code: one or two symbols below 256 as a simple code, else run by run under a code of their own."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
         used = used if len(used) else np.array([0])
@@ -384,82 +501,168 @@ def write_lengths(w: Writer, lengths: np.ndarray):
         for s in used:
             w.put(int(s), 8)
         return
+    first = np.flatnonzero(np.diff(lengths, prepend=-1))
+    size = np.diff(np.r_[first, len(lengths)])
+    long = size > np.where(lengths[first] > 0, 3, 2)
+    parts, done = [], 0  # the lengths between long runs, and (symbol, extra bits, their number) of long runs
+
+    def plain(a, b):
+        parts.append(np.concatenate([lengths[None, a:b], np.zeros((2, b - a), np.int64)]))
+
+    for at, n in zip(first[long].tolist(), size[long].tolist()):
+        v, end, run = int(lengths[at]), at + n, []
+        plain(done, at + (v > 0))
+        n -= v > 0
+        while n > 2:
+            k = min(n, 6 if v else 138)
+            run.append((16, k - 3, 2) if v else (18, k - 11, 7) if k > 10 else (17, k - 3, 3))
+            n -= k
+        parts.append(np.array(run).T)
+        done = end - n
+    plain(done, len(lengths))
+    symbols, extra, wide = np.concatenate(parts, 1)
+    own = code_lengths(np.bincount(symbols, minlength=19), 7)
+    many = max([4, *(k + 1 for k, s in enumerate(LENGTH_ORDER) if own[s])])
     w.put(0, 1)
-    w.put(15, 4)
-    for k in LENGTH_ORDER:
-        w.put(4 if k < 16 else 0, 3)
+    w.put(many - 4, 4)
+    for s in LENGTH_ORDER[:many]:
+        w.put(int(own[s]), 3)
     w.put(0, 1)
-    nibbles = _NIBBLES[np.append(lengths, 0)[: len(lengths) + (len(lengths) & 1)]]
-    w.put(int.from_bytes((nibbles[::2] | nibbles[1::2] << 4).tobytes(), "little"), 4 * len(lengths))
+    codes, sizes = canonical(own), own * (np.count_nonzero(own) > 1)
+    w.put_all(np.stack([codes[symbols], extra], 1).ravel(), np.stack([sizes[symbols], wide], 1).ravel())
 
 
-def _prefix(value: int) -> tuple[int, int, int]:
-    """Prefix symbol, extra bits and their number for a length or distance."""
-    if value <= 4:
-        return value - 1, 0, 0
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, extra bits and their number for lengths or distances."""
     v = value - 1
-    top = v.bit_length() - 1
-    extra = top - 1
-    return 2 * top + (v >> extra & 1), v & ((1 << extra) - 1), extra
-
-
-def _symbols(px: np.ndarray, wide: int, bits: int, copies: bool) -> list:
-    """Literals, copies (length, distance code) and cache hits for ARGB numbers px."""
-    out, cache, at, px = [], {}, 0, px.tolist()
-    codes = {distance(c, wide): c for c in range(120, 0, -1)}
-    while at < len(px):
-        best = (0, 0)
-        for back in (1, wide) if copies else ():
-            n = 0
-            while back <= at and at + n < len(px) and n < 4096 and px[at + n] == px[at + n - back]:
-                n += 1
-            best = max(best, (n, back))
-        p = px[at]
-        slot = (p * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - bits) if bits else None
-        if best[0] >= 3:
-            out.append(("copy", best[0], codes.get(best[1], best[1] + 120)))
-            step = best[0]
-        else:
-            out.append(("cache", slot) if bits and cache.get(slot) == p else ("pixel", p))
-            step = 1
-        if bits:
-            for q in px[at : at + step]:
-                cache[(q * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - bits)] = q
-        at += step
+    extra = np.maximum(np.frexp(v.astype(float))[1] - 2, 0)
+    small = value <= 4
+    return np.where(small, v, 2 * extra + 2 + (v >> extra & 1)), np.where(small, 0, v & ((1 << extra) - 1)), np.where(small, 0, extra)
+
+
+_CODES: dict[int, np.ndarray] = {}
+
+
+def _distance_codes(wide: int, back: np.ndarray) -> np.ndarray:
+    if wide not in _CODES:
+        if len(_CODES) > 64:
+            _CODES.clear()
+        codes = np.zeros(8 * wide + 9, np.int64)
+        codes[np.maximum(1, _DX + _DY * wide)[::-1]] = np.arange(120, 0, -1)
+        _CODES[wide] = codes
+    known = _CODES[wide]
+    got = known[np.minimum(back, len(known) - 1)]
+    return np.where((back < len(known)) & (got > 0), got, back + 120)
+
+
+def _latest(key: np.ndarray) -> np.ndarray:
+    """For each place the latest one before it with the same key, else -1."""
+    order = np.argsort(key, kind="stable")
+    out = np.full(len(key), -1)
+    same = key[order[1:]] == key[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
-def _put_image(w: Writer, px: np.ndarray, top: bool, cache: int = 0, copies: bool = True):
-    """px: rows, columns, channels."""
-    argb = (px.astype(np.int64) * [1 << 24, 1 << 16, 1 << 8, 1]).sum(-1).ravel()
-    w.put(1 if cache else 0, 1)
-    if cache:
-        w.put(cache, 4)
+def _copies(argb: np.ndarray, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(place, pixels, distance) of back-references, greedily from the start: to the latest place where the same three pixels stand."""
+    n = len(argb)
+    if n < 4:
+        return []
+    key = ((argb[:-2] * np.uint32(MIX[0])) ^ (argb[1:-1] * np.uint32(MIX[1])) ^ (argb[2:] * np.uint32(CACHE_FACTOR))) >> np.uint32(16)
+    before = _latest(key.astype(np.uint16))
+    place = np.flatnonzero(before >= 0)
+    for k in range(3):  # not by chance of the key
+        place = place[argb[place + k] == argb[before[place] + k]]
+    out, at = [], 0
+    for i in place.tolist():
+        if i < at:
+            continue
+        j, size = int(before[i]), 64
+        while True:  # as long as both go on alike
+            size = min(size, n - i, most)
+            other = argb[i : i + size] != argb[j : j + size]
+            k = int(other.argmax())
+            if other[k] or size in (n - i, most):
+                k = k if other[k] else size
+                break
+            size *= 4
+        out.append((i, k, i - j))
+        at = i + k
+    return out
+
+
+def _bits_of(counts: np.ndarray, first: np.ndarray) -> float:
+    """About the bits that symbols with these counts take, with their codes; first: where each code's counts begin."""
+    logs = counts * np.log2(np.maximum(counts, 1))
+    total = np.add.reduceat(counts, first)
+    return float((total * np.log2(np.maximum(total, 1))).sum() - logs.sum() + 4.0 * np.count_nonzero(counts))
+
+
+_FIRST = np.arange(0, 1024, 256)
+
+
+def _channel_counts(px: np.ndarray) -> np.ndarray:
+    return np.bincount((px.reshape(-1, 4) + _FIRST).ravel(), minlength=1024)
+
+
+def _put_image(w: Writer, px: np.ndarray, top: bool, caches: tuple = (0,), copies: bool = True):
+    """px: rows, columns, channels, under the size of colour cache of caches that costs least."""
+    each = px.reshape(-1, 4).astype(np.int64)
+    argb = (each[:, 0] << 24 | each[:, 1] << 16 | each[:, 2] << 8 | each[:, 3]).astype(np.uint32)
+    found = _copies(argb) if copies else []
+    n = len(argb)
+    start, length, back = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    inside = np.zeros(n + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + length, -1)
+    plain = np.cumsum(inside[:n]) == 0
+    is_copy = np.zeros(n, bool)
+    is_copy[start] = True
+    tokens = np.flatnonzero(plain | is_copy)
+    copy = is_copy[tokens]
+    literal = argb[tokens].astype(np.int64)
+    size_, extra_l, n_l = _prefixes(length)
+    dist, extra_d, n_d = _prefixes(_distance_codes(px.shape[1], back))
+    best = None
+    for bits in caches:
+        slot, hit = None, np.zeros(len(tokens), bool)
+        if bits:
+            slot = (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)).astype(np.uint16)
+            before = _latest(slot)
+            hit = ((before >= 0) & (argb[before] == argb))[tokens] & ~copy
+        by_channel = _channel_counts(each[tokens[~copy & ~hit]]).reshape(4, 256)
+        cached = np.bincount(slot[tokens[hit]], minlength=1 << bits) if bits else np.zeros(0, np.int64)
+        counts = np.concatenate([by_channel[2], np.bincount(size_, minlength=24), cached, by_channel[1], by_channel[3], by_channel[0], np.bincount(dist, minlength=40)])
+        first = np.cumsum([0, 280 + len(cached), 256, 256, 256])
+        cost = _bits_of(counts, first)
+        if best is None or cost < best[0]:
+            best = cost, bits, slot, hit, np.split(counts, first[1:])
+    _, bits, slot, hit, counts = best
+    w.put(1 if bits else 0, 1)
+    if bits:
+        w.put(bits, 4)
     if top:
-        w.put(0, 1)
-    symbols = _symbols(argb, px.shape[1], cache, copies)
-    counts = [np.zeros(n, np.int64) for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40)]
-    rows = []
-    for s in symbols:
-        if s[0] == "pixel":
-            a, r, g, b = (s[1] >> k & 255 for k in (24, 16, 8, 0))
-            row = [(0, g, 0, 0), (1, r, 0, 0), (2, b, 0, 0), (3, a, 0, 0)]
-        elif s[0] == "cache":
-            row = [(0, 280 + s[1], 0, 0)]
-        else:
-            n, d = _prefix(s[1]), _prefix(s[2])
-            row = [(0, 256 + n[0], *n[1:]), (4, *d)]
-        for k, v, _, _ in row:
-            counts[k][v] += 1
-        rows += row
+        w.put(0, 1)  # one group of codes
     lengths = [code_lengths(c, 15) for c in counts]
-    for n in lengths:
-        write_lengths(w, n)
-    codes = [canonical(n) for n in lengths]
-    bits = [np.where((n > 0).sum() > 1, n, 0) for n in lengths]
-    for k, v, extra, n in rows:
-        w.put(int(codes[k][v]) if bits[k][v] else 0, int(bits[k][v]))
-        w.put(extra, n)
+    for x in lengths:
+        write_lengths(w, x)
+    codes = [canonical(x) for x in lengths]
+    sizes = [x * (np.count_nonzero(x) > 1) for x in lengths]
+    values, widths = np.zeros((len(tokens), 4), np.int64), np.zeros((len(tokens), 4), np.int64)
+    first = literal >> 8 & 255
+    first[copy] = 256 + size_
+    if bits:
+        first[hit] = 280 + slot[tokens[hit]].astype(np.int64)
+    values[:, 0], widths[:, 0] = codes[0][first], sizes[0][first]
+    real = ~copy & ~hit
+    for k, at in ((1, 16), (2, 0), (3, 24)):
+        symbol = literal[real] >> at & 255
+        values[real, k], widths[real, k] = codes[k][symbol], sizes[k][symbol]
+    values[copy, 1], widths[copy, 1] = extra_l, n_l
+    values[copy, 2], widths[copy, 2] = codes[4][dist], sizes[4][dist]
+    values[copy, 3], widths[copy, 3] = extra_d, n_d
+    w.put_all(values.ravel(), widths.ravel())
 
 
 def _file(data: bytes) -> bytes:
@@ -467,109 +670,140 @@ def _file(data: bytes) -> bytes:
     return b"RIFF" + (12 + len(data) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + pad
 
 
-def _start(wide: int, high: int) -> Writer:
-    w = Writer()
-    for v, n in ((0x2F, 8), (wide - 1, 14), (high - 1, 14), (1, 1), (0, 3)):
-        w.put(v, n)
-    return w
+def _neighbours(px: np.ndarray):
+    """Left, top, top-left and top-right pixels of all but the first row and column."""
+    return px[1:, :-1], px[:-1, 1:], px[:-1, :-1], np.concatenate([px[:-1, 2:], px[1:, :1]], 1)
 
 
-def encode(px: np.ndarray, transforms: tuple = (), cache: int = 0, copies: bool = True, block: int = 3) -> bytes:
-    """A lossless WebP file of px (rows, columns, alpha red green blue). transforms: kinds in the order applied; predictor modes and cross-colour elements vary by block."""
-    px = px.astype(np.int64)
+def _residuals(px: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """px less the predictions by block."""
+    out = px.copy()
+    out[0, 1:] -= px[0, :-1]
+    out[1:, 0] -= px[:-1, 0]
+    out[0, 0, 0] -= 255
     high, wide, _ = px.shape
-    w = _start(wide, high)
-    for kind in transforms:
-        w.put(1, 1)
-        w.put(kind, 2)
-        wide = px.shape[1]
-        h, a = -(-high >> block), -(-wide >> block)
+    if high > 1 and wide > 1:
+        own = modes[np.arange(1, high)[:, None] >> bits, np.arange(1, wide)[None] >> bits]
+        around = _neighbours(px)
+        for m in np.unique(own):
+            i = own == m
+            out[1:, 1:][i] -= _guess(int(m), *(x[i] for x in around))
+    return out & 255
+
+
+def _blocks(x: np.ndarray, bits: int, cut: int = 0) -> np.ndarray:
+    """Sums of x (rows, columns) over blocks of the image whose first `cut` rows and columns x lacks."""
+    rows, columns = (np.maximum(np.arange(0, n + cut, 1 << bits) - cut, 0) for n in x.shape)
+    if cut:  # a last block of nothing but what x lacks can't be: cut is less than a block
+        rows, columns = rows[rows < x.shape[0]], columns[columns < x.shape[1]]
+    return np.add.reduceat(np.add.reduceat(x, rows, 0), columns, 1)
+
+
+def best_modes(px: np.ndarray, bits: int = BLOCK_BITS) -> np.ndarray:
+    """The predictor of each block whose residuals are the least in all."""
+    high, wide, _ = px.shape
+    if high == 1 or wide == 1:
+        return np.ones((-(-high >> bits), -(-wide >> bits)), np.int64)
+    planes = np.ascontiguousarray(np.moveaxis(px, -1, 0), np.int16)
+    here, around = planes[:, 1:, 1:], (planes[:, 1:, :-1], planes[:, :-1, 1:], planes[:, :-1, :-1], np.concatenate([planes[:, :-1, 2:], planes[:, 1:, :1]], 2))
+    costs = []
+    for m in MODES:
+        d = (here - _guess(m, *around, axis=0)).astype(np.int8)  # wraps as samples do
+        costs.append(_blocks(np.abs(d.astype(np.int16)).sum(0, dtype=np.int32), bits, 1))
+    return np.array(MODES)[np.argmin(costs, 0)]
+
+
+def best_factors(px: np.ndarray, bits: int = BLOCK_BITS) -> np.ndarray:
+    """Cross-colour elements of each block, by least squares."""
+    signed = (px + 128 & 255) - 128
+    r, g, b = (signed[..., k].astype(float) for k in (1, 2, 3))
+    each = np.maximum(_blocks(g * g, bits), 1)
+    fit = lambda y: np.clip(np.rint(32 * _blocks(g * y, bits) / each), -127, 127).astype(np.int64)
+    out = np.zeros((*each.shape, 4), np.int64)
+    out[..., 0], out[..., 3], out[..., 2] = 255, fit(r), fit(b)
+    return out & 255
+
+
+def _packed(px: np.ndarray):
+    """The palette of px and its pixels as bundled indexes, if it has one."""
+    argb = (px[..., 0] << 24 | px[..., 1] << 16 | px[..., 2] << 8 | px[..., 3]).ravel()
+    colours, index = np.unique(argb, return_inverse=True)
+    if len(colours) > 256:
+        return None
+    n, (high, wide) = _bundle(len(colours)), px.shape[:2]
+    each = 1 << n
+    index = np.pad(index.reshape(high, wide), ((0, 0), (0, -wide % each)))
+    out = np.zeros((high, index.shape[1] // each, 4), np.int64)
+    out[..., 0] = 255
+    out[..., 2] = (index.reshape(high, -1, each) << np.arange(each) * (8 >> n)).sum(-1)
+    return np.diff(_channels(colours, 1, len(colours)), axis=1, prepend=0) & 255, out
+
+
+def _transformed(px: np.ndarray, kinds: tuple, side: dict, bits: int):
+    """What kinds in turn leave of px, and what is to be written of each of them; None if one of them can't be."""
+    notes = []
+    for kind in kinds:
         if kind in (PREDICTOR, CROSS):
-            w.put(block - 2, 3)
-            grid = np.arange(h * a).reshape(h, a)
-            side = np.zeros((h, a, 4), np.int64)
-            side[..., 0] = 255
+            data = side[kind](px, bits)
             if kind == PREDICTOR:
-                side[..., 2] = grid % 14
-                px = _predictor(px, side[..., 2], block, -1)
+                modes = np.zeros((*data.shape, 4), np.int64)
+                modes[..., 0], modes[..., 2] = 255, data
+                px, data = _residuals(px, data, bits), modes
             else:
-                side[..., 1:] = np.stack([grid * 37, grid * 11 + 200, grid * 5 + 7], -1) & 255
-                px = _cross(px, side, block, -1)
-            _put_image(w, side, False)
+                px = _cross(px, data, bits, -1)
         elif kind == SUBTRACT:
-            px = px.copy()
-            px[..., 1] = (px[..., 1] - px[..., 2]) & 255
-            px[..., 3] = (px[..., 3] - px[..., 2]) & 255
+            px, data = px.copy(), None
+            px[..., [1, 3]] = (px[..., [1, 3]] - px[..., 2:3]) & 255
         else:
-            colours, index = np.unique(px.reshape(-1, 4), axis=0, return_inverse=True)
-            if len(colours) > 256:
-                raise ValueError("too many colours for a palette")
-            w.put(len(colours) - 1, 8)
-            _put_image(w, (np.diff(colours, axis=0, prepend=0) & 255)[None], False)
-            n = _bundle(len(colours))
-            index = index.reshape(high, wide)
-            packed = np.zeros((high, -(-wide >> n), 4), np.int64)
-            packed[..., 0] = 255
-            for x in range(wide):
-                packed[:, x >> n, 2] |= index[:, x] << ((x & (1 << n) - 1) * (8 >> n))
-            px = packed
+            got = _packed(px)
+            if got is None:
+                return None
+            data, px = got
+        notes.append((kind, data))
+    return px, notes
+
+
+def _written(px: np.ndarray, shape: tuple, notes: list, caches: tuple, copies: bool, bits: int) -> bytes:
+    w = Writer()
+    for v, n in ((0x2F, 8), (shape[1] - 1, 14), (shape[0] - 1, 14), (1, 1), (0, 3)):
+        w.put(v, n)
+    for kind, data in notes:
+        w.put(1, 1)
+        w.put(kind, 2)
+        if kind in (PREDICTOR, CROSS):
+            w.put(bits - 2, 3)
+        elif kind == PALETTE:
+            w.put(data.shape[1] - 1, 8)
+        if data is not None:
+            _put_image(w, data, False)
     w.put(0, 1)
-    _put_image(w, px, True, cache, copies)
-    return _file(w.value.to_bytes(-(-w.n // 8), "little"))
+    _put_image(w, px, True, caches, copies)
+    return _file(w.data())
 
 
-# Bytes as images
+BEST = {PREDICTOR: best_modes, CROSS: best_factors}
 
-_GREYS = np.stack([np.full(256, 255), *[np.arange(256)] * 3], -1)
 
+def encode(px: np.ndarray, transforms: tuple = (), caches: tuple = (0,), copies: bool = True, bits: int = 3, side: dict | None = None) -> bytes:
+    """A lossless WebP file of px (rows, columns, alpha red green blue). transforms: kinds in the order applied; side: functions that choose the blocks' modes and elements."""
+    got = _transformed(px.astype(np.int64), transforms, side or BEST, bits)
+    if got is None:
+        raise ValueError("too many colours for a palette")
+    return _written(got[0], px.shape, got[1], caches, copies, bits)
 
-def _palette_bits() -> tuple[int, int]:
-    """A palette of all greys in order, as every stored image has it, and the end of the transforms."""
-    w = Writer()
-    for v, n in ((1, 1), (PALETTE, 2), (255, 8)):
-        w.put(v, n)
-    _put_image(w, (np.diff(_GREYS, axis=0, prepend=0) & 255)[None], False)
-    w.put(0, 1)
-    return w.value, w.n
-
-
-_PALETTE = _palette_bits()
-
-
-def _store_rows(rows: bytes) -> bytes:
-    """One image of samples: literals, and a back-reference for each run at the end of the fill byte."""
-    samples = np.frombuffer(rows, np.uint8)
-    run = len(rows) - len(rows.rstrip(bytes([FILL])))
-    run = run - 1 if run > 3 else 0  # the first of them is a literal
-    plain = samples[: len(samples) - run]
-    counts = np.bincount(plain, minlength=280)
-    parts = []
-    while run:
-        n = min(run, 4096)
-        parts.append(_prefix(n))
-        counts[256 + parts[-1][0]] += 1
-        run -= n
-    lengths = code_lengths(counts, MOST_BITS)
-    w = _start(WIDE, len(rows) // WIDE)
-    w.put(*_PALETTE)
-    w.put(0, 2)  # no cache, one group of codes
-    write_lengths(w, lengths)
-    for s in (0, 0, 255, 1):  # red, blue, alpha, and distance code 2: the pixel to the left
-        write_lengths(w, np.eye(1, 256, s, dtype=np.int64)[0])
-    codes = canonical(lengths)
-    if (lengths > 0).sum() < 2:
-        lengths = np.zeros_like(lengths)
-    size = lengths[plain]
-    ends = np.cumsum(size)
-    total = int(ends[-1])
-    place = np.arange(total) - np.repeat(ends - size, size)
-    tail = Writer()
-    for s, extra, n in parts:
-        tail.put(int(codes[256 + s]) if lengths[256 + s] else 0, int(lengths[256 + s]))
-        tail.put(extra, n)
-    of = lambda x: np.unpackbits(np.frombuffer(x.value.to_bytes(-(-x.n // 8), "little"), np.uint8), bitorder="little")[: x.n]
-    bits = np.concatenate([of(w), (np.repeat(codes[plain], size) >> place & 1).astype(np.uint8), of(tail)])
-    return _file(np.packbits(bits, bitorder="little").tobytes())
+
+def smallest(px: np.ndarray) -> bytes:
+    """The smallest file of px among the transforms that seem near the best."""
+    px, tried = px.astype(np.int64), []
+    for kinds in ((), (SUBTRACT,), (PREDICTOR,), (CROSS,), (PALETTE,)):
+        got = _transformed(px, kinds, BEST, BLOCK_BITS)
+        if got is not None:
+            tried.append((sum(_bits_of(_channel_counts(x), _FIRST) for x in (got[0], *(d for _, d in got[1] if d is not None))), got))
+    least = min(x[0] for x in tried)
+    return min((_written(*(got[0], px.shape, got[1]), CACHES, True, BLOCK_BITS) for cost, got in tried if cost <= NEARLY * least), key=len)
+
+
+# Bytes as images
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -580,8 +814,9 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 def store(payload: bytes) -> bytes:
     """WebP files, one after the other, that hold payload (a multiple of WIDE bytes)."""
-    step = WIDE * ROWS
-    return b"".join(_store_rows(payload[i : i + step]) for i in range(0, len(payload), step))
+    rgb = np.frombuffer(payload, np.uint8).reshape(-1, ACROSS, 3)
+    px = np.concatenate([np.full((*rgb.shape[:2], 1), 255, np.uint8), rgb], 2)
+    return b"".join(smallest(px[i : i + ROWS]) for i in range(0, len(px), ROWS))
 
 
 def files(media: bytes) -> list[bytes]:
@@ -593,79 +828,12 @@ def files(media: bytes) -> list[bytes]:
     return out
 
 
-def _in_step(data: list[bytes], start: list[int], total: list[int], tables: list, out: list[np.ndarray]):
-    """Decodes index images whose other channels take no bits, one symbol of each at a time."""
-    n = len(data)
-    flat = np.frombuffer(b"".join(x + b"\0" * 8 for x in data), np.uint8).astype(np.uint32)
-    word = flat[:-3] | flat[1:-2] << 8 | flat[2:-1] << 16 | flat[3:] << 24
-    base = np.cumsum([0, *(len(x) + 8 for x in data[:-1])]) * 8
-    pos, ends = base + start, base + np.array([8 * len(x) for x in data])
-    table_ = np.concatenate([t for t, _ in tables]).astype(np.int32)
-    offset = np.cumsum([0, *(len(t) for t, _ in tables[:-1])])
-    mask = np.array([(1 << b) - 1 for _, b in tables], np.uint32)
-    goal = np.array(total)
-    home = np.cumsum(np.r_[0, goal[:-1]])
-    pixels, lane = np.zeros(int(goal.sum()), np.uint8), np.arange(n)
-    goal_of, at, step = home + goal, home.copy(), 0
-    while len(lane):
-        got = table_[offset + (word[pos >> 3] >> (pos & 7).astype(np.uint32) & mask)]
-        pos = pos + (got & 15)
-        got >>= 4
-        pixels[at] = got
-        at = at + 1
-        if got.max() >= 256:
-            for k in np.flatnonzero(got >= 256):
-                b = Bits(data[lane[k]], int(pos[k] - base[lane[k]]))
-                length = _extended(b, int(got[k]) - 256)
-                pos[k] = base[lane[k]] + b.pos
-                i = int(at[k]) - 1
-                if i == home[lane[k]] or i + length > goal_of[k]:
-                    raise ValueError("back-reference outside the image")
-                pixels[i : i + length] = pixels[i - 1]
-                at[k] = i + length
-        live = at < goal_of
-        if not live.all():
-            if (pos[~live] > ends[lane[~live]]).any():
-                raise ValueError("image data ends too early")
-            pos, at, lane, offset, mask, goal_of = pos[live], at[live], lane[live], offset[live], mask[live], goal_of[live]
-        step += 1
-        if step % 256 == 0:
-            pos = np.minimum(pos, 8 * (len(flat) - 4))  # a broken image runs on until its end shows it
-    for k in range(n):
-        out[k] = pixels[home[k] : home[k] + goal[k]]
-
-
-def load(media: list[bytes]) -> list[bytes]:
-    """The payloads that media (results of store) hold."""
-    samples: list = []
-    todo = ([], [], [], [], [])
-    for m in media:
-        own = []
-        for f in files(m):
-            data = chunk(f)
-            b = Bits(data)
-            wide, high = _header(b)
-            known = int.from_bytes(data[b.pos // 8 : b.pos // 8 + _PALETTE[1] // 8 + 1], "little") & ((1 << _PALETTE[1]) - 1) == _PALETTE[0]
-            fast = False
-            if known:
-                b.pos += _PALETTE[1]
-                if b.read(2) == 0:
-                    codes = [read_lengths(b, a) for a in (280, 256, 256, 256, 40)]
-                    lone = [np.flatnonzero(c) for c in codes[1:]]
-                    fast = [x.tolist() for x in lone] == [[0], [0], [255], [1]]
-            own.append(np.zeros(0, np.uint8))
-            if fast:
-                for x, v in zip(todo, (data, b.pos, wide * high, _lookup(codes[0]), (own, len(own) - 1))):
-                    x.append(v)
-            else:
-                own[-1] = decode(f)[..., 2].ravel()
-        samples.append(own)
-    if todo[0]:
-        got: list = [None] * len(todo[0])
-        _in_step(*todo[:4], got)
-        for (own, k), x in zip(todo[4], got):
-            own[k] = _GREYS[x, 2].astype(np.uint8)  # the palette, undone
-    return [np.concatenate(x).tobytes() for x in samples]
+def load(media: list[bytes]) -> list[np.ndarray]:
+    """The pixels (rows, columns, red green blue) that media (results of store) hold."""
+    own = [files(m) for m in media]
+    every = [f for x in own for f in x]
+    got = iter(px[..., 1:] for i in range(0, len(every), AT_ONCE) for px in decode_all(every[i : i + AT_ONCE]))
+    return [np.concatenate([next(got) for _ in x]) for x in own]
 
 
 def feature(payload: bytes) -> str:
@@ -676,17 +844,22 @@ def feature(payload: bytes) -> str:
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-#: Bytes of payload that a worker decodes at once.
+#: Bytes of payload that a worker holds before it decodes them.
 TOGETHER = 4 << 20
 
 
 def keep_texts(docs: DataFrame, media: bool = False) -> DataFrame:
-    """The columns of SCHEMA for each row of docs (doc_id, text), from the bytes read back; media adds the stored files."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["media"] * media
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    """The columns of SCHEMA for each row of docs (doc_id, text), from the pixels read back; media adds the stored files and the pixel array: high, wide and samples (row by row, red, green and blue of each pixel)."""
+    more = ", media binary, high int, wide int, samples binary" * media
+    names = [x.split()[0] for x in (SCHEMA + more).split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def flush(ids, sizes, stored):
-        cols = list(zip(*((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p), m) for i, n, p, m in zip(ids, sizes, load(stored), stored))))
+        rows = []
+        for i, n, px, m in zip(ids, sizes, load(stored), stored):
+            p = px.tobytes()
+            rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p), m, *px.shape[:2], p)[: len(names)])
+        cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)][: len(names)], names=names)
 
     def run(batches):
@@ -704,7 +877,7 @@ def keep_texts(docs: DataFrame, media: bool = False) -> DataFrame:
         if ids:
             yield flush(ids, sizes, stored)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", media binary" * media)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + more)
 
 
 def op8(spark, sf_dir) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -271,24 +272,65 @@ def test_bpe_is_the_librarys(spark, edges):
 @pytest.mark.parametrize("kinds", [(), (0,), (1,), (2,), (3,), (0, 1, 2), (2, 1, 0), (3, 0)])
 def test_webp_round_trips(kinds):
     rng = np.random.default_rng(len(kinds))
+    every = lambda px, bits: np.arange(np.prod(s := [-(-n >> bits) for n in px.shape[:2]])).reshape(s)
+    side = {webp.PREDICTOR: lambda px, bits: every(px, bits) % 14, webp.CROSS: lambda px, bits: np.stack([every(px, bits) * k & 255 for k in (0, 37, 11, 5)], -1)}
+    images, media = [], []
     for cache in (0, 4):
         for high, wide in ((1, 1), (5, 7), (19, 33)):
             px = rng.integers(0, 256, (12, 4))[rng.integers(0, 12, (high, wide))] if 3 in kinds else rng.integers(0, 256, (high, wide, 4))
             px[:, wide // 2 :] = px[:, :1]
-            assert (webp.decode(webp.encode(px, kinds, cache)) == px).all()
-
-
-def test_webp_store(spark, edges):
+            for chosen in (None, side):
+                images.append(px)
+                media.append(webp.encode(px, kinds, (cache,), side=chosen))
+    for px, got, f in zip(images, webp.decode_all(media), media):  # in step with each other, and alone
+        assert (got == px).all() and (webp.decode(f) == px).all()
+
+
+def test_webp_reads_files_of_others():
+    one = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")  # a public probe for lossless support: one clear pixel
+    assert webp.decode(one).tolist() == [[[0, 0, 0, 0]]]
+    w = webp.Writer()  # by hand: two groups of codes without a bit of pixels, dealt by an entropy image of 4 by 4 pixels a block
+    for v, n in ((0x2F, 8), (7, 14), (3, 14), (1, 1), (0, 3), (0, 1), (0, 1), (1, 1), (0, 3)):
+        w.put(v, n)
+    webp._put_image(w, np.array([[[255, 0, 0, 0], [255, 0, 1, 0]]]), False)
+    for group in ((10, 20, 30, 255, 0), (1, 2, 3, 4, 0)):  # green, red, blue, alpha, distance
+        for symbol in group:
+            webp.write_lengths(w, np.eye(1, 256, symbol, dtype=int)[0])
+    px = webp.decode(webp._file(w.data()))
+    assert px.shape == (4, 8, 4) and (px[:, :4] == [255, 20, 10, 30]).all() and (px[:, 4:] == [4, 2, 1, 3]).all()
+
+
+def test_webp_picks_the_smallest():
+    y, x = np.mgrid[:16, :192]
+    rng = np.random.default_rng(0)
+    noise = rng.integers(0, 256, (16, 192))
+    opaque = lambda *c: np.stack([np.full((16, 192), 255), *c], -1) & 255
+    first = lambda f: (lambda b: (webp._header(b), b.read(2) if b.read(1) else None)[1])(webp.Bits(webp.chunk(f)))
+    some = {
+        None: opaque(rng.integers(0, 20, (16, 192)), noise, rng.integers(0, 9, (16, 192))),
+        webp.PREDICTOR: opaque(x * 3 + y * y + noise % 3, x * 5 + y + noise % 5 // 4, 255 - x - y * 3),
+        webp.SUBTRACT: opaque(noise, noise, noise),
+        webp.CROSS: opaque((noise + 128 & 255) - 128 >> 1, noise, rng.integers(0, 256, (16, 192))),
+        webp.PALETTE: opaque(*rng.integers(0, 256, (3, 7))[:, rng.integers(0, 7, (16, 192))]),
+    }
+    for kind, px in some.items():
+        f = webp.smallest(px)
+        assert first(f) == kind and (webp.decode(f) == px).all()
+
+
+def test_webp_store(spark, edges, none):
     payloads = [webp.payload_of(x)[0] for x in (None, "a", "b" * 576, "ÿ" * 9000, "xyz " * 9000, "".join(map(chr, range(1, 2000))))]
     media = [webp.store(p) for p in payloads]
-    assert webp.load(media) == payloads
-    for p, m in zip(payloads, media):  # in step or alone, the samples are the same
-        assert b"".join(webp.decode(f)[..., 2].tobytes() for f in webp.files(m)) == p
+    assert [x.tobytes() for x in webp.load(media)] == payloads
     with pytest.raises(ValueError):
         webp.decode(media[3][:40])
-    for r, (_, text, *_) in zip(webp.keep_texts(edges).collect(), EDGES):
+    with pytest.raises(ValueError):
+        webp.decode_all([media[1], media[3][: len(webp.files(media[3])[0]) // 2]])
+    for r, (_, text, *_) in zip(webp.keep_texts(edges, media=True).collect(), EDGES):
         p, n = webp.payload_of(text)
         assert (r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r["samples"], r["high"] * r["wide"] * 3) == (p, len(p)) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+    assert webp.keep_texts(none).count() == 0
 
 
 def components(prints, radius=4):
