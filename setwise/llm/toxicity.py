@@ -33,7 +33,7 @@ WINDOW = 32
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
 STEPS, GRAMS, NEIGHBOURS = 50, (3, 4, 5), 4
 LEAST, SWAPPED, STANDS_OUT = 3, 0.5, 36.0
-KEPT_WORDS, WINDOWS = 120_000, 2048
+KEPT_WORDS, WINDOWS = 120_000, 4096
 #: A text of fewer words has its windows copied out; in longer ones neighbouring windows share their words in place.
 FEW = 2 * WINDOW
 #: Odd factors of the hash of n-grams; words that a worker numbers at once.
