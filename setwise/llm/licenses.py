@@ -3,7 +3,8 @@
 A text is put in normal form: A-Z in lower case, words of letters, digits and non-ASCII characters, each between two
 spaces. A rule is a regular expression over that form with a keyword that must be in the text first, a label, a
 priority and a weight. Only rules whose keyword is there are run. Where detections overlap, one inside another
-interval goes, of equal intervals the lower priority goes, and a detection that a higher priority overlaps goes.
+interval goes, of equal intervals the lower priority goes, and then a detection that one of a higher priority overlaps
+goes, whether that one is itself overlapped by a still higher one or not.
 
 Defined results: null and empty texts have no words and no detections (score 0, empty labels); repeated rows each get a
 row; ties of priority go to the label first in order; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +21,8 @@ from pyspark.sql import Window as W
 
 from setwise.llm.common import lookup, materialise, table, text_key, ascii_lower
 
+#: Texts with a form that a task scans.
+FORMS = 500
 #: Base phrases and labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: ASCII characters that are no part of a word, before and after A-Z becomes lower case.
@@ -161,11 +164,16 @@ def _words_in(part: Column) -> Column:
 
 def detections(texts: DataFrame, key: str = "key", form: str = "form") -> DataFrame:
     """key, label, weight, start, end (characters of the form) of what the rules find and suppression leaves, for distinct keys."""
-    fields = [F.struct(F.lit(a).alias("label"), F.lit(b).alias("keyword"), F.lit(_spaced(c)).alias("pattern"), F.lit(d).alias("priority"), F.lit(float(e)).alias("weight"), F.lit(k).alias("rule")) for k, (a, b, c, d, e) in enumerate(rules())]
+    listed = rules()
+    fields = [F.struct(F.lit(a).alias("label"), F.lit(b).alias("keyword"), F.lit(_spaced(c)).alias("pattern"), F.lit(d).alias("priority"), F.lit(float(e)).alias("weight"), F.lit(k).alias("rule")) for k, (a, b, c, d, e) in enumerate(listed)]
     plain = F.replace(F.col(form), F.lit("  "), F.lit(" "))
-    gated = texts.withColumn("plain", plain).withColumn("rules", F.array(*fields))
-    gated = gated.withColumn("r", F.explode(F.filter("rules", lambda r: F.contains(F.col("plain"), r["keyword"])))).select(key, form, "r")
-    hits = gated.where(F.rlike(form, F.col("r.pattern")))
+    # The rules of a keyword are tried only where it stands; each pattern is a literal, compiled once a task.
+    tried = []
+    for word in sorted({r[1] for r in listed}):
+        own = [F.when(F.rlike(form, F.lit(_spaced(r[2]))), F.lit(k)) for k, r in enumerate(listed) if r[1] == word]
+        tried.append(F.when(F.contains("plain", F.lit(word)), F.array_compact(F.array(*own))).otherwise(F.array().cast("array<int>")))
+    gated = texts.withColumn("plain", plain).select(key, form, F.explode(F.flatten(F.array(*tried))).alias("rule"))
+    hits = gated.select(key, form, F.element_at(F.array(*fields), F.col("rule") + 1).alias("r"))
     pieces = F.arrays_zip(F.split(F.col(form), F.col("r.pattern"), -1).alias("before"), F.regexp_extract_all(form, F.col("r.pattern"), F.lit(0)).alias("hit"))
     found = hits.select(key, "r", F.posexplode(pieces).alias("k", "piece"))
     sizes = found.select(key, "r", "k", F.length("piece.before").alias("skip"), F.length("piece.hit").alias("size"))
@@ -205,7 +213,8 @@ def scan(docs: DataFrame) -> DataFrame:
         tails.append(F.when(F.contains("form", F.lit(p)), F.col("n_words") - _words_in(F.substring_index("form", p, -1)) - len(phrase.split())))
         base.append(F.when(F.contains("form", F.lit(p)), F.lit(label)))
     rows_out = forms.select("doc_id", "key", "n_words", n_base.cast("long").alias("n_base"), F.least(*heads).alias("first_word"), F.greatest(*tails).alias("last_word"), F.array_sort(F.array_compact(F.array(*base))).alias("base"))
-    texts = forms.where("form <> ''").groupBy("key").agg(F.first("form").alias("form"))
+    texts = forms.where("form <> ''")
+    texts = texts.repartition(max(1, -(-texts.count() // FORMS)), "key").groupBy("key").agg(F.first("form").alias("form"))  # by rows, as they cost more than their bytes say
     found = detections(texts).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("weight").alias("score"))
     rows_out = lookup(rows_out, materialise(found, "detections"), ["key"])
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
