@@ -15,6 +15,7 @@ columns are ignored. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -34,6 +35,26 @@ from setwise.llm.common import table
 BLANK = "\t-\r \x85\xa0  -     　"
 NOT_BLANK = re.compile("[\x1c-\x1f]")
 CACHE, CACHED_CHARS = 500_000, 48
+def _ranges(codes: list[int]) -> str:
+    """Code points as ranges of a character class."""
+    out = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
+
+
+@functools.cache
+def newer_characters() -> tuple[str, str]:
+    """Character classes of the code points that this Python's Unicode doesn't assign, and of those among them that the regex module has for letters or numbers and the tokenizers library, of another Unicode, doesn't."""
+    from tokenizers import Regex, pre_tokenizers
+
+    new = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    named = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, new)))
+    known = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(named))
+    return _ranges(new), _ranges(sorted(set(map(ord, named)) - {ord(c) for piece, _ in known for c in piece}))
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +80,11 @@ class Vocabulary:
         places = {c: b for b, c in enumerate(byte_symbols())}
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", BLANK))
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", BLANK)
+        self.pattern = regex.compile(split)
+        newer, beyond = newer_characters()
+        self.newer = re.compile(f"[{newer}]")
+        self.strict = regex.compile(regex.sub(r"\\p\{\w\}", lambda m: f"[{m[0]}--[{beyond}]]", split), regex.V1) if beyond else self.pattern
 
         def symbols(token: str) -> str:
             ends = token.endswith(self.end) and token != self.end
@@ -177,6 +202,10 @@ class Codec:
         """Composed and lower-case. Runs of white space stay: no piece holds white space."""
         if text.isascii():
             return text.lower()
+        if self.vocab.newer.search(text):
+            from tokenizers import normalizers
+
+            return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
@@ -194,7 +223,8 @@ class Codec:
     def _word(self, word: str) -> bytes:
         if word.isalpha():
             return self._piece(word)
-        known, pieces = self.known, self.vocab.pattern.findall(word)
+        known, v = self.known, self.vocab
+        pieces = (v.pattern if word.isascii() or not v.newer.search(word) else v.strict).findall(word)
         out = b"".join([known[x] if x in known else self._piece(x) for x in pieces])
         return self._keep(word, out) if len(word) < 8 else out
 
@@ -241,6 +271,7 @@ def codec(path: str) -> Codec:
 
 
 def default_path() -> str:
+    """Found where it is used: on a worker, the worker's own."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -251,11 +282,11 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and the decoded text; keep_ids adds ids (binary, little-endian 32-bit) and decoded."""
-    path = os.fspath(path or default_path())
+    path = os.fspath(path) if path else None
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * keep_ids]
 
     def run(batches):
-        c = codec(path)
+        c = codec(path or default_path())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

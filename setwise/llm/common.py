@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table is broadcast only if a count of it shows at most this many rows (of a few fixed-width columns).
-BROADCAST_ROWS = 100_000
+#: A table is broadcast only if a count of it shows at most this many rows, and bytes where its rows differ in width.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where it names none, as in tests."""
+    """The shared folder that the cluster names; a local one only where all of Spark is in this process, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         got = sc._jsc.sc().getCheckpointDir()
         named = got.get() if got.isDefined() else None
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="setwise-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,9 +46,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a written table of unique keys: by broadcast if a count shows that it is small, otherwise by a sort-merge join whose hot keys Spark splits (adaptive skew join)."""
-    small = right.limit(most + 1).count() <= most
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """Join with a written table: by broadcast if a count (and the sum of width, the bytes of a row) shows that it is small, otherwise by a sort-merge join whose hot keys Spark splits (adaptive skew join)."""
+    rows, size = right.limit(most + 1).agg(F.count("*"), F.sum(F.lit(0) if width is None else width)).first()
+    small = rows <= most and (size or 0) <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 

@@ -51,7 +51,7 @@ def clean_documents(docs: DataFrame, sites: int = SITES, keep_counts: bool = Fal
     key, lines = unused(docs, "key", "lines")
     gone = unused(docs, "gone")[0]
     lost = removals(docs.select("text", "source"), sites, **how).withColumnsRenamed({"key": key, "gone": gone})
-    rows = lookup(docs.withColumn(key, text_key(F.col("text"))), lost, [key]).withColumn(lines, F.split("text", "\n"))
+    rows = lookup(docs.withColumn(key, text_key(F.col("text"))), lost, [key], width=F.size(gone) * 4 + 48).withColumn(lines, F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     joined = F.array_join(F.transform(kept, lambda i: F.col(lines)[i]), "\n")
     cut = F.col(gone).isNotNull()

@@ -23,25 +23,22 @@ from setwise.llm.common import lookup, materialise, n_words, table, unused
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2.0, 20
 #: Words of a budget that are left to the dynamic programme; documents of one length and salt.
-WINDOW, SALT_ROWS = 1 << 14, 4096
-#: Largest sum the dynamic programme tabulates; a remainder beyond it (single documents of millions of words) is met to the nearest document.
+WINDOW, SALT_ROWS = 1 << 14, 512
+#: Sums that the dynamic programme tells apart; a remainder of more words (documents of millions of words each) is counted in units of 1 / LARGEST of twice itself.
 LARGEST = 1 << 24
 
 
 def bounded_knapsack(lengths: list[int], counts: list[int], goal: int) -> list[int]:
-    """How many of each length (at most counts) give the sum nearest to goal; the smaller of two equally near."""
+    """How many of each length (at most counts) give the sum nearest to goal; the smaller of two equally near.
+
+    Of goals beyond LARGEST / 2 the sums are counted in units, and may be off by half a unit for each document taken."""
     take = [0] * len(lengths)
     if goal <= 0 or not lengths:
         return take
+    unit = -(-2 * goal // LARGEST)
+    if unit > 1:
+        lengths, goal = [max(1, round(n / unit)) for n in lengths], round(goal / unit)
     limit = 2 * goal
-    if limit > LARGEST:
-        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-            take[i] = min(counts[i], goal // lengths[i])
-            goal -= take[i] * lengths[i]
-        if left := [i for i in range(len(lengths)) if take[i] < counts[i]]:
-            i = min(left, key=lambda i: abs(goal - lengths[i]))
-            take[i] += abs(goal - lengths[i]) < goal
-        return take
     reached, mask, items = 1, (1 << (limit + 1)) - 1, []
     first = np.full(limit + 1, -1, np.int32)  # the item that reached a sum first
     for i, (length, count) in enumerate(zip(lengths, counts)):
@@ -125,14 +122,16 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
-    light = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    # Rows without a doc_id are told apart by their texts, so that no salt takes them all.
+    mark = F.xxhash64(F.lit(seed), F.when(F.col("doc_id").isNull(), F.col("text")), "doc_id").alias("h")
+    light = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mark), "sizes")
     counts = materialise(light.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sources = materialise(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most), "targets")
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     named = lambda df, cols: df.alias("a").join(F.broadcast(sources.alias("b")) if few else sources.alias("b"), same).select("a.*", *[F.col(f"b.{c}") for c in cols])
     few = sources.limit(20_001).count() <= 20_000
     plan = materialise(named(counts, ["sid", "source_size", "target"]).drop("source").groupBy("sid").applyInPandas(_plan, "sid long, size long, n long, passes int, extra long, source_size long, target double"), "plan")
-    rows = lookup(named(light, ["sid"]), plan, ["sid", "size"]).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = lookup(named(light, ["sid"]), plan, ["sid", "size"])
     kept = ["doc_id", "source", "size", "source_size", "target"]
     all_or_none = (F.col("extra") == 0) | (F.col("extra") >= F.col("n"))
     sure = rows.where(all_or_none).select(*kept, (F.col("size") * (F.col("passes") + (F.col("extra") > 0).cast("int"))).alias("taken"))

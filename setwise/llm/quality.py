@@ -2,11 +2,14 @@
 
 Base rules look at one text: its words, symbols, repeated lines and repeated 3-word windows. The corpus rule hashes
 every normalised line, counts in how many distinct documents of a host (the source) it stands, and removes lines above
-the host's limit; a document whose own words are mostly gone then is rejected. Copies of a text count as one document,
-and the text with the smallest digest keeps a frequent line, so that a group of copies never loses its last member.
-
-Defined results: null, empty and blank texts have no words and fail the base rules; a null source is a host of its
-own; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
+the host's limit; a document whose own words are mostly gone then is rejected. Each copy of a text is a document and
+counts. Of the texts that hold a frequent line, the one with the smallest digest (all its copies) keeps it, so that the
+line rule never takes the last text that says something. The limit is LINE_DOCS documents, and LINE_SHARE of a host's
+documents where that is more: a host that grows by more of the same keeps the same lines.
+
+Defined results: null, empty and blank texts have no words and fail the base rules; a null source is a host of its own;
+repeated rows each get a row, and rows of one host that repeat doc_id and text count as one document, as do those of one
+text without a doc_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,18 +72,25 @@ def _host(source: Column) -> Column:
 def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """host, key (a text's digest), words (in all its lines), removed (in frequent lines); only texts that lose words."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    found = docs.select(_host(F.col("source")).alias("host"), text_key(F.col("text")).alias("key"), F.explode(lines).alias("line"))
+    found = docs.select("doc_id", _host(F.col("source")).alias("host"), text_key(F.col("text")).alias("key"), F.col("text"))
+    # Documents of a text: few texts have several, and a line's documents are its texts and what these have beyond one.
+    texts = found.groupBy("host", "key").agg((F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("docs"))
+    texts = materialise(texts, "texts")
+    limits = materialise(texts.groupBy("host").agg(F.greatest(F.lit(float(line_docs)), F.sum("docs") * F.lit(line_share)).alias("most")), "limits")
+    copied = materialise(texts.where("docs > 1").select("host", "key", (F.col("docs") - 1).alias("more")), "copied")
+    found = found.select("host", "key", F.explode(lines).alias("line"))
     found = found.withColumn("words", F.regexp_count("line", F.lit(WORD))).where("words > 0")
     found = found.select("host", "key", F.xxhash64(squash(F.col("line"))).alias("line"), "words")
     # Copies of a text multiply both sums alike, so that shares of words stay what they are in one copy.
     each = materialise(found.groupBy("host", "line", "key").agg(F.sum("words").alias("words")), "lines")
-    hosts = each.groupBy("host", "key").agg(F.sum("words").alias("words"))
-    hosts = materialise(hosts, "texts")
-    limits = hosts.groupBy("host").agg(F.greatest(F.lit(float(line_docs)), F.count("*") * F.lit(line_share)).alias("most"))
-    often = each.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("key").alias("keeper")).where(F.col("docs") > line_docs)
-    often = materialise(often.join(limits, "host").where("docs > most").select("host", "line", "keeper"), "frequent")
+    each_docs = lookup(each.select("host", "line", "key"), copied, ["host", "key"])
+    often = each_docs.groupBy("host", "line").agg((F.count("*") + F.coalesce(F.sum("more"), F.lit(0))).alias("docs"), F.count("*").alias("texts"), F.min("key").alias("keeper"))
+    often = often.where((F.col("docs") > line_docs) & (F.col("texts") > 1))  # a line of one text is its keeper's
+    often = materialise(lookup(often, limits, ["host"], "inner").where("docs > most").select("host", "line", "keeper"), "frequent")
     lost = lookup(each, often, ["host", "line"], "inner").where("key <> keeper").groupBy("host", "key").agg(F.sum("words").alias("removed"))
-    return hosts.join(lost, ["host", "key"])
+    lost = materialise(lost, "lost")
+    whole = lookup(each, lost.select("host", "key"), ["host", "key"], "inner").groupBy("host", "key").agg(F.sum("words").alias("words"))
+    return whole.join(lost, ["host", "key"])
 
 
 def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED) -> DataFrame:
@@ -119,8 +129,9 @@ ls AS (SELECT t.ns, t.src, t.text, lower(trim(regexp_replace(ln, '[\x20\x09-\x0D
     FROM (SELECT ns, src, text, unnest(string_split(text, chr(10))) AS ln FROM (SELECT DISTINCT ns, src, text FROM d)) t WHERE regexp_matches(ln, '[^\x20\x09-\x0D]')),
 each_line AS (SELECT ns, src, text, ln, sum(k) AS k FROM ls GROUP BY ALL),
 texts AS (SELECT ns, src, text, sum(k) AS k FROM each_line GROUP BY ALL),
-hosts AS (SELECT ns, src, greatest(20, count(*) * 0.02) AS most FROM texts GROUP BY ALL),
-often AS (SELECT ns, src, ln, min(md5(text)) AS keeper FROM each_line JOIN hosts USING (ns, src) GROUP BY ns, src, ln, most HAVING count(*) > most),
+copies AS (SELECT ns, src, text, count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) AS docs FROM d GROUP BY ns, src, text),
+hosts AS (SELECT ns, src, greatest(20, sum(docs) * 0.02) AS most FROM copies GROUP BY ALL),
+often AS (SELECT ns, src, ln, min(md5(text)) AS keeper FROM each_line JOIN copies USING (ns, src, text) JOIN hosts USING (ns, src) GROUP BY ns, src, ln, most HAVING sum(docs) > most),
 lost AS (SELECT ns, src, text, sum(k) AS k FROM each_line JOIN often USING (ns, src, ln) WHERE md5(text) <> keeper GROUP BY ns, src, text),
 gone AS (SELECT t.ns, t.src, t.text FROM texts t JOIN lost USING (ns, src, text) WHERE lost.k / t.k > 0.5)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

@@ -97,6 +97,15 @@ def _split_masks(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _finer(radius: int):
+    def run(batches):
+        for batch in batches:
+            pairs = [(m, _signed(x)) for m in batch.column(0).to_pylist() for x in _split_masks(m & (1 << 64) - 1, radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["mask", "finer"])
+
+    return run
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -206,15 +215,12 @@ def linked(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, hot:
         edges = got if edges is None else edges.unionByName(got)
         if not n_hot:
             return edges
-        # The masks in use are few (one for each choice of blocks, five for each in the next round).
-        used = [r[0] for r in large.select("mask").distinct().limit(100_000).collect()]
-        table_ = {m: [_signed(x) for x in _split_masks(m & (1 << 64) - 1, radius)] for m in used}
-        finer = fps.sparkSession.createDataFrame([(m, x) for m, xs in table_.items() for x in xs], "mask long, finer long")
+        finer = materialise(large.select("mask").distinct().mapInArrow(_finer(radius), "mask long, finer long"), "finer")
         back = lookup(keyed, large, ["mask", "key"], "left_semi")
-        todo = materialise(back.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).distinct(), "dealt")
+        todo = materialise(lookup(back, finer, ["mask"], "inner").select("fp", F.col("finer").alias("mask")).distinct(), "dealt")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that links reach, for every node of edges (u, v) that is not itself its root.
 
     Large-star links each larger neighbour of a node to the smallest; small-star links each smaller one. Both together
@@ -226,7 +232,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return pairs.join(low, "u")
 
     state = None
-    for _ in range(rounds):
+    while True:  # ends for any graph, after a number of rounds that grows with the logarithm of its size
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         got = settle(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = got.distinct()
@@ -237,7 +243,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if seen == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = seen
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:

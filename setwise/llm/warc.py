@@ -11,7 +11,7 @@ others are revisits that refer to it.
 
 Defined results: a null html is an empty payload; a null url is left out and reads back as null; control characters in
 a url are percent-encoded; a null page_id stands below any other and reads back as null; rows that repeat the largest
-page_id of their payload are all responses; an empty table gives an empty result; other columns are ignored.
+page_id of their payload are all responses, under one record ID if revisits refer to them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,31 +38,31 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def record_id(name) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{name}')}>"
 
 
 def classified(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """pages (page_id, url, payload, digest, bytes, refers_to): refers_to is the response's page_id of a revisit, else null."""
+    """pages (page_id, url, payload, digest, bytes, refers_to, referred): refers_to is the response's page_id of a revisit, else null; referred: whether revisits refer to the row."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
     groups = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     groups = materialise(groups.where("n > 1 and refers_to is not null").drop("n"), "payloads")
     rows = lookup(rows, groups, ["digest"])
     other = F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))
-    return rows.withColumn("refers_to", F.when(other, F.col("refers_to")))
+    return rows.withColumn("referred", F.coalesce(F.col("page_id") == F.col("refers_to"), F.lit(False))).withColumn("refers_to", F.when(other, F.col("refers_to")))
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row for each chunk of a response's payload (at least one a record), in order within a partition."""
     n = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk).cast("int")))
     data = F.when(F.col("refers_to").isNull(), F.col("payload").substr(F.col("chunk") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1))).select("page_id", "url", "digest", "bytes", "refers_to", "chunk", n.alias("chunks"), data.alias("data"))
+    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1))).select("page_id", "url", "digest", "bytes", "refers_to", "referred", "chunk", n.alias("chunks"), data.alias("data"))
 
 
-def _head(page_id, url, digest, size, refers_to) -> bytes:
+def _head(name, page_id, url, digest, size, refers_to) -> bytes:
     kind, block = ("revisit", len(HTTP)) if refers_to is not None else ("response", len(HTTP) + size)
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(name)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     lines.append("WARC-Payload-Digest: sha1:" + b32encode(bytes.fromhex(digest)).decode())
@@ -96,7 +96,8 @@ def write_archives(pages: DataFrame, folder: str, chunk: int = CHUNK, roll: int
                     if out is None:
                         out, written, records = store.open_output_stream(f"{at}/{name}-{part}.warc.gz", compression=None), 0, 0
                     member = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    put(member.compress(_head(row["page_id"], row["url"], row["digest"], row["bytes"], row["refers_to"])))
+                    own = row["page_id"] if row["referred"] else f"{name}:{part}:{records}"  # revisits know the record that they refer to by its page
+                    put(member.compress(_head(own, row["page_id"], row["url"], row["digest"], row["bytes"], row["refers_to"])))
                 put(member.compress(row["data"]))
                 if row["chunk"] == row["chunks"] - 1:
                     put(member.compress(b"\r\n\r\n") + member.flush())
