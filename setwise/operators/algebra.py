@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from setwise.functions.integers import UNIVERSE
 
@@ -96,9 +97,15 @@ def or_not(a: DataFrame, b: DataFrame, end: int) -> DataFrame:
     return kept.unionByName(a.select("v").where(F.col("v") >= end))
 
 
-def wide_and(sets: DataFrame, n_sets: int) -> DataFrame:
-    """Values of all n_sets sets (empty ones count, though the relation has no rows of them); none if there are no sets."""
-    return sets.groupBy("v").agg(F.count("*").alias("n")).where((F.col("n") == n_sets) & F.lit(n_sets > 0)).select("v")
+def n_sets(sets: DataFrame) -> Column:
+    """How many sets have a value: a scalar subquery, counted when the plan runs."""
+    return set_ids(sets).agg(F.count("*")).scalar()
+
+
+def wide_and(sets: DataFrame, n: int | Column | None = None) -> DataFrame:
+    """Values of all n sets (empty ones count, though the relation has no rows of them; by default those that have values); none if there are no sets."""
+    n = n_sets(sets) if n is None else F.lit(n)
+    return sets.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") == n).select("v")
 
 
 def wide_or(sets: DataFrame) -> DataFrame:
@@ -138,15 +145,17 @@ def pair_measures(sets: DataFrame, tolerance: int) -> DataFrame:
     return m.select("a", "b", "hamming", (F.col("hamming") <= tolerance).alias("similar"), (F.col("common") == F.col("card_b")).alias("a_holds_b"), (F.col("common") == F.col("card_a")).alias("b_holds_a"), (F.col("common") / (F.col("card_a") + F.col("card_b") - F.col("common"))).alias("jaccard"))
 
 
-def consecutive_pairs(sets: DataFrame, ids: list) -> DataFrame:
-    """a, b, and_card, or_card, xor_card, andnot_card for neighbours in ids: one aggregate, each set on both sides."""
-    pairs = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in zip(ids, ids[1:])])
-    near = sets.withColumn("p", F.explode(F.filter(pairs, lambda p: (p["a"] == F.col("set_id")) | (p["b"] == F.col("set_id")))))
-    side = near.groupBy("p", "v").agg(F.sum(F.when(F.col("set_id") == F.col("p.a"), 1).otherwise(2)).alias("s"))
+def consecutive_pairs(sets: DataFrame) -> DataFrame:
+    """a, b, and_card, or_card, xor_card, andnot_card for neighbours in the order of set_id: one aggregate, each set on both sides. Only the names of sets are ordered as a whole."""
+    order = W.orderBy("set_id")
+    names = set_ids(sets).select("set_id", F.lag("set_id").over(order).alias("left"), F.lead("set_id").over(order).alias("right"))
+    own = F.col("set_id")
+    sides = F.filter(F.array(F.struct(own.alias("a"), F.col("right").alias("b"), F.lit(1).alias("side")), F.struct(F.col("left").alias("a"), own.alias("b"), F.lit(2).alias("side"))), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    near = sets.join(names, "set_id").select("v", F.explode(sides).alias("p"))
+    side = near.groupBy("p.a", "p.b", "v").agg(F.sum("p.side").alias("s"))
     count = lambda c: F.count(F.when(c, 1))
     s = F.col("s")
-    out = side.groupBy("p").agg(count(s == 3).alias("and_card"), F.count("*").alias("or_card"), count(s != 3).alias("xor_card"), count(s == 1).alias("andnot_card"))
-    return out.select("p.a", "p.b", "and_card", "or_card", "xor_card", "andnot_card")
+    return side.groupBy("a", "b").agg(count(s == 3).alias("and_card"), F.count("*").alias("or_card"), count(s != 3).alias("xor_card"), count(s == 1).alias("andnot_card"))
 
 
 def contains_range(a: DataFrame, start: int, end: int) -> DataFrame:
@@ -172,8 +181,28 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def exceeds(a: DataFrame, threshold: int) -> DataFrame:
-    """One row: whether a has over threshold values; reads no more rows than it needs."""
-    return a.limit(threshold + 1).agg((F.count("*") > threshold).alias("exceeds"))
+    """One row: whether a has over threshold values; each task counts its own."""
+    return a.agg((F.count("*") > threshold).alias("exceeds"))
+
+
+def clear(a: DataFrame) -> DataFrame:
+    return a.limit(0)
+
+
+def is_empty(a: DataFrame) -> DataFrame:
+    """One row: whether a has no value."""
+    return a.limit(1).agg((F.count("*") == 0).alias("empty"))
+
+
+def fingerprints(sets: DataFrame) -> DataFrame:
+    """set_id, card, mark: equal sets have equal card and mark, whatever the order of rows; different ones by chance of 2**-64 only."""
+    return sets.groupBy("set_id").agg(F.count("*").alias("card"), F.bit_xor(F.xxhash64("v")).alias("mark"))
+
+
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """set_id, first: the smallest name among the sets that equal each set, by fingerprints: no set is compared with another."""
+    f = fingerprints(sets)
+    return f.withColumn("first", F.min("set_id").over(W.partitionBy("card", "mark"))).select("set_id", "first")
 
 
 def rollup_cardinality(sets: DataFrame, *dims: str) -> DataFrame:

@@ -5,12 +5,14 @@ Slices are derived where an algorithm over them is wanted, and give the same row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from setwise.functions.integers import unsigned64_key
 
+#: Slices that a descent decides in a pass.
+DIGIT = 12
+
 OPS = {"lt": lambda v, t: v < t, "lte": lambda v, t: v <= t, "gt": lambda v, t: v > t, "gte": lambda v, t: v >= t, "eq": lambda v, t: v == t, "neq": lambda v, t: v != t}
 
 
@@ -31,9 +33,21 @@ def compare(index: DataFrame, op: str, threshold: int, context: DataFrame | None
     return out.join(context.select(key), key, "left_semi") if context is not None else out
 
 
-def compare_unsigned(index: DataFrame, op: str, threshold: int, key: str = "rid") -> DataFrame:
+def compare_unsigned(index: DataFrame, op: str, threshold: int, context: DataFrame | None = None, key: str = "rid") -> DataFrame:
     """As compare, over unsigned 64-bit values held as BIGINT."""
-    return index.where(OPS[op](unsigned64_key(F.col("val")), unsigned64_key(F.lit(threshold).cast("long")))).select(key)
+    out = index.where(OPS[op](unsigned64_key(F.col("val")), unsigned64_key(F.lit(threshold).cast("long")))).select(key)
+    return out.join(context.select(key), key, "left_semi") if context is not None else out
+
+
+def dense(index: DataFrame, key: str = "rid") -> DataFrame:
+    """One row: whether the ids are 0 to n - 1, each once, as appending gives them."""
+    one = index.agg(F.count(key).alias("n"), F.countDistinct(key).alias("d"), F.min(key).alias("low"), F.max(key).alias("high"))
+    return one.select(((F.col("n") == 0) | ((F.col("n") == F.col("d")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1))).alias("dense"))
+
+
+def within(index: DataFrame, found: DataFrame | None, key: str = "col_id") -> DataFrame:
+    """index restricted to the ids of found; all of it without one."""
+    return index if found is None else index.join(found.select(key), key, "left_semi")
 
 
 def between(index: DataFrame, low: int, high: int, context: DataFrame | None = None, key: str = "rid") -> DataFrame:
@@ -42,9 +56,9 @@ def between(index: DataFrame, low: int, high: int, context: DataFrame | None = N
     return out.join(context.select(key), key, "left_semi") if context is not None else out
 
 
-def is_in(index: DataFrame, values: DataFrame, key: str = "col_id") -> DataFrame:
-    """Ids whose value is one of values (val)."""
-    return index.join(values.select("val").distinct(), "val", "left_semi").select(key)
+def is_in(index: DataFrame, values: DataFrame, found: DataFrame | None = None, key: str = "col_id") -> DataFrame:
+    """Ids (of found) whose value is one of values (val)."""
+    return within(index, found, key).join(values.select("val").distinct(), "val", "left_semi").select(key)
 
 
 def total(index: DataFrame, found: DataFrame) -> DataFrame:
@@ -52,14 +66,21 @@ def total(index: DataFrame, found: DataFrame) -> DataFrame:
     return found.select("col_id").join(index, "col_id", "left").agg(F.coalesce(F.sum("val"), F.lit(0)).alias("total"), F.count("*").alias("n"))
 
 
-def top_k(index: DataFrame, k: int) -> DataFrame:
-    """Ids of the k largest values; among equal values the smallest ids go first. Spark keeps k rows a task."""
-    return index.orderBy(F.desc("val"), F.desc("col_id")).limit(k).select("col_id")
+def top_k(index: DataFrame, k: int, found: DataFrame | None = None) -> DataFrame:
+    """Ids (of found) of the k largest values; among equal values the smallest ids go first. All ids with a value if k is larger; a negative k raises ValueError. Spark keeps k rows a task."""
+    if k < 0:
+        raise ValueError("k is negative")
+    return within(index, found).orderBy(F.desc("val"), F.desc("col_id")).limit(k).select("col_id")
 
 
-def transpose(index: DataFrame) -> DataFrame:
-    """val, n: how many ids have each value."""
-    return index.groupBy("val").agg(F.count("*").alias("n"))
+def pairs(index: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """col_id, val of the ids (of found) that have a value."""
+    return within(index, found).where("val is not null").select("col_id", "val")
+
+
+def transpose(index: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """val, n: how many ids (of found) have each value."""
+    return within(index, found).groupBy("val").agg(F.count("*").alias("n"))
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,27 +127,37 @@ def sliced_compare(index: DataFrame, threshold: int, bits: int, key: str = "col_
 
 
 def sliced_top_k(index: DataFrame, k: int, bits: int) -> DataFrame:
-    """top_k by descent over the slices: a value is kept or left by its count alone; ties drop the smallest ids."""
-    floor_, left = 0, k
-    for i in reversed(range(bits)):
-        n = index.where(F.shiftrightunsigned("val", i) == (floor_ >> i | 1)).count()
-        if n >= left:
-            floor_ |= 1 << i
-        else:
+    """top_k by descent over the slices, DIGIT of them a pass: a value is kept or left by counts alone; ties drop the smallest ids."""
+    if k < 0:
+        raise ValueError("k is negative")
+    floor_, left, high = 0, k, bits
+    while high:
+        low = max(0, high - DIGIT)
+        same = index.where(F.shiftrightunsigned("val", high) == floor_ >> high) if high < 64 else index
+        digit = F.shiftrightunsigned("val", low).bitwiseAND((1 << (high - low)) - 1)
+        counts = sorted(map(tuple, same.groupBy(digit.alias("d")).agg(F.count("*")).collect()), reverse=True)  # 2**DIGIT rows at most
+        at = 0
+        for at, n in counts:
+            if n >= left:
+                break
             left -= n
+        else:
+            return index.select("col_id") if k else index.select("col_id").limit(0)
+        floor_, high = floor_ | at << low, low
     sure, tied = index.where(F.col("val") > floor_), index.where(F.col("val") == floor_)
     return sure.select("col_id").unionByName(tied.orderBy(F.desc("col_id")).limit(left).select("col_id"))
 
 
 def extremes(index: DataFrame) -> DataFrame:
     """One row: smallest and largest value, ids, slices in use."""
-    return index.agg(F.min("val").alias("low"), F.max("val").alias("high"), F.count("*").alias("ids"), (F.floor(F.log2(F.max("val"))) + 1).cast("long").alias("bits"))
+    return index.agg(F.min("val").alias("low"), F.max("val").alias("high"), F.count("*").alias("ids"), F.length(F.bin(F.max("val"))).cast("long").alias("bits"))
+
+
+def write(index: DataFrame, path: str, rows: int = 1 << 20):
+    """A written index: files sorted by value, so that a predicate on values reads few of them. rows: about how many a file holds."""
+    n = max(1, -(-index.count() // rows))
+    index.repartitionByRange(n, "val").sortWithinPartitions("val").write.parquet(path)
 
 
-def ranked_unsigned(values: DataFrame) -> DataFrame:
-    """v, rank in unsigned 64-bit order: by chunks of the high 16 bits, as one window would hold all."""
-    key = unsigned64_key(F.col("v"))
-    keyed = values.select("v", key.alias("key"), F.shiftright(key, 48).alias("chunk"))
-    sums = keyed.groupBy("chunk").agg(F.count("*").alias("card")).withColumn("before", F.coalesce(F.sum("card").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = keyed.withColumn("k", F.row_number().over(W.partitionBy("chunk").orderBy("key")))
-    return inside.join(F.broadcast(sums.select("chunk", "before")), "chunk").select("v", (F.col("before") + F.col("k")).alias("rank"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

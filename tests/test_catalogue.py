@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from setwise.operators import algebra
 from setwise.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -34,8 +35,7 @@ def test_query(spark, oracle, name):
     assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
 
 
-def test_pairwise_set_ids_are_never_cut(spark):
-    sets = spark.range(1001).selectExpr("lpad(id, 5, '0') AS set_id", "id AS v")
-    with pytest.raises(ValueError):
-        catalogue.consecutive_ids(sets)
-    assert len(catalogue.consecutive_ids(sets.limit(1000))) == 1000
+def test_pairs_of_many_sets(spark):
+    sets = spark.range(1200).selectExpr("lpad(id, 5, '0') AS set_id", "id DIV 2 AS v")
+    got = algebra.consecutive_pairs(sets).orderBy("a").collect()
+    assert [r["and_card"] for r in got] == [1, 0] * 599 + [1] and (got[0]["a"], got[0]["b"]) == ("00000", "00001")
