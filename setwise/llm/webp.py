@@ -5,7 +5,7 @@ Reading: `decode_all` reads any lossless images, many in step with each other, a
 and the colour cache; then it inverts predictor, cross-colour, subtract-green and palette transforms, and gives pixel
 arrays. Side images (palettes, block modes, entropy images) go through the same loop.
 
-Writing: `store` lays bytes out as red, green and blue of ACROSS opaque pixels a row, ROWS rows an image. An image is
+Writing: `store_all` lays bytes out as red, green and blue of ACROSS opaque pixels a row, ROWS rows an image. An image is
 written with the transform that makes it smallest: none, subtract-green, predictor, cross-colour or palette, by an
 estimate of their entropy, and for those near the best by their real size; each with back-references to the latest
 place of the same three pixels and with the size of colour cache that costs least.
@@ -30,8 +30,8 @@ WIDE, ROWS, FILL = 576, 16, 255
 ACROSS, BLOCK_BITS, CACHES = WIDE // 3, 4, (0, 8)
 #: Predictors that the writer tries; factors of the hash of three pixels.
 MODES, MIX = (1, 2, 4, 7, 10, 11, 12, 13), (0x9E3779B1, 0x85EBCA77)
-#: Images that are decoded in step.
-AT_ONCE = 2048
+#: Images that are decoded in step, and that are written together.
+AT_ONCE, WRITTEN = 2048, 128
 #: A transform is tried in full if its estimate is at most so many times the best one.
 NEARLY = 1.05
 #: Fixed values of the format: order in which lengths of code lengths stand, and offsets (x, y) of the short distances.
@@ -132,21 +132,34 @@ def read_lengths(b: Bits, alphabet: int) -> np.ndarray:
     own = np.zeros(19, np.int64)
     for k in LENGTH_ORDER[: 4 + b.read(4)]:
         own[k] = b.read(3)
-    code = Code(own)
+    table_, bits = _lookup(own)
+    table_, mask = table_.tolist(), (1 << bits) - 1
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    found, last, data, pos = [], 8, b.data, b.pos
+    while len(found) < alphabet and left:
         left -= 1
-        s = code.read(b)
+        word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 4], "little") >> (pos & 7)
+        got = table_[word & mask]
+        s, n = got >> 4, got & 15
         if s < 16:
-            out[at] = s
-            at, last = at + 1, s or last
+            found.append(s)
+            last = s or last
+        elif s == 16:
+            found += [last] * (3 + (word >> n & 3))
+            n += 2
+        elif s == 17:
+            found += [0] * (3 + (word >> n & 7))
+            n += 3
         else:
-            n = (3 + b.read(2)) if s == 16 else (3 + b.read(3)) if s == 17 else (11 + b.read(7))
-            if at + n > alphabet:
-                raise ValueError("too many code lengths")
-            out[at : at + n] = last if s == 16 else 0
-            at += n
+            found += [0] * (11 + (word >> n & 127))
+            n += 7
+        pos += n
+    if len(found) > alphabet:
+        raise ValueError("too many code lengths")
+    if pos > 8 * len(data):
+        raise ValueError("image data ends too early")
+    b.pos = pos
+    out[: len(found)] = found
     return out
 
 
@@ -490,8 +503,29 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         counts[used] = (counts[used] + 1) // 2
 
 
-def write_lengths(w: Writer, lengths: np.ndarray):
-    """Lengths of a code: one or two symbols below 256 as a simple code, else run by run under a code of their own."""
+def _length_tokens(lengths: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each code's lengths the symbols (lengths, and runs by 16 to 18), their extra bits and the number of these."""
+    flat, sizes = np.concatenate(lengths), np.array(list(map(len, lengths)))
+    code = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.flatnonzero((np.diff(flat, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+    v, n, code = flat[first], np.diff(np.r_[first, len(flat)]), code[first]
+    rest, most = n - (v > 0), np.where(v > 0, 6, 138)  # a length itself, then repeats of it; zeros from the first
+    whole, left = rest // most, rest % most
+    tail = np.where(left >= 3, 1, left)
+    tokens = (v > 0) + whole + tail
+    run = np.repeat(np.arange(len(v)), tokens)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(tokens) - tokens, tokens) - (v > 0)[run]  # -1: the length itself
+    value, size = v[run], np.where(k < whole[run], most[run], left[run])
+    repeats = (k >= 0) & ((k < whole[run]) | (left[run] >= 3))
+    symbol = np.where(repeats, np.where(value > 0, 16, np.where(size > 10, 18, 17)), value)
+    extra = np.where(repeats, size - np.where(symbol == 18, 11, 3), 0)
+    bits = np.where(repeats, np.select([symbol == 16, symbol == 17], [2, 3], 7), 0)
+    cut = np.searchsorted(code[run], np.arange(1, len(sizes)))
+    return list(zip(*(np.split(x, cut) for x in (symbol, extra, bits))))
+
+
+def write_lengths(w: Writer, lengths: np.ndarray, tokens: tuple | None = None):
+    """Lengths of a code: one or two symbols below 256 as a simple code, else run by run (tokens) under a code of their own."""
     used = np.flatnonzero(lengths)
     if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
         used = used if len(used) else np.array([0])
@@ -501,32 +535,14 @@ def write_lengths(w: Writer, lengths: np.ndarray):
         for s in used:
             w.put(int(s), 8)
         return
-    first = np.flatnonzero(np.diff(lengths, prepend=-1))
-    size = np.diff(np.r_[first, len(lengths)])
-    long = size > np.where(lengths[first] > 0, 3, 2)
-    parts, done = [], 0  # the lengths between long runs, and (symbol, extra bits, their number) of long runs
-
-    def plain(a, b):
-        parts.append(np.concatenate([lengths[None, a:b], np.zeros((2, b - a), np.int64)]))
-
-    for at, n in zip(first[long].tolist(), size[long].tolist()):
-        v, end, run = int(lengths[at]), at + n, []
-        plain(done, at + (v > 0))
-        n -= v > 0
-        while n > 2:
-            k = min(n, 6 if v else 138)
-            run.append((16, k - 3, 2) if v else (18, k - 11, 7) if k > 10 else (17, k - 3, 3))
-            n -= k
-        parts.append(np.array(run).T)
-        done = end - n
-    plain(done, len(lengths))
-    symbols, extra, wide = np.concatenate(parts, 1)
+    symbols, extra, wide = tokens or _length_tokens([lengths])[0]
     own = code_lengths(np.bincount(symbols, minlength=19), 7)
-    many = max([4, *(k + 1 for k, s in enumerate(LENGTH_ORDER) if own[s])])
+    each = own.tolist()
+    many = max([4, *(k + 1 for k, s in enumerate(LENGTH_ORDER) if each[s])])
     w.put(0, 1)
     w.put(many - 4, 4)
     for s in LENGTH_ORDER[:many]:
-        w.put(int(own[s]), 3)
+        w.put(each[s], 3)
     w.put(0, 1)
     codes, sizes = canonical(own), own * (np.count_nonzero(own) > 1)
     w.put_all(np.stack([codes[symbols], extra], 1).ravel(), np.stack([sizes[symbols], wide], 1).ravel())
@@ -535,7 +551,7 @@ def write_lengths(w: Writer, lengths: np.ndarray):
 def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbols, extra bits and their number for lengths or distances."""
     v = value - 1
-    extra = np.maximum(np.frexp(v.astype(float))[1] - 2, 0)
+    extra = np.maximum(np.frexp(v.astype(float))[1].astype(np.int64) - 2, 0)
     small = value <= 4
     return np.where(small, v, 2 * extra + 2 + (v >> extra & 1)), np.where(small, 0, v & ((1 << extra) - 1)), np.where(small, 0, extra)
 
@@ -564,21 +580,20 @@ def _latest(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _copies(argb: np.ndarray, most: int = 4096) -> list[tuple[int, int, int]]:
-    """(place, pixels, distance) of back-references, greedily from the start: to the latest place where the same three pixels stand."""
-    n = len(argb)
-    if n < 4:
-        return []
+def _copies(argb: np.ndarray, image: np.ndarray, end: np.ndarray, most: int = 4096) -> tuple[np.ndarray, ...]:
+    """Place, pixels and distance of back-references, greedily from each image's start: to the latest place where the same three pixels stand. image: each pixel's; end: of each image."""
+    if len(argb) < 4:
+        return (np.zeros(0, np.int64),) * 3
     key = ((argb[:-2] * np.uint32(MIX[0])) ^ (argb[1:-1] * np.uint32(MIX[1])) ^ (argb[2:] * np.uint32(CACHE_FACTOR))) >> np.uint32(16)
-    before = _latest(key.astype(np.uint16))
-    place = np.flatnonzero(before >= 0)
+    before = _latest(key | image[:-2].astype(np.uint32) << np.uint32(16))
+    place = np.flatnonzero((before >= 0) & (image[2:] == image[:-2]))
     for k in range(3):  # not by chance of the key
         place = place[argb[place + k] == argb[before[place] + k]]
     out, at = [], 0
-    for i in place.tolist():
+    for i, j, n in zip(place.tolist(), before[place].tolist(), end[image[place]].tolist()):
         if i < at:
             continue
-        j, size = int(before[i]), 64
+        size = 16
         while True:  # as long as both go on alike
             size = min(size, n - i, most)
             other = argb[i : i + size] != argb[j : j + size]
@@ -586,83 +601,118 @@ def _copies(argb: np.ndarray, most: int = 4096) -> list[tuple[int, int, int]]:
             if other[k] or size in (n - i, most):
                 k = k if other[k] else size
                 break
-            size *= 4
+            size *= 8
         out.append((i, k, i - j))
         at = i + k
-    return out
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
 
 
-def _bits_of(counts: np.ndarray, first: np.ndarray) -> float:
-    """About the bits that symbols with these counts take, with their codes; first: where each code's counts begin."""
+def _bits_of(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """About the bits that the symbols with the counts of each row take, with their codes; first: where each code's counts begin."""
     logs = counts * np.log2(np.maximum(counts, 1))
-    total = np.add.reduceat(counts, first)
-    return float((total * np.log2(np.maximum(total, 1))).sum() - logs.sum() + 4.0 * np.count_nonzero(counts))
+    total = np.add.reduceat(counts, first, 1)
+    return (total * np.log2(np.maximum(total, 1))).sum(1) - logs.sum(1) + 4.0 * np.count_nonzero(counts, axis=1)
 
 
 _FIRST = np.arange(0, 1024, 256)
 
 
-def _channel_counts(px: np.ndarray) -> np.ndarray:
-    return np.bincount((px.reshape(-1, 4) + _FIRST).ravel(), minlength=1024)
+def _counts(which: np.ndarray, symbols: np.ndarray, images: int, alphabet: int) -> np.ndarray:
+    """How often each image (which: of each symbol) has each symbol."""
+    return np.bincount(which * alphabet + symbols, minlength=images * alphabet).reshape(images, alphabet)
 
 
-def _put_image(w: Writer, px: np.ndarray, top: bool, caches: tuple = (0,), copies: bool = True):
-    """px: rows, columns, channels, under the size of colour cache of caches that costs least."""
-    each = px.reshape(-1, 4).astype(np.int64)
+def _channel_counts(which: np.ndarray, px: np.ndarray, images: int) -> np.ndarray:
+    """How often each image has each value of alpha, red, green, blue."""
+    px = px.reshape(-1, 4)
+    if len(px) and (px[:, 0] == px[0, 0]).all():  # as where all is opaque
+        out = np.zeros((images, 1024), np.int64)
+        out[:, px[0, 0]] = np.bincount(which, minlength=images)
+        out[:, 256:] = _counts(np.repeat(which, 3), (px[:, 1:] + _FIRST[:3]).ravel(), images, 768)
+        return out
+    return _counts(np.repeat(which, 4), (px + _FIRST).ravel(), images, 1024)
+
+
+def _plans(images: list[np.ndarray], caches: tuple, copies: bool) -> list:
+    """For each image (rows, columns, channels) a function that puts it to a Writer, under the size of colour cache of caches that costs least."""
+    m, wide = len(images), np.array([x.shape[1] for x in images])
+    each = np.concatenate([x.reshape(-1, 4) for x in images]).astype(np.int64)
     argb = (each[:, 0] << 24 | each[:, 1] << 16 | each[:, 2] << 8 | each[:, 3]).astype(np.uint32)
-    found = _copies(argb) if copies else []
-    n = len(argb)
-    start, length, back = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    count = np.array([x.shape[0] * x.shape[1] for x in images])
+    end, image, n = np.cumsum(count), np.repeat(np.arange(m), count), len(argb)
+    start, length, back = _copies(argb, image, end) if copies else (np.zeros(0, np.int64),) * 3
     inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, start, 1)
+    inside[start] += 1
     np.add.at(inside, start + length, -1)
-    plain = np.cumsum(inside[:n]) == 0
     is_copy = np.zeros(n, bool)
     is_copy[start] = True
-    tokens = np.flatnonzero(plain | is_copy)
-    copy = is_copy[tokens]
-    literal = argb[tokens].astype(np.int64)
-    size_, extra_l, n_l = _prefixes(length)
-    dist, extra_d, n_d = _prefixes(_distance_codes(px.shape[1], back))
-    best = None
+    tokens = np.flatnonzero((np.cumsum(inside[:n]) == 0) | is_copy)
+    copy, own, colour = is_copy[tokens], image[tokens], each[tokens]
+    sizes, extra_l, n_l = _prefixes(length)
+    code = np.zeros(len(back), np.int64)
+    for x in np.unique(wide[image[start]]):
+        of = wide[image[start]] == x
+        code[of] = _distance_codes(int(x), back[of])
+    dist, extra_d, n_d = _prefixes(code)
+    options = []
     for bits in caches:
-        slot, hit = None, np.zeros(len(tokens), bool)
+        slot, hit = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
         if bits:
-            slot = (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)).astype(np.uint16)
+            slot = (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)) | image.astype(np.uint32) << np.uint32(16)
             before = _latest(slot)
             hit = ((before >= 0) & (argb[before] == argb))[tokens] & ~copy
-        by_channel = _channel_counts(each[tokens[~copy & ~hit]]).reshape(4, 256)
-        cached = np.bincount(slot[tokens[hit]], minlength=1 << bits) if bits else np.zeros(0, np.int64)
-        counts = np.concatenate([by_channel[2], np.bincount(size_, minlength=24), cached, by_channel[1], by_channel[3], by_channel[0], np.bincount(dist, minlength=40)])
-        first = np.cumsum([0, 280 + len(cached), 256, 256, 256])
-        cost = _bits_of(counts, first)
-        if best is None or cost < best[0]:
-            best = cost, bits, slot, hit, np.split(counts, first[1:])
-    _, bits, slot, hit, counts = best
-    w.put(1 if bits else 0, 1)
-    if bits:
-        w.put(bits, 4)
-    if top:
-        w.put(0, 1)  # one group of codes
-    lengths = [code_lengths(c, 15) for c in counts]
-    for x in lengths:
-        write_lengths(w, x)
-    codes = [canonical(x) for x in lengths]
-    sizes = [x * (np.count_nonzero(x) > 1) for x in lengths]
-    values, widths = np.zeros((len(tokens), 4), np.int64), np.zeros((len(tokens), 4), np.int64)
-    first = literal >> 8 & 255
-    first[copy] = 256 + size_
-    if bits:
-        first[hit] = 280 + slot[tokens[hit]].astype(np.int64)
-    values[:, 0], widths[:, 0] = codes[0][first], sizes[0][first]
+            slot = (slot[tokens] & np.uint32(0xFFFF)).astype(np.int64)
+        real = ~copy & ~hit
+        by_channel = _channel_counts(own[real], colour[real], m).reshape(m, 4, 256)
+        cached = _counts(own[hit], slot[hit], m, 1 << bits) if bits else np.zeros((m, 0), np.int64)
+        counts = np.concatenate([by_channel[:, 2], _counts(image[start], sizes, m, 24), cached, by_channel[:, 1], by_channel[:, 3], by_channel[:, 0], _counts(image[start], dist, m, 40)], 1)
+        first = np.cumsum([0, 280 + cached.shape[1], 256, 256, 256])
+        options.append((_bits_of(counts, first), bits, slot, hit, counts, first))
+    best = np.argmin([x[0] for x in options], 0)
+    slot, hit = (np.choose(best[own], [x[k] for x in options]) for k in (2, 3))
+    lengths = [[code_lengths(c, 15) for c in np.split(options[b][4][k], options[b][5][1:])] for k, b in enumerate(best)]
+    wanted = [(k, j) for k, xs in enumerate(lengths) for j, x in enumerate(xs) if np.count_nonzero(x) > 2 or x[256:].any()]
+    runs = dict(zip(wanted, _length_tokens([lengths[k][j] for k, j in wanted]))) if wanted else {}
+    alphabet = max(len(xs[0]) for xs in lengths)
+    codes = np.zeros((m, 5, alphabet), np.int64)  # a code and, from bit 32, its length
+    for k, xs in enumerate(lengths):
+        for j, x in enumerate(xs):
+            if np.count_nonzero(x) > 1:
+                codes[k, j, : len(x)] = canonical(x) | x << 32
+    codes, own_codes = codes.ravel(), own * (5 * alphabet)
+    fields = np.zeros((len(tokens), 4), np.int64)
+    green = colour[:, 2].copy()
+    green[copy] = 256 + sizes
+    green[hit] = 280 + slot[hit]
+    fields[:, 0] = codes.take(own_codes + green)
     real = ~copy & ~hit
-    for k, at in ((1, 16), (2, 0), (3, 24)):
-        symbol = literal[real] >> at & 255
-        values[real, k], widths[real, k] = codes[k][symbol], sizes[k][symbol]
-    values[copy, 1], widths[copy, 1] = extra_l, n_l
-    values[copy, 2], widths[copy, 2] = codes[4][dist], sizes[4][dist]
-    values[copy, 3], widths[copy, 3] = extra_d, n_d
-    w.put_all(values.ravel(), widths.ravel())
+    for j, channel in ((1, 1), (2, 3), (3, 0)):
+        fields[:, j] = np.where(real, codes.take(own_codes + (j * alphabet + colour[:, channel])), 0)
+    fields[copy, 1] = extra_l | n_l << 32
+    fields[copy, 2] = codes.take(own_codes[copy] + 4 * alphabet + dist)
+    fields[copy, 3] = extra_d | n_d << 32
+    values, sizes_ = fields & 0xFFFFFFFF, fields >> 32
+    cut = np.searchsorted(own, np.arange(m + 1))
+
+    def putter(k):
+        def put(w: Writer, top: bool):
+            bits = caches[best[k]]
+            w.put(1 if bits else 0, 1)
+            if bits:
+                w.put(bits, 4)
+            if top:
+                w.put(0, 1)  # one group of codes
+            for j, x in enumerate(lengths[k]):
+                write_lengths(w, x, runs.get((k, j)))
+            w.put_all(values[cut[k] : cut[k + 1]].ravel(), sizes_[cut[k] : cut[k + 1]].ravel())
+
+        return put
+
+    return [putter(k) for k in range(m)]
+
+
+def _put_image(w: Writer, px: np.ndarray, top: bool, caches: tuple = (0,), copies: bool = True):
+    _plans([px], caches, copies)[0](w, top)
 
 
 def _file(data: bytes) -> bytes:
@@ -763,7 +813,8 @@ def _transformed(px: np.ndarray, kinds: tuple, side: dict, bits: int):
     return px, notes
 
 
-def _written(px: np.ndarray, shape: tuple, notes: list, caches: tuple, copies: bool, bits: int) -> bytes:
+def _written(plan, shape: tuple, notes: list, bits: int) -> bytes:
+    """A file of what transforms noted left, which plan puts."""
     w = Writer()
     for v, n in ((0x2F, 8), (shape[1] - 1, 14), (shape[0] - 1, 14), (1, 1), (0, 3)):
         w.put(v, n)
@@ -777,7 +828,7 @@ def _written(px: np.ndarray, shape: tuple, notes: list, caches: tuple, copies: b
         if data is not None:
             _put_image(w, data, False)
     w.put(0, 1)
-    _put_image(w, px, True, caches, copies)
+    plan(w, True)
     return _file(w.data())
 
 
@@ -789,18 +840,91 @@ def encode(px: np.ndarray, transforms: tuple = (), caches: tuple = (0,), copies:
     got = _transformed(px.astype(np.int64), transforms, side or BEST, bits)
     if got is None:
         raise ValueError("too many colours for a palette")
-    return _written(got[0], px.shape, got[1], caches, copies, bits)
+    return _written(_plans([got[0]], caches, copies)[0], px.shape, got[1], bits)
+
 
+KINDS = ((), (SUBTRACT,), (PREDICTOR,), (CROSS,), (PALETTE,))
 
-def smallest(px: np.ndarray) -> bytes:
-    """The smallest file of px among the transforms that seem near the best."""
-    px, tried = px.astype(np.int64), []
-    for kinds in ((), (SUBTRACT,), (PREDICTOR,), (CROSS,), (PALETTE,)):
-        got = _transformed(px, kinds, BEST, BLOCK_BITS)
-        if got is not None:
-            tried.append((sum(_bits_of(_channel_counts(x), _FIRST) for x in (got[0], *(d for _, d in got[1] if d is not None))), got))
-    least = min(x[0] for x in tried)
-    return min((_written(*(got[0], px.shape, got[1]), CACHES, True, BLOCK_BITS) for cost, got in tried if cost <= NEARLY * least), key=len)
+
+def estimates(images: list[np.ndarray]) -> np.ndarray:
+    """About the bits that each image takes under each of KINDS. The images are of one width and of ROWS rows at most, so that a block has all their rows."""
+    m, tall = len(images), np.array([len(x) for x in images])
+    px, first, image = np.concatenate(images).astype(np.int16), np.cumsum(tall) - tall, np.repeat(np.arange(len(images)), tall)
+    rows, wide, _ = px.shape
+    blocks, block = np.arange(0, wide, 1 << BLOCK_BITS), np.arange(wide) >> BLOCK_BITS
+
+    def bits(left, *notes):
+        cost = _bits_of(_channel_counts(np.repeat(image, wide), left.reshape(-1, 4).astype(np.int64), m), _FIRST)
+        for x in notes:
+            cost = cost + _bits_of(_channel_counts(np.repeat(np.arange(m), x.shape[1]), x.reshape(-1, 4), m), _FIRST)
+        return cost
+
+    def per_block(x, columns):
+        return np.add.reduceat(np.add.reduceat(x, columns, 1), first, 0)
+
+    less_green = px.copy()
+    less_green[..., [1, 3]] = (px[..., [1, 3]] - px[..., 2:3]) & 255
+
+    planes = np.ascontiguousarray(np.moveaxis(px, -1, 0))
+    here, around = planes[:, 1:, 1:], (planes[:, 1:, :-1], planes[:, :-1, 1:], planes[:, :-1, :-1], np.concatenate([planes[:, :-1, 2:], planes[:, 1:, :1]], 2))
+    fresh = np.zeros(rows, bool)
+    fresh[first] = True  # the first rows of images, which have nothing above them
+    costs, residuals = [], []
+    for mode in MODES:
+        d = (here - _guess(mode, *around, axis=0)).astype(np.int8)  # wraps as samples do
+        size = np.abs(d.astype(np.int16)).sum(0, dtype=np.int32)
+        size[fresh[1:]] = 0
+        costs.append(per_block(np.pad(size, ((1, 0), (0, 0))), np.maximum(blocks - 1, 0)))
+        residuals.append(d)
+    modes = np.argmin(costs, 0)
+    left = px.copy()
+    left[:, 1:] -= px[:, :-1]  # as for first rows
+    below = ~fresh
+    left[below, 0] = (px[1:, 0] - px[:-1, 0])[below[1:]]
+    own = modes[image][:, block][1:, 1:]
+    chosen = np.zeros(here.shape, np.int8)
+    for k, d in enumerate(residuals):
+        np.copyto(chosen, d, where=own == k)
+    left[1:, 1:][below[1:]] = np.moveaxis(chosen, 0, -1)[below[1:]]
+    note = np.zeros((*modes.shape, 4), np.int64)
+    note[..., 0], note[..., 2] = 255, np.array(MODES)[modes]
+    predicted = bits(left & 255, note)
+
+    signed = (planes + 128 & 255) - 128
+    r, g, b = (signed[k].astype(np.int32) for k in (1, 2, 3))
+    each = np.maximum(per_block(g * g, blocks), 1)
+    fit = lambda y: np.clip(np.rint(32 * per_block(g * y, blocks) / each), -127, 127).astype(np.int32)
+    to_red, to_blue = fit(r), fit(b)
+    crossed = px.copy()
+    crossed[..., 1] = px[..., 1] - (to_red[image][:, block] * g >> 5) & 255
+    crossed[..., 3] = px[..., 3] - (to_blue[image][:, block] * g >> 5) & 255
+    note = np.stack([np.full(to_red.shape, 255), 0 * to_red, to_blue & 255, to_red & 255], -1).astype(np.int64)
+
+    argb = planes[0].astype(np.int64) << 24 | planes[1].astype(np.int64) << 16 | planes[2].astype(np.int64) << 8 | planes[3]
+    colours, often = np.unique((argb | image[:, None] << 32).ravel(), return_counts=True)
+    of = (colours >> 32).astype(int)
+    many, total = np.bincount(of, minlength=m), tall * wide
+    indexes = total * np.log2(total) - np.bincount(of, often * np.log2(often), minlength=m)
+    packed = np.where(many <= 256, indexes + 16.0 * many, np.inf)  # about 12 bits for a colour, and its index's code
+    return np.stack([bits(px), bits(less_green), predicted, bits(crossed, note), packed], 1)
+
+
+def smallest_all(images: list[np.ndarray]) -> list[bytes]:
+    """The smallest file of each image (rows, columns, alpha red green blue) among the transforms that seem near the best."""
+    guess = estimates(images)
+    near = guess <= NEARLY * guess.min(1, keepdims=True)
+    out: list = [None] * len(images)
+    todo = []
+    for i, x in enumerate(images):
+        for k in np.flatnonzero(near[i]):
+            got = _transformed(x.astype(np.int64), KINDS[k], BEST, BLOCK_BITS)
+            if got is not None:
+                todo.append((i, x.shape, *got))
+    for (i, shape, _, notes), plan in zip(todo, _plans([x[2] for x in todo], CACHES, True)):
+        file = _written(plan, shape, notes, BLOCK_BITS)
+        if out[i] is None or len(file) < len(out[i]):
+            out[i] = file
+    return out
 
 
 # Bytes as images
@@ -812,11 +936,25 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes([FILL]) * (size - len(raw)), len(raw)
 
 
-def store(payload: bytes) -> bytes:
-    """WebP files, one after the other, that hold payload (a multiple of WIDE bytes)."""
-    rgb = np.frombuffer(payload, np.uint8).reshape(-1, ACROSS, 3)
-    px = np.concatenate([np.full((*rgb.shape[:2], 1), 255, np.uint8), rgb], 2)
-    return b"".join(smallest(px[i : i + ROWS]) for i in range(0, len(px), ROWS))
+def store_all(payloads: list[bytes]) -> list[bytes]:
+    """For each payload (a multiple of WIDE bytes) the WebP files that hold it, one after the other."""
+    images, owner, out = [], [], [[] for _ in payloads]
+
+    def flush():
+        for i, f in zip(owner, smallest_all(images) if images else ()):
+            out[i].append(f)
+        images.clear()
+        owner.clear()
+
+    for i, p in enumerate(payloads):
+        rgb = np.frombuffer(p, np.uint8).reshape(-1, ACROSS, 3)
+        for a in range(0, len(rgb), ROWS):
+            images.append(np.concatenate([np.full((*rgb[a : a + ROWS].shape[:2], 1), 255, np.uint8), rgb[a : a + ROWS]], 2))
+            owner.append(i)
+            if len(images) >= WRITTEN:
+                flush()
+    flush()
+    return [b"".join(x) for x in out]
 
 
 def files(media: bytes) -> list[bytes]:
@@ -829,7 +967,7 @@ def files(media: bytes) -> list[bytes]:
 
 
 def load(media: list[bytes]) -> list[np.ndarray]:
-    """The pixels (rows, columns, red green blue) that media (results of store) hold."""
+    """The pixels (rows, columns, red green blue) that media (results of store_all) hold."""
     own = [files(m) for m in media]
     every = [f for x in own for f in x]
     got = iter(px[..., 1:] for i in range(0, len(every), AT_ONCE) for px in decode_all(every[i : i + AT_ONCE]))
@@ -863,19 +1001,19 @@ def keep_texts(docs: DataFrame, media: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)][: len(names)], names=names)
 
     def run(batches):
-        ids, sizes, stored, held = [], [], [], 0
+        ids, sizes, payloads, held = [], [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 payload, n = payload_of(text.as_py())
                 ids.append(i)
                 sizes.append(n)
-                stored.append(store(payload))
+                payloads.append(payload)
                 held += len(payload)
                 if held >= TOGETHER:
-                    yield flush(ids, sizes, stored)
-                    ids, sizes, stored, held = [], [], [], 0
+                    yield flush(ids, sizes, store_all(payloads))
+                    ids, sizes, payloads, held = [], [], [], 0
         if ids:
-            yield flush(ids, sizes, stored)
+            yield flush(ids, sizes, store_all(payloads))
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + more)
 

@@ -313,14 +313,16 @@ def test_webp_picks_the_smallest():
         webp.CROSS: opaque((noise + 128 & 255) - 128 >> 1, noise, rng.integers(0, 256, (16, 192))),
         webp.PALETTE: opaque(*rng.integers(0, 256, (3, 7))[:, rng.integers(0, 7, (16, 192))]),
     }
+    assert webp.smallest_all(list(some.values())) == [webp.smallest_all([px])[0] for px in some.values()]
     for kind, px in some.items():
-        f = webp.smallest(px)
+        f = webp.smallest_all([px])[0]
         assert first(f) == kind and (webp.decode(f) == px).all()
 
 
 def test_webp_store(spark, edges, none):
     payloads = [webp.payload_of(x)[0] for x in (None, "a", "b" * 576, "ÿ" * 9000, "xyz " * 9000, "".join(map(chr, range(1, 2000))))]
-    media = [webp.store(p) for p in payloads]
+    media = webp.store_all(payloads)
+    assert media == [webp.store_all([p])[0] for p in payloads]
     assert [x.tobytes() for x in webp.load(media)] == payloads
     with pytest.raises(ValueError):
         webp.decode(media[3][:40])
