@@ -13,7 +13,8 @@ partition hands on a spanning star of what it linked, not the pairs. Components
 alternating large-star and small-star steps on written tables.
 
 Defined results: null, empty and blank texts have no words and fingerprint zero, and link like any other; fewer than 4
-words make one shingle; a null doc_id never names a component unless all in it are null; repeated rows each get a row;
+words make one shingle; a null doc_id never names a component unless all in it are null; rows that share a doc_id or
+have none are told apart by their texts; repeated rows each get a row, and near_deduplicated keeps one of them;
 an empty table gives an empty result; other columns are kept by near_deduplicated and ignored by op9.
 """
 
@@ -25,11 +26,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from setwise.llm.common import LOWER, UPPER, lookup, materialise, table, unused
+from setwise.llm.common import LOWER, UPPER, lookup, materialise, table, text_key, unused
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 PIVOTS, HOT = 16, 20_000
@@ -57,15 +58,25 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text: mark (a text's digest) tells rows apart that share a doc_id or have none."""
+    return docs.select("doc_id", text_key(F.col("text")).alias("mark"), "text")
+
+
+def lowest() -> Column:
+    """The row that names a class: the smallest doc_id, null last, and of its texts the one with the smallest mark."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for each row."""
+    """doc_id, mark, fp (the fingerprint's bits as a signed long) for each row."""
 
     def run(batches):
         for batch in batches:
-            values = [fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            values = [fingerprint(x.as_py(), width) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return marked(docs).mapInArrow(run, "doc_id long, mark binary, fp long")
 
 
 def _blocks(blocks: int) -> list[tuple[int, int]]:
@@ -246,38 +257,47 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints (doc_id, fp), and fp, component_id for each fingerprint that several rows share or a link reaches."""
+    """The rows' fingerprints (doc_id, mark, fp), and fp, first (as lowest gives it) for each fingerprint that several rows share or a link reaches."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
+    distinct = materialise(prints.groupBy("fp").agg(lowest().alias("low"), F.count("*").alias("n")), "distinct")
     roots = components(linked(distinct.select("fp"), radius))
     rooted = lookup(distinct, roots.withColumnRenamed("node", "fp"), ["fp"]).withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "roots")
-    whole = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
-    named = rooted.join(whole, "root").where("n > 1 or k > 1").select("fp", "component_id")
+    whole = rooted.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("k"))
+    named = rooted.join(whole, "root").where("n > 1 or k > 1").select("fp", "first")
     return prints, materialise(named, "classes")
 
 
+def _rows(docs: DataFrame, radius: int, width: int) -> DataFrame:
+    prints, named = classes(docs, radius, width)
+    alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    return lookup(prints, named, ["fp"]).withColumn("first", F.coalesce("first", alone))
+
+
+def hexed(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs (doc_id, text)."""
-    prints, named = classes(docs, radius, width)
-    rows = lookup(prints, named, ["fp"])
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _rows(docs, radius, width).select("doc_id", hexed("fp").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def near_deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
-    """The rows of docs, all columns, with one of each component: a row of the doc_id that names it (the first by text, then source, of repeated ones)."""
-    return first_of(docs, near_duplicates(docs, radius, width))
+    """The rows of docs, all columns, with one of each component: a row of the doc_id and text that name it (the first by source, then lang, of repeated ones)."""
+    return first_of(docs, _rows(docs, radius, width))
 
 
 def first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs with one of each component of found (doc_id, fingerprint, component_id)."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fingerprint").alias("fp"))
-    id_, n, k = unused(docs, "id", "n", "k")
-    keep = materialise(keep.select(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(k), F.col("n").alias(n)), "kept")
-    rows = docs.withColumns({id_: F.coalesce("doc_id", F.lit(0)), k: F.col("doc_id").isNull()})
-    rows = rows.join(keep.hint("merge"), [id_, k])  # keep grows with docs: never broadcast
-    rank = F.row_number().over(W.partitionBy(id_, k).orderBy("text", *[c for c in docs.columns if c in ("source", "lang")]))
-    some = rows.where(F.col(n) > 1).withColumn(f"{k}{n}", rank).where(F.col(f"{k}{n}") == 1)
+    """The rows of docs with one of each class of found (doc_id, mark, first)."""
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    id_, none, mark, n, k = unused(docs, "id", "none", "mark", "n", "k")
+    keep = keep.groupBy(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(none), F.col("mark").alias(mark)).agg(F.count("*").alias(n))
+    keep = materialise(keep, "kept")
+    rows = docs.withColumns({id_: F.coalesce("doc_id", F.lit(0)), none: F.col("doc_id").isNull(), mark: text_key(F.col("text"))})
+    rows = rows.join(keep.hint("merge"), [id_, none, mark])  # keep grows with docs: never broadcast
+    rank = F.row_number().over(W.partitionBy(id_, none, mark).orderBy(*[c for c in docs.columns if c in ("source", "lang")], "text"))
+    some = rows.where(F.col(n) > 1).withColumn(k, rank).where(F.col(k) == 1)
     return rows.where(F.col(n) == 1).select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
