@@ -101,10 +101,9 @@ def int_cardinality(a: DataFrame) -> DataFrame:
     return cardinality(a).select(F.when(n >= 1 << 31, F.raise_error(F.lit("cardinality beyond 32 bits")).cast("int")).otherwise(n.cast("int")).alias("card"))
 
 
-def _prefixes(a: DataFrame) -> DataFrame:
-    """p48 (the high 48 bits of the order key), card, before (values below the prefix)."""
-    key = unsigned64_key(F.col("v"))
-    level = a.select(F.shiftright(key, 16).alias("p48")).groupBy("p48").agg(F.count("*").alias("card"))
+def _prefixes(dealt: DataFrame) -> DataFrame:
+    """p48 (the high 48 bits of the order key), card, before (values below the prefix) of dealt rows."""
+    level = dealt.groupBy("p48").agg(F.count("v").alias("card"))
     tables = []
     for low, high in (("p48", "p32"), ("p32", "p16"), ("p16", None)):
         parent = [] if high is None else [F.shiftright(low, 16).alias(high)]
@@ -119,7 +118,7 @@ def _prefixes(a: DataFrame) -> DataFrame:
 
 def _dealt(a: DataFrame) -> DataFrame:
     """v, p48: dealt by prefix once, for the prefixes' table as for the numbers within one."""
-    return a.select("v", F.shiftright(unsigned64_key(F.col("v")), 16).alias("p48")).repartition("p48")
+    return a.select("v", F.shiftright(unsigned64_key(F.col("v")), 16).alias("p48")).where("v is not null and p48 is not null").repartition("p48")
 
 
 def _numbered(dealt: DataFrame) -> DataFrame:

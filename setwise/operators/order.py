@@ -13,16 +13,17 @@ from setwise.functions.integers import UNIVERSE, chunk_of, signed32
 
 
 def chunk_sums(sets: DataFrame) -> DataFrame:
-    """set_id, chunk, card, before (values in earlier chunks), low, high: the side table for ranks and seeks."""
+    """set_id, chunk, card, before (values in earlier chunks), low, high: the side table for ranks and seeks. It counts v, not rows, so that it reads the same columns as the numbering and the exchange of dealt rows serves both."""
     chunk = F.col("chunk") if "chunk" in sets.columns else chunk_of(F.col("v")).alias("chunk")  # of dealt rows
-    per = sets.groupBy("set_id", chunk).agg(F.count("*").alias("card"), F.min("v").alias("low"), F.max("v").alias("high"))
+    per = sets.groupBy("set_id", chunk).agg(F.count("v").alias("card"), F.min("v").alias("low"), F.max("v").alias("high"))
     earlier = W.partitionBy("set_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     return per.withColumn("before", F.coalesce(F.sum("card").over(earlier), F.lit(0)))
 
 
 def dealt(sets: DataFrame) -> DataFrame:
     """set_id, v, chunk, dealt by set and chunk once: numbers within a chunk and the chunks' own table share the exchange."""
-    return sets.select("set_id", "v", chunk_of(F.col("v")).alias("chunk")).repartition("set_id", "chunk")
+    keyed = sets.select("set_id", "v", chunk_of(F.col("v")).alias("chunk"))
+    return keyed.where("set_id is not null and chunk is not null").repartition("set_id", "chunk")  # what a later join on them would filter on one side only
 
 
 def _numbered(keyed: DataFrame) -> DataFrame:
