@@ -202,7 +202,7 @@ class Codec:
         """Composed and lower-case. Runs of white space stay: no piece holds white space."""
         if text.isascii():
             return text.lower()
-        if self.vocab.newer.search(text):
+        if not text.replace("\n", " ").isprintable() and self.vocab.newer.search(text):  # what is not assigned is not printable
             from tokenizers import normalizers
 
             return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
@@ -224,7 +224,7 @@ class Codec:
         if word.isalpha():
             return self._piece(word)
         known, v = self.known, self.vocab
-        pieces = (v.pattern if word.isascii() or not v.newer.search(word) else v.strict).findall(word)
+        pieces = (v.pattern if word.isprintable() or not v.newer.search(word) else v.strict).findall(word)
         out = b"".join([known[x] if x in known else self._piece(x) for x in pieces])
         return self._keep(word, out) if len(word) < 8 else out
 
