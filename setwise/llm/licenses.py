@@ -113,6 +113,69 @@ PHRASES = (
     ("zlib", "express or implied", "this software is provided as is without any express or implied warranty", 4, 0.95),
     ("permission", "permission", "(used|reprinted|reproduced) (with|by) permission", 1, 0.5),
     ("fair-use", "fair use", "fair use", 1, 0.3),
+    ("fair-use", "fair dealing", "fair dealing", 1, 0.3),
+    ("apache-2.0", "licensed under the apache", "licensed under the apache license version 2 0 the license", 4, 1.0),
+    ("apache-2.0", "apache org", "apache org licenses license 2 0", 4, 0.95),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 4, 0.9),
+    ("gpl-2.0-or-later", "version 2 of the license", "either version 2 of the license or at your option any later version", 4, 1.0),
+    ("gpl-3.0-or-later", "version 3 of the license", "either version 3 of the license or at your option any later version", 4, 1.0),
+    ("gpl", "copy of the gnu general public", "you should have received a copy of the gnu general public license", 4, 0.95),
+    ("lgpl", "copy of the gnu lesser", "you should have received a copy of the gnu lesser general public license", 4, 0.95),
+    ("agpl", "copy of the gnu affero", "you should have received a copy of the gnu affero general public license", 4, 0.95),
+    ("gpl", "gnu org licenses", "gnu org licenses( gpl)?( html)?", 2, 0.7),
+    ("gfdl", "documentation license", "copy distribute and or modify this document under the terms of the gnu free documentation license", 4, 1.0),
+    ("mpl-2.0", "mozilla org", "mozilla org mpl 2 0", 4, 0.95),
+    ("mpl-2.0", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0", 4, 1.0),
+    ("mpl-1.1", "mozilla public", "the contents of this file are subject to the mozilla public license version 1 1", 4, 1.0),
+    ("epl-1.0", "eclipse public", "made available under the terms of the eclipse public license v1 0", 4, 1.0),
+    ("epl-2.0", "eclipse public", "made available under the terms of the eclipse public license( v)? 2 0", 4, 1.0),
+    ("cddl-1.0", "distribution license", "common development and distribution license( (version )?1 0)?", 3, 0.9),
+    ("hpnd", "permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose", 4, 0.9),
+    ("bsd", "redistributions of source", "redistributions of source code must retain the above copyright notice", 4, 0.9),
+    ("bsd", "redistributions in binary", "redistributions in binary form must reproduce the above copyright notice", 4, 0.9),
+    ("bsd-4-clause", "use of this software", "all advertising materials mentioning features or use of this software must display", 4, 0.95),
+    ("bsd", "any express or implied", "this software is provided by the (copyright holders and contributors|author|regents and contributors) as is and any express or implied warranties", 4, 0.9),
+    ("unlicense", "unlicense org", "unlicense org", 3, 0.8),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0", 4, 0.95),
+    ("public-domain", "creativecommons", "creativecommons org publicdomain mark 1 0", 4, 0.9),
+    ("public-domain", "public domain", "dedicated to the public domain", 3, 0.9),
+    ("public-domain", "public domain", "(is|are|was) (now )?in the public domain", 3, 0.85),
+    ("proprietary", "proprietary", "proprietary (software|information|rights|notice)", 2, 0.7),
+    ("proprietary", "prior written permission", "without( the)? prior written permission( of)?", 2, 0.7),
+    ("proprietary", "may be reproduced", "no part of this (publication|book|document|work) may be reproduced", 3, 0.9),
+    ("reserved", "all rights", "all rights (remain|are hereby|not expressly granted are) reserved", 2, 0.8),
+    ("copyright", "copyright holder", "copyright holders?", 1, 0.4),
+    ("copyright", "copyright notice", "copyright notice", 1, 0.4),
+    ("no-warranty", "warranty", "without any warranty", 1, 0.5),
+    ("no-warranty", "warranties", "makes? no (representations or )?warranties", 2, 0.5),
+    ("no-warranty", "implied warrant", "implied warrant(y|ies) of merchantability", 2, 0.6),
+    ("eula", "license agreement", "end user license agreement", 3, 0.8),
+    ("eula", "software license", "software license agreement", 2, 0.7),
+    ("non-commercial", "licensed for", "licensed for (personal|non commercial|academic|educational|internal)( and (personal|non commercial|academic|educational))? use", 3, 0.8),
+    ("dual", "dual licensed", "dual licensed", 2, 0.6),
+    ("odc-by-1.0", "attribution license", "open data commons attribution license( 1 0)?", 3, 0.9),
+    ("cdla", "data license agreement", "community data license agreement (permissive|sharing)( (version )?[12] 0)?", 3, 0.9),
+    ("openrail", "rail license", "open ?rail license", 3, 0.9),
+    ("llama", "community license", "llama [0-9]( [0-9])? community license( agreement)?", 3, 0.9),
+    ("ogl-uk-3.0", "government licence", "open government licence( v3( 0)?| version 3( 0)?)?", 3, 0.9),
+    ("w3c", "w3c software", "w3c software (notice and )?(and document )?license", 3, 0.9),
+    ("qpl-1.0", "q public license", "q public license( (version )?1 0)?", 3, 0.9),
+    ("ipl-1.0", "ibm public license", "ibm public license( (version )?1 0)?", 3, 0.9),
+    ("cpl-1.0", "common public license", "common public license( (version )?1 0)?", 3, 0.9),
+    ("spl-1.0", "sun public license", "sun public license( (version )?1 0)?", 3, 0.9),
+    ("npl-1.1", "netscape public license", "netscape public license( (version )?1 [01])?", 3, 0.9),
+    ("rpl-1.5", "reciprocal public license", "reciprocal public license( (version )?1 [15])?", 3, 0.9),
+    ("apsl-2.0", "apple public", "apple public source license( (version )?[12] [0-2])?", 3, 0.9),
+    ("php-3.01", "php license", "(the )?php license( (version )?3 01?)?", 3, 0.9),
+    ("ruby", "ruby license", "(the )?ruby license", 3, 0.8),
+    ("zpl-2.1", "zope public license", "zope public license( (version )?2 [01])?", 3, 0.9),
+    ("openssl", "openssl license", "openssl license", 3, 0.9),
+    ("curl", "curl license", "curl license", 2, 0.7),
+    ("json", "json license", "json license", 2, 0.8),
+    ("upl-1.0", "permissive license", "universal permissive license( (v|version )?1 0)?", 3, 0.9),
+    ("mulanpsl-2.0", "permissive software license", "mulan permissive software license( v2)?", 3, 0.9),
+    ("hippocratic", "hippocratic license", "hippocratic license( [1-3] [01])?", 3, 0.9),
+    ("commons-clause", "clause license condition", "commons clause license condition", 3, 0.9),
 )
 #: One of these stands in every text that a rule or a base phrase can match: verbs of a grant, and parts of all other rules' keywords.
 GRANTS = ("licensed", "released", "distributed", "published", "available", "provided", "covered")

@@ -210,6 +210,8 @@ def test_licenses_by_hand(spark, documents):
         None, "", "MIT", "released under the terms of the GNU General Public License version 3 or later", "Licensed under the MIT License or the Apache License, Version 2.0; CC BY-SA 4.0.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy. All rights reserved. Copyright (c) 2019 2020", "cc by nc sa 3.0 unported, creative commons attribution share alike 2.0 license",
         "SPDX-License-Identifier: GPL-2.0-only", "THE SOFTWARE IS PROVIDED AS IS, without warranty of any kind. Redistribution and use in source and binary forms", "distributed under the BSD 3 clause license licensed under the x11 licence",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. Llama 3.1 Community License Agreement; Open Government Licence v3.0; all rights remain reserved",
+        "Redistributions of source code must retain the above copyright notice. You should have received a copy of the GNU Lesser General Public License. Netscape Public License 1.1, Zope Public License 2.1",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     seen = set()
