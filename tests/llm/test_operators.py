@@ -416,16 +416,3 @@ def test_sql_of_the_registered_queries(spark):
         df = registry.queries()[name](spark, SF)
         cols = sorted(df.columns)
         assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()))
-
-
-def test_pipeline(spark, documents):
-    docs = documents
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = corpus_pipeline.materialise(stage(spark, docs, SF), name)
-        assert docs.columns == documents.columns
-        if name == "line_dedup":
-            assert docs.count() == before
-    rows = corpus_pipeline.encode(spark, docs, SF).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "encode"]
