@@ -87,10 +87,9 @@ def canonical(lengths) -> np.ndarray:
 
 def _lookup(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """symbol << 4 | length for every next `bits` bits, and bits. A lone symbol takes no bits."""
-    lengths = np.asarray(lengths)
     used = np.flatnonzero(lengths)
     if len(used) == 1:
-        return np.array([used[0] << 4]), 0
+        return used << 4, 0
     bits = int(lengths.max(initial=0))
     order = used[np.argsort(lengths[used], kind="stable")]
     n = lengths[order]
@@ -172,11 +171,11 @@ def _asked(b: Bits, wide: int, high: int, top: bool):
     which, shift = None, 0
     if top and b.read(1):
         shift = b.read(3) + 2
-        which = (yield from _asked(b, -(-wide >> shift), -(-high >> shift), False)) >> 8 & 0xFFFF
+        which = (yield from _asked(b, -(-wide >> shift), -(-high >> shift), False)).astype(np.int64) >> 8 & 0xFFFF
     n = 1 if which is None else int(which.max()) + 1
     groups = [[Code(read_lengths(b, a)) for a in (280 + (1 << bits if bits else 0), 256, 256, 256, 40)] for _ in range(n)]
     argb, b.pos = yield b.data, b.pos, wide, high, which, shift, groups, bits
-    return argb.astype(np.int64)
+    return argb
 
 
 def _parsed(file: bytes):
@@ -202,7 +201,7 @@ def _parsed(file: bytes):
         else:
             out.append((kind, wide, 0, None))
     argb = yield from _asked(b, wide, high, True)
-    return full, high, out, _channels(argb, high, wide)
+    return full, high, out, argb.astype("<u4").view(np.uint8).reshape(high, wide, 4)[..., ::-1]
 
 
 def _in_step(asked: list) -> list:
@@ -306,7 +305,7 @@ def _in_step(asked: list) -> list:
 
 
 def _channels(argb: np.ndarray, high: int, wide: int) -> np.ndarray:
-    return np.stack([argb >> k & 255 for k in (24, 16, 8, 0)], -1).reshape(high, wide, 4)
+    return np.stack([argb.astype(np.int64) >> k & 255 for k in (24, 16, 8, 0)], -1).reshape(high, wide, 4)
 
 
 def _guess(mode: int, l, t, tl, tr, axis: int = -1):
@@ -383,6 +382,10 @@ def _undone(parts: list) -> list[np.ndarray]:
     for k, (full, _, transforms, px) in enumerate(parts):
         alike[full, px.shape[1], tuple(x[:3] for x in transforms)].append(k)
     for (_, _, shape), ks in alike.items():
+        if not shape:
+            for k in ks:
+                out[k] = parts[k][3]
+            continue
         ks.sort(key=lambda k: -parts[k][1])
         tall = np.array([parts[k][1] for k in ks])
 
