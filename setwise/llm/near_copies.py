@@ -1,16 +1,23 @@
 """SimHash near-dedup at a similarity of shingles: texts link at a Jaccard similarity of SIMILAR or more of their sets of
 WIDTH-word shingles.
 
-At that similarity 64-bit fingerprints differ by 10 bits on average and by up to 20 and more, where no choice of equal
-blocks finds the pairs. So candidates come from BANDS buckets of ROWS minimum hashes each: a pair at the similarity
-itself shares none with a probability of (1 - 0.8**5)**32, 3 in a million, a closer pair with less. Of candidates, those
-whose fingerprints differ by more than FAR bits are discarded (six standard errors at the similarity), by the rows of
-distances to pivot fingerprints where many are compared, and every survivor is verified on the whole shingle sets.
-
-First each bucket's members are compared with its smallest. Then, in buckets that still hold several components, members
+At that similarity a bit of one set's SimHash differs from the other's with a probability of 0.15, so a 64-bit
+fingerprint differs by 10 bits on average and by up to 20 and more, where no choice of equal blocks finds the pairs. A
+fingerprint here is WORDS of them side by side: the operator's own (the shingles' XXH64) and as many of the same values
+mixed on. It is dealt by blocks of its bits, as op9's: two texts meet in a bucket where they agree on a block. Blocks are
+of `width` bits, more where there are more texts, and there are so many of them that a pair at the similarity itself
+agrees on none with a probability of e**-MISS, 2 in ten million (sets of 4 and 5 shingles, whose bits differ most, with
+2 to 7 in 100,000); closer pairs with less. In a bucket, texts are compared by size, by the table of their distances to
+pivot fingerprints, which are members of the bucket, and by the WIDE first bits, of which at most WIDE_FAR may differ.
+What that connects is a group, and texts of a group are candidates: those whose first 64 bits differ by more than FAR are
+discarded (six standard errors at the similarity), again by pivots where many are compared, and every survivor is
+verified on the whole shingle sets.
+
+First each group's members are compared with its smallest. Then, in groups that still hold several components, members
 are compared with those of other components by breadth-first search, inside a task, until nothing is left to link: a
-task hands on a spanning forest, never the pairs. A bucket of more than MOST members or PART shingles is cut into blocks,
-and each two blocks meet in a task of their own, so that no link of a bucket is lost and no task holds a hot one.
+task hands on a spanning forest, never the pairs. A bucket or group of more than MOST members or a group of more than PART
+shingles is cut into blocks, and each two blocks meet in a task of their own, so that no link is lost and no task holds a
+hot one.
 
 Words are those of op9's fingerprints; fewer than WIDTH words make one shingle, and texts without words are copies of
 each other. Equal sets are one node.
@@ -23,6 +30,7 @@ result; near_deduplicated keeps all columns of the rows that stay.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +41,16 @@ from pyspark.sql import functions as F
 from setwise.llm.common import LOWER, UPPER, lookup, materialise
 from setwise.llm.simhash import components, first_of, hexed, lowest, marked, pivot_fingerprints, popcount
 
-WIDTH, SIMILAR, BANDS, ROWS, SEED, FAR = 5, (4, 5), 32, 5, 42, 27
+WIDTH, SIMILAR, SEED, FAR = 5, (4, 5), 42, 27
+WORDS, WIDE, WIDE_FAR, MISS, DIFFERS = 16, 128, 42, 15.5, 0.1515
+#: Texts that a bucket holds on average, at most, and the fewest bits of a block; rows that a worker compares at once.
+BUCKET, LEAST, TOGETHER = 512, 10, 200_000
 MOST, PART = 2048, 1 << 22
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _RNG = np.random.default_rng(SEED)
-_TIMES, _PLUS = _RNG.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: A byte's bits as the bytes of a long, so that sums of up to 255 of them are counts of bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -47,13 +60,106 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + WIDTH]), SEED) for i in range(n)), np.uint64, n))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The buckets of a set of shingles, as signed longs."""
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(found), 512):
-        low = np.minimum(low, (found[at : at + 512, None] * _TIMES + _PLUS).min(0))
-    got = [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    return np.array(got, np.uint64).view(np.int64).tolist()
+def wide_simhash(found: np.ndarray) -> np.ndarray:
+    """WORDS fingerprints of a set of shingles, the first of them simhash_of it."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(found), 255):
+        x = found[at : at + 255, None] * _TIMES[0]
+        x ^= x >> np.uint64(32)
+        x *= _TIMES[1]
+        x ^= x >> np.uint64(29)
+        x[:, 0] = found[at : at + 255]
+        counts += np.add.reduce(_SPREAD.take(x.view(np.uint8)), 0).view(np.uint8)
+    return np.packbits(counts * 2 > len(found), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def blocks(n: int) -> np.ndarray:
+    """For n texts, the bits (of 64 * WORDS) of each block: each row is one."""
+    width = max(LEAST, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    many, each = math.ceil(MISS / (1 - DIFFERS) ** width), 64 * WORDS // width
+    rng = np.random.default_rng(SEED)
+    return np.concatenate([rng.permutation(64 * WORDS)[: each * width].reshape(each, width) for _ in range(-(-many // each))])[:many]
+
+
+def keys_of(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bucket of each fingerprint (a row of WORDS longs) by each block of at."""
+    bits = np.unpackbits(wide.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    got = np.zeros((len(wide), len(at)), np.int64)
+    for k in range(at.shape[1]):
+        got |= bits[:, at[:, k]].astype(np.int64) << k
+    return got | np.arange(len(at)) << at.shape[1]
+
+
+def _dealt(at: np.ndarray):
+    """Rows (fp, n, wide): key (the bucket, and below bit 32 the size of the set), fp and the WIDE first bits for each block."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                part = batch.slice(a, 2048)
+                fp, n = (part.column(k).to_numpy() for k in (0, 1))
+                wide = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
+                key = keys_of(wide, at) << 32 | np.minimum(n, (1 << 31) - 1)[:, None]
+                each = [np.repeat(x, len(at)) for x in (fp, wide[:, 0].astype(np.int64), wide[:, 1].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *each)], names=["key", "fp", "one", "two"])
+
+    return run
+
+
+def grouped(key: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of rows sorted by key, the first that sizes, pivots and WIDE bits connect each with inside its bucket."""
+    bucket, n, total = key >> 32, key & 0xFFFFFFFF, len(key)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if total else np.zeros(0, int)
+    size = np.diff(np.r_[first, total])
+    tables = []
+    for q in range(4):  # pivots are members of the bucket: they tell a large group of copies from all else
+        p = np.repeat(first + size * q // 4, size)
+        tables.append((popcount(one ^ one[p]) + popcount(two ^ two[p])).astype(np.int16))
+    root, live, k = np.arange(total), np.arange(total), 0
+    while len(live):
+        k += 1
+        live = live[live < total - k]
+        live = live[(bucket[live + k] == bucket[live]) & (n[live + k] * SIMILAR[0] <= n[live] * SIMILAR[1])]
+        i = live[root[live] != root[live + k]]
+        for t in tables:
+            i = i[np.abs(t[i] - t[i + k]) <= WIDE_FAR]
+        i = i[popcount(one[i] ^ one[i + k]) + popcount(two[i] ^ two[i + k]) <= WIDE_FAR]
+        a, b = root[i], root[i + k]
+        while len(a):
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+            a, b = a[a != b], b[a != b]
+    return root
+
+
+def _grouped(batches):
+    """Rows (key, fp, one, two) come sorted by key: b, fp of the groups of several in each bucket; equal groups have one b."""
+    held, rows = [], 0
+
+    def flush(key, fp, one, two):
+        root = grouped(key, one.view(np.uint64), two.view(np.uint64))
+        many = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        many = many[np.argsort(root[many], kind="stable")]
+        new = np.flatnonzero(np.diff(root[many], prepend=-1))
+        x = fp[many].view(np.uint64) * _TIMES[0, 0]
+        x = (x ^ x >> np.uint64(32)) * _TIMES[1, 0]
+        b = np.add.reduceat(x ^ x >> np.uint64(29), new) if len(new) else x
+        b = np.repeat(b, np.diff(np.r_[new, len(many)]))
+        return pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(fp[many])], names=["b", "fp"])
+
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += len(batch)
+        if rows >= TOGETHER:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(whole[0] >> 32, whole[0][-1] >> 32))  # the last bucket may go on
+            if cut:
+                yield flush(*(x[:cut] for x in whole))
+            held, rows = [[x[cut:] for x in whole]], rows - cut
+    if rows:
+        yield flush(*(np.concatenate(x) for x in zip(*held)))
 
 
 def simhash_of(found: np.ndarray) -> int:
@@ -67,9 +173,10 @@ def simhash_of(found: np.ndarray) -> int:
 def _prints(batches):
     for batch in batches:
         sets = [shingles(x.as_py()) for x in batch.column(2)]
-        fp, sim = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], [simhash_of(x) for x in sets]))
-        columns = [*batch.columns[:2], fp, sim, pa.array([len(x) for x in sets], pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64())), batch.column(2)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "sim", "n", "bands", "text"])
+        wide = [wide_simhash(x) for x in sets]
+        fp, sim = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], [x[0] for x in wide]))
+        columns = [*batch.columns[:2], fp, sim, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in wide], pa.binary()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "sim", "n", "wide", "text"])
 
 
 def alike(both, a, b):
@@ -158,11 +265,29 @@ def _close(n: str, sim: str, m: str, other: str):
     return fits & (F.bit_count(F.col(sim).bitwiseXOR(F.col(other))) <= FAR)
 
 
+def _candidates(nodes: DataFrame, most: int) -> DataFrame:
+    """b, fp: the groups of nodes (fp, n, wide) to compare."""
+    dealt = nodes.select("fp", "n", "wide").mapInArrow(_dealt(blocks(nodes.count())), "key long, fp long, one long, two long")
+    bucket = F.shiftright("key", 32)
+    hot = dealt.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count("*") / most).cast("int").alias("k")).where("k > 1")
+    hot = materialise(hot, "hot")
+    if hot.count():
+        dealt = dealt.withColumn("bucket", bucket)
+        cool, again = lookup(dealt, hot.select("bucket"), ["bucket"], "left_anti"), lookup(dealt, hot, ["bucket"], "inner")
+        own = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("k")).cast("int")
+        again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        met = F.pmod(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")), F.lit(1 << 31))  # where two meet by chance, more is compared
+        again = again.withColumn("key", F.shiftleft(met, 32).bitwiseOR(F.col("key").bitwiseAND(0xFFFFFFFF)))
+        dealt = cool.select("key", "fp", "one", "two").unionByName(again.select("key", "fp", "one", "two"))
+    dealt = dealt.repartition(bucket).sortWithinPartitions("key")
+    return materialise(dealt.mapInArrow(_grouped, "b long, fp long").distinct(), "groups")
+
+
 def near_copies(docs: DataFrame, most: int = MOST, part: int = PART) -> DataFrame:
     """doc_id, fingerprint (of the shingle set), component_id, and the mark and first row by which near_deduplicated picks, for each row of docs (doc_id, text)."""
-    prints = materialise(marked(docs).mapInArrow(_prints, "doc_id long, mark binary, fp long, sim long, n long, bands array<long>, text string"), "shingles")
-    nodes = materialise(prints.groupBy("fp").agg(lowest().alias("low"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    dealt = nodes.select("fp", "n", "sim", F.explode("bands").alias("b"))
+    prints = materialise(marked(docs).mapInArrow(_prints, "doc_id long, mark binary, fp long, sim long, n long, wide binary, text string"), "shingles")
+    nodes = materialise(prints.groupBy("fp").agg(lowest().alias("low"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
+    dealt = materialise(lookup(_candidates(nodes, most), nodes.select("fp", "n", "sim"), ["fp"], "inner"), "dealt")
     shared = dealt.groupBy("b").agg(F.min(F.struct("fp", "n", "sim")).alias("c"), F.count("*").alias("k")).where("k > 1")
     shared = materialise(shared.select("b", F.col("c.fp").alias("c"), F.col("c.n").alias("cn"), F.col("c.sim").alias("csim")), "shared")
     members = materialise(lookup(dealt, shared, ["b"], "inner"), "members")

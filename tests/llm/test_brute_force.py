@@ -171,6 +171,32 @@ def test_forest_links_what_all_pairs_link():
         assert len(got) < 25
 
 
+def test_near_copies_meet_by_blocks_of_fingerprints():
+    rng, at = np.random.default_rng(8), near_copies.blocks(1000)
+    for a, b, both in ((4, 5, 4), (9, 9, 8), (40, 50, 40), (450, 450, 400)):  # pairs at the similarity itself
+        for _ in range(50):
+            found = rng.integers(0, 1 << 63, a + b - both, np.uint64)
+            wide = np.stack([near_copies.wide_simhash(x) for x in (found[:a], found[a - both :])])
+            assert near_copies.similar(np.sort(found[:a]), np.sort(found[a - both :])) and wide[0, 0] == near_copies.simhash_of(found[:a])
+            bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+            meet = (bits[0][at] == bits[1][at]).all(1)
+            one, two = near_copies.keys_of(wide, at)
+            assert meet.any() and ((one == two) == meet).all()
+
+
+def test_groups_connect_what_all_pairs_of_a_bucket_connect():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, (3, 2), np.uint64)
+        x = base[rng.integers(0, 3, 60)] ^ (rng.integers(0, 1 << 63, (60, 2), np.uint64) & rng.integers(0, 1 << 63, (60, 2), np.uint64) & rng.integers(0, 1 << 63, (60, 2), np.uint64))
+        key = np.sort(rng.integers(0, 3, 60) << 32 | rng.integers(10, 16, 60))
+        i, j = np.triu_indices(60, 1)
+        n = key & 0xFFFFFFFF
+        near = (key[i] >> 32 == key[j] >> 32) & (5 * n[i] >= 4 * n[j]) & (np.bitwise_count(x[i] ^ x[j]).sum(1) <= near_copies.WIDE_FAR)
+        got = near_copies.grouped(key, *np.ascontiguousarray(x.T))
+        assert (got == simhash._roots(60, i[near], j[near])).all() and 1 < len(set(got.tolist())) < 60
+
+
 def test_blocks_lose_no_link(spark, templates):
     rng = np.random.default_rng(5)
     rows, w = [], rng.choice([f"w{k}" for k in range(900)], 150).tolist()
