@@ -364,3 +364,14 @@ def test_stages_take_empty_tables_and_clashing_names(spark, templates, tmp_path)
         assert name == "encode" or out.columns == odd.columns
     odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_windows_score_alike_together_and_alone_where_gates_saturate():
+    from setwise.llm import toxicity
+
+    rng, net = np.random.default_rng(2), toxicity.Network()
+    for scale in (1, 300):
+        gates = {d: (rng.standard_normal((50, 3 * toxicity.HIDDEN)) * scale).astype(np.float32) for d in "fb"}
+        line = rng.integers(0, 50, 200)
+        at = np.lib.stride_tricks.sliding_window_view(line, toxicity.WINDOW)
+        assert np.allclose(net.every(gates, line), net.forward(gates, at)[0], atol=1e-4)
