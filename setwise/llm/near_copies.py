@@ -7,8 +7,9 @@ fingerprint here is WORDS of them side by side: the operator's own (the shingles
 mixed on. It is dealt by blocks of its bits, as op9's: two texts meet in a bucket where they agree on a block. Blocks are
 of `width` bits, more where there are more texts, and there are so many of them that a pair at the similarity itself
 agrees on none with a probability of e**-MISS, 2 in ten million (sets of 4 and 5 shingles, whose bits differ most, with
-2 to 7 in 100,000); closer pairs with less. In a bucket, texts are compared by size, by the table of their distances to
-pivot fingerprints, which are members of the bucket, and by the WIDE first bits, of which at most WIDE_FAR may differ.
+2 in 100,000, rising to 2 in 10,000 at 13 million texts); closer pairs with less. In a bucket, texts are compared by
+size, by the table of their distances to pivot fingerprints, which are members of the bucket, and by the WIDE first bits,
+of which at most WIDE_FAR may differ (more differ with 2 in ten million; of sets of 4 and 5 shingles, 5 in 100,000).
 What that connects is a group, and texts of a group are candidates: those whose first 64 bits differ by more than FAR are
 discarded (six standard errors at the similarity), again by pivots where many are compared, and every survivor is
 verified on the whole shingle sets.
