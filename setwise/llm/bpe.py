@@ -6,7 +6,8 @@ if no merge would have crossed the border between them, which a table of split h
 compatibility). The encoder takes the longest compatible token, and steps back where none is left; each place is given
 up at most once, so that time is linear in the piece. The result is that of applying the merges in rank order.
 
-Words repeat, so a worker remembers the ids of short ones, up to CACHE words.
+Words repeat, so a worker remembers the ids of short ones, up to CACHE words, and up to PAIRS borders between tokens.
+When half of that is full, the words of the half before go; those that come again first move to the new half.
 
 Defined results: null counts as the empty text, which has no tokens; the special tokens' strings in a text become
 their ids, as the tokenizers library does; repeated rows each get a row; an empty table gives an empty result; other
@@ -22,6 +23,7 @@ import os
 import re
 import struct
 import unicodedata
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -29,13 +31,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from setwise.llm.common import table
+from setwise.llm.common import table, tidy
 
 #: White space of the Unicode standard, as the vocabulary file's patterns mean it.
 BLANK = "\t-\r \x85\xa0  -     　"
 NOT_BLANK = re.compile("[\x1c-\x1f]")
-CACHE, CACHED_CHARS = 500_000, 48
-def _ranges(codes: list[int]) -> str:
+#: Words (of up to CACHED_CHARS characters) and pairs of tokens that a worker remembers: 0.15 kB each.
+CACHE, CACHED_CHARS, PAIRS = 250_000, 48, 200_000
+
+
+def _ranges(codes: Iterable[int]) -> str:
     """Code points as ranges of a character class."""
     out = []
     for c in codes:
@@ -51,10 +56,11 @@ def newer_characters() -> tuple[str, str]:
     """Character classes of the code points that this Python's Unicode doesn't assign, and of those among them that the regex module has for letters or numbers and the tokenizers library, of another Unicode, doesn't."""
     from tokenizers import Regex, pre_tokenizers
 
-    new = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    named = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, new)))
+    new = lambda: (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")  # noqa: E731; never all at once: they take 100 MB
+    letter = regex.compile(r"[\p{L}\p{N}]")
+    named = [chr(c) for c in new() if letter.match(chr(c))]
     known = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(named))
-    return _ranges(new), _ranges(sorted(set(map(ord, named)) - {ord(c) for piece, _ in known for c in piece}))
+    return _ranges(new()), _ranges(sorted(set(map(ord, named)) - {ord(c) for piece, _ in known for c in piece}))
 
 
 def byte_symbols() -> list[str]:
@@ -144,8 +150,9 @@ class Vocabulary:
             else:
                 before_b = self.born[b]
                 b = self.halves[b][0]
-        if len(self._fits) < 2_000_000:
-            self._fits[left, right] = out
+        if len(self._fits) >= PAIRS:
+            self._fits.clear()
+        self._fits[left, right] = out
         return out
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -197,6 +204,7 @@ class Codec:
         self.special = re.compile("(" + "|".join(sorted(map(re.escape, self.vocab.special), key=len, reverse=True)) + ")")
         self.blanks = re.compile(f"[{BLANK}]+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         """Composed and lower-case. Runs of white space stay: no piece holds white space."""
@@ -211,18 +219,22 @@ class Codec:
 
     def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= CACHED_CHARS:
-            if len(self.known) >= CACHE:
-                self.known.clear()
+            if len(self.known) >= CACHE // 2:
+                self.known, self.older = {}, self.known
             self.known[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
+        if (got := self.older.get(piece)) is not None:
+            return self._keep(piece, got)
         v = self.vocab
         return self._keep(piece, b"".join([v.packed[i] for i in v.encode_piece(v.piece_symbols(piece))]))
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
             return self._piece(word)
+        if (got := self.older.get(word)) is not None:
+            return self._keep(word, got)
         known, v = self.known, self.vocab
         pieces = (v.pattern if word.isprintable() or not v.newer.search(word) else v.strict).findall(word)
         out = b"".join([known[x] if x in known else self._piece(x) for x in pieces])
@@ -230,13 +242,14 @@ class Codec:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
+        out = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else [text]):
             if k % 2:
                 out.append(struct.pack("<I", self.vocab.special[part]))
                 continue
             part = self.normal(part)
             # str.split also splits at 0x1C to 0x1F, which the patterns hold for symbols.
+            known = self.known  # _keep may have begun another
             for word in self.blanks.split(part) if NOT_BLANK.search(part) else part.split():
                 got = known.get(word)
                 out.append(self._word(word) if got is None else got)
@@ -296,7 +309,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids binary, decoded string" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA + ", ids binary, decoded string" * keep_ids)
 
 
 def op7(spark, sf_dir) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hands what this process has freed back to the system: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def tidy(run):
+    """run, for mapInArrow, after which the worker gives memory back: workers are used again, so that one stage's would count beside the next one's."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
     """Join with a written table: by broadcast if a count (and the sum of width, the bytes of a row) shows that it is small, otherwise by a sort-merge join whose hot keys Spark splits (adaptive skew join)."""
     rows, size = right.limit(most + 1).agg(F.count("*"), F.sum(F.lit(0) if width is None else width)).first()

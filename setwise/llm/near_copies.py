@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setwise.llm.common import LOWER, UPPER, lookup, materialise
+from setwise.llm.common import LOWER, UPPER, lookup, materialise, tidy
 from setwise.llm.simhash import components, first_of, hexed, lowest, marked, pivot_fingerprints, popcount
 
 WIDTH, SIMILAR, SEED, FAR = 5, (4, 5), 42, 27
@@ -95,14 +95,12 @@ def _dealt(at: np.ndarray):
     """Rows (fp, n, wide): key (the bucket, and below bit 32 the size of the set), fp and the WIDE first bits for each block."""
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, len(batch), 2048):
-                part = batch.slice(a, 2048)
-                fp, n = (part.column(k).to_numpy() for k in (0, 1))
-                wide = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
-                key = keys_of(wide, at) << 32 | np.minimum(n, (1 << 31) - 1)[:, None]
-                each = [np.repeat(x, len(at)) for x in (fp, wide[:, 0].astype(np.int64), wide[:, 1].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *each)], names=["key", "fp", "one", "two"])
+        for part in _parts(batches, 2048):
+            fp, n = (part.column(k).to_numpy() for k in (0, 1))
+            wide = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
+            key = keys_of(wide, at) << 32 | np.minimum(n, (1 << 31) - 1)[:, None]
+            each = [np.repeat(x, len(at)) for x in (fp, wide[:, 0].astype(np.int64), wide[:, 1].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *each)], names=["key", "fp", "one", "two"])
 
     return run
 
@@ -171,8 +169,15 @@ def simhash_of(found: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
 
 
-def _prints(batches):
+def _parts(batches, rows: int = 1024):
+    """batches cut into ones of few rows, of which so much less is held as Python objects at once."""
     for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
+def _prints(batches):
+    for batch in _parts(batches):
         sets = [shingles(x.as_py()) for x in batch.column(2)]
         wide = [wide_simhash(x) for x in sets]
         fp, sim = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], [x[0] for x in wide]))
@@ -238,7 +243,7 @@ def _forests(batches):
         links = forest(root, sim.view(np.uint64), [np.frombuffer(r[3], "<u8") for r in held])
         return pa.RecordBatch.from_arrays([pa.array(fp[[x[k] for x in links]].tolist(), pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    for batch in batches:
+    for batch in _parts(batches):
         for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
             if row[:3] != key and held:
                 yield flush()
@@ -250,7 +255,7 @@ def _forests(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in _parts(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(x.as_py()).astype("<u8").tobytes() for x in batch.column(2)], pa.binary())], names=["fp", "sim", "set"])
 
 
@@ -268,7 +273,7 @@ def _close(n: str, sim: str, m: str, other: str):
 
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     """b, fp: the groups of nodes (fp, n, wide) to compare."""
-    dealt = nodes.select("fp", "n", "wide").mapInArrow(_dealt(blocks(nodes.count())), "key long, fp long, one long, two long")
+    dealt = nodes.select("fp", "n", "wide").mapInArrow(tidy(_dealt(blocks(nodes.count()))), "key long, fp long, one long, two long")
     bucket = F.shiftright("key", 32)
     hot = dealt.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count("*") / most).cast("int").alias("k")).where("k > 1")
     hot = materialise(hot, "hot")
@@ -281,12 +286,12 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
         again = again.withColumn("key", F.shiftleft(met, 32).bitwiseOR(F.col("key").bitwiseAND(0xFFFFFFFF)))
         dealt = cool.select("key", "fp", "one", "two").unionByName(again.select("key", "fp", "one", "two"))
     dealt = dealt.repartition(bucket).sortWithinPartitions("key")
-    return materialise(dealt.mapInArrow(_grouped, "b long, fp long").distinct(), "groups")
+    return materialise(dealt.mapInArrow(tidy(_grouped), "b long, fp long").distinct(), "groups")
 
 
 def near_copies(docs: DataFrame, most: int = MOST, part: int = PART) -> DataFrame:
     """doc_id, fingerprint (of the shingle set), component_id, and the mark and first row by which near_deduplicated picks, for each row of docs (doc_id, text)."""
-    prints = materialise(marked(docs).mapInArrow(_prints, "doc_id long, mark binary, fp long, sim long, n long, wide binary, text string"), "shingles")
+    prints = materialise(marked(docs).mapInArrow(tidy(_prints), "doc_id long, mark binary, fp long, sim long, n long, wide binary, text string"), "shingles")
     nodes = materialise(prints.groupBy("fp").agg(lowest().alias("low"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
     dealt = materialise(lookup(_candidates(nodes, most), nodes.select("fp", "n", "sim"), ["fp"], "inner"), "dealt")
     shared = dealt.groupBy("b").agg(F.min(F.struct("fp", "n", "sim")).alias("c"), F.count("*").alias("k")).where("k > 1")
@@ -297,19 +302,19 @@ def near_copies(docs: DataFrame, most: int = MOST, part: int = PART) -> DataFram
     texts = _texts(stars.select(F.col("u").alias("fp")).unionByName(stars.select(F.col("v").alias("fp"))), prints)
     pairs = stars.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
     pairs = pairs.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
-    edges = materialise(pairs.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long"), "similar")
+    edges = materialise(pairs.select("u", "v", "a", "b").mapInArrow(tidy(_verified), "u long, v long"), "similar")
     roots = materialise(components(edges), "star_roots").withColumnRenamed("node", "fp")
     rooted = materialise(lookup(members.select("b", "fp", "n"), roots, ["fp"]).select("b", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     several = rooted.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / part), F.lit(1)).cast("int").alias("k"))
     several = materialise(several.where("x <> y").select("b", "k"), "several")
     left = materialise(lookup(rooted, several, ["b"], "inner"), "open")
-    sets = materialise(_texts(left.select("fp"), prints).mapInArrow(_sets, "fp long, sim long, set binary"), "sets")
+    sets = materialise(_texts(left.select("fp"), prints).mapInArrow(tidy(_sets), "fp long, sim long, set binary"), "sets")
     block = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("k")).cast("int")
     met = left.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     met = met.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root")
     met = met.join(sets.hint("merge"), "fp").select("b", "lo", "hi", "fp", "root", "sim", "set")
     met = met.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
-    more = materialise(met.mapInArrow(_forests, "u long, v long").distinct(), "forests")
+    more = materialise(met.mapInArrow(tidy(_forests), "u long, v long").distinct(), "forests")
     roots = materialise(components(edges.unionByName(more)), "roots").withColumnRenamed("node", "fp")
     rooted = materialise(lookup(nodes.select("fp", "low"), roots, ["fp"]).withColumn("root", F.coalesce("root", "fp")), "rooted")
     whole = rooted.groupBy("root").agg(F.min("low").alias("first"))

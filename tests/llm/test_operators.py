@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setwise.llm import bpe, language, licenses, line_spread, mixing, near_copies, quality, simhash, toxicity, warc, webp
+from setwise.llm import bpe, common, language, licenses, line_spread, mixing, near_copies, quality, simhash, toxicity, warc, webp
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -416,3 +416,32 @@ def test_sql_of_the_registered_queries(spark):
         df = registry.queries()[name](spark, SF)
         cols = sorted(df.columns)
         assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()))
+
+
+def test_what_bpe_remembers_is_bounded():
+    codec = bpe.Codec(bpe.default_path())
+    want = codec.encode_bytes("hello world")
+    for a in range(0, 400_000, 50_000):
+        codec.encode_bytes(" ".join(f"q{i:06x}" for i in range(a, a + 50_000)))
+    assert len(codec.known) + len(getattr(codec, "older", ())) <= 250_000
+    assert len(codec.vocab._fits) <= 200_000
+    assert codec.encode_bytes("hello world") == want
+
+
+def test_workers_give_memory_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) // 1024
+
+    def run(batches):
+        kept = []
+        for batch in batches:
+            parts = [bytearray(1000) for _ in range(150_000)]
+            kept = parts[::1000]  # scattered, so that little goes back by itself
+            del parts
+            yield batch
+        run.kept = kept
+
+    before = held()
+    list(common.tidy(run)([None]))
+    assert held() - before < 50
