@@ -134,7 +134,7 @@ def grouped(key: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _grouped(batches):
-    """Rows (key, fp, one, two) come sorted by key: b, fp of the groups of several in each bucket; equal groups have one b."""
+    """Rows (key, fp, one, two) come sorted by key: b, fp, n of the groups of several in each bucket, each group's smallest fp (c), and whether sizes and fingerprints let c and fp be a pair; equal groups have one b."""
     held, rows = [], 0
 
     def flush(key, fp, one, two):
@@ -145,8 +145,13 @@ def _grouped(batches):
         x = fp[many].view(np.uint64) * _TIMES[0, 0]
         x = (x ^ x >> np.uint64(32)) * _TIMES[1, 0]
         b = np.add.reduceat(x ^ x >> np.uint64(29), new) if len(new) else x
-        b = np.repeat(b, np.diff(np.r_[new, len(many)]))
-        return pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(fp[many])], names=["b", "fp"])
+        size = np.diff(np.r_[new, len(many)])
+        low = many[np.lexsort((fp[many], root[many]))][new] if len(new) else new
+        c, b, n = np.repeat(low, size), np.repeat(b, size), key & 0xFFFFFFFF
+        fits = np.minimum(n[many], n[c]) * SIMILAR[1] >= np.maximum(n[many], n[c]) * SIMILAR[0]
+        star = fits & (popcount(one[many].view(np.uint64) ^ one[c].view(np.uint64)) <= FAR) & (fp[many] != fp[c])
+        columns = [b.view(np.int64), fp[many], n[many], fp[c], star]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["b", "fp", "n", "c", "star"])
 
     for batch in batches:
         held.append([c.to_numpy() for c in batch.columns])
@@ -265,14 +270,8 @@ def _texts(ids: DataFrame, prints: DataFrame) -> DataFrame:
     return materialise(rows.dropDuplicates(["fp"]), "texts")
 
 
-def _close(n: str, sim: str, m: str, other: str):
-    """What sizes and fingerprints say of a pair."""
-    fits = F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
-    return fits & (F.bit_count(F.col(sim).bitwiseXOR(F.col(other))) <= FAR)
-
-
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """b, fp: the groups of nodes (fp, n, wide) to compare."""
+    """b, fp, n, c, star (see _grouped): the groups of nodes (fp, n, wide) to compare."""
     dealt = nodes.select("fp", "n", "wide").mapInArrow(tidy(_dealt(blocks(nodes.count()))), "key long, fp long, one long, two long")
     bucket = F.shiftright("key", 32)
     hot = dealt.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count("*") / most).cast("int").alias("k")).where("k > 1")
@@ -286,28 +285,25 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
         again = again.withColumn("key", F.shiftleft(met, 32).bitwiseOR(F.col("key").bitwiseAND(0xFFFFFFFF)))
         dealt = cool.select("key", "fp", "one", "two").unionByName(again.select("key", "fp", "one", "two"))
     dealt = dealt.repartition(bucket).sortWithinPartitions("key")
-    return materialise(dealt.mapInArrow(tidy(_grouped), "b long, fp long").distinct(), "groups")
+    return materialise(dealt.mapInArrow(tidy(_grouped), "b long, fp long, n long, c long, star boolean").distinct(), "groups")
 
 
 def near_copies(docs: DataFrame, most: int = MOST, part: int = PART) -> DataFrame:
     """doc_id, fingerprint (of the shingle set), component_id, and the mark and first row by which near_deduplicated picks, for each row of docs (doc_id, text)."""
     prints = materialise(marked(docs).mapInArrow(tidy(_prints), "doc_id long, mark binary, fp long, sim long, n long, wide binary, text string"), "shingles")
     nodes = materialise(prints.groupBy("fp").agg(lowest().alias("low"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
-    dealt = materialise(lookup(_candidates(nodes, most), nodes.select("fp", "n", "sim"), ["fp"], "inner"), "dealt")
-    shared = dealt.groupBy("b").agg(F.min(F.struct("fp", "n", "sim")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    shared = materialise(shared.select("b", F.col("c.fp").alias("c"), F.col("c.n").alias("cn"), F.col("c.sim").alias("csim")), "shared")
-    members = materialise(lookup(dealt, shared, ["b"], "inner"), "members")
-    stars = members.where(F.col("c") != F.col("fp")).where(_close("n", "sim", "cn", "csim"))
-    stars = materialise(stars.select(F.col("c").alias("u"), F.col("fp").alias("v")).distinct(), "star_pairs")
+    members = _candidates(nodes, most)
+    stars = materialise(members.where("star").select(F.col("c").alias("u"), F.col("fp").alias("v")).distinct(), "star_pairs")
     texts = _texts(stars.select(F.col("u").alias("fp")).unionByName(stars.select(F.col("v").alias("fp"))), prints)
     pairs = stars.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
     pairs = pairs.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
     edges = materialise(pairs.select("u", "v", "a", "b").mapInArrow(tidy(_verified), "u long, v long"), "similar")
     roots = materialise(components(edges), "star_roots").withColumnRenamed("node", "fp")
     rooted = materialise(lookup(members.select("b", "fp", "n"), roots, ["fp"]).select("b", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    several = rooted.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / part), F.lit(1)).cast("int").alias("k"))
-    several = materialise(several.where("x <> y").select("b", "k"), "several")
-    left = materialise(lookup(rooted, several, ["b"], "inner"), "open")
+    pieces = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / part), F.lit(1)).cast("int")
+    # A group is part of a bucket of two blocks at most, so that its members fit into a row.
+    whole = rooted.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), pieces.alias("k"), F.collect_list(F.struct("fp", "root")).alias("own"))
+    left = materialise(whole.where("x <> y").select("b", "k", F.inline("own")), "open")
     sets = materialise(_texts(left.select("fp"), prints).mapInArrow(tidy(_sets), "fp long, sim long, set binary"), "sets")
     block = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("k")).cast("int")
     met = left.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

@@ -445,3 +445,18 @@ def test_workers_give_memory_back():
     before = held()
     list(common.tidy(run)([None]))
     assert held() - before < 50
+
+
+def test_open_groups_of_near_copies_come_without_a_join(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return common.materialise(df, name)
+
+    monkeypatch.setattr(near_copies, "materialise", seen)
+    own = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, own + " and more" * (i % 3)) for i in range(9)], "doc_id long, text string")
+    got = near_copies.near_copies(docs).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0]
+    assert "members" not in plans and "Join" not in plans["open"]
