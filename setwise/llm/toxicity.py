@@ -168,9 +168,8 @@ class Network:
                     for k in range(WINDOW) if d == "f" else reversed(range(WINDOW)):
                         np.add(found[: 2 * h], a[: 2 * h, k : k + n], out=zr)
                         np.exp(zr, out=zr)
-                        zr += 1
-                        np.divide(np.float32(1), zr, out=zr)
-                        np.multiply(zr[h:], state, out=step)
+                        zr += 1  # what the gates divide by
+                        np.divide(state, zr[h:], out=step)
                         np.matmul(rec_new, step, out=new)
                         new += a[2 * h :, k : k + n]
                         np.exp(new, out=new)
@@ -178,7 +177,7 @@ class Network:
                         np.divide(np.float32(2), new, out=new)
                         new -= 1
                         new -= state
-                        new *= zr[:h]
+                        new /= zr[:h]
                         state += new
                         np.matmul(joint, state, out=found)
                         if d == "f":
