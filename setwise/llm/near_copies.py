@@ -308,7 +308,7 @@ def near_copies(docs: DataFrame, most: int = MOST, part: int = PART) -> DataFram
     block = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("k")).cast("int")
     met = left.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     met = met.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root")
-    met = met.groupBy("fp").agg(F.collect_list(F.struct("b", "lo", "hi", "root")).alias("own"))  # a text is in a group for each block at most
+    met = met.groupBy("fp").agg(F.collect_list(F.struct("b", "lo", "hi", "root")).alias("own"))  # a text is in a few groups for each block at most
     met = met.join(sets.hint("merge"), "fp").select("fp", "sim", "set", F.inline("own")).select("b", "lo", "hi", "fp", "root", "sim", "set")
     met = met.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
     more = materialise(met.mapInArrow(tidy(_forests), "u long, v long").distinct(), "forests")
