@@ -16,7 +16,10 @@ verified on the whole shingle sets.
 
 First each group's members are compared with its smallest. Then, in groups that still hold several components, members
 are compared with those of other components by breadth-first search, inside a task, until nothing is left to link: a
-task hands on a spanning forest, never the pairs. A bucket or group of more than MOST members or a group of more than PART
+task hands on a spanning forest, never the pairs. Before texts or shingle sets are fetched for either, the whole
+fingerprints discard pairs that differ by more than ALL_FAR of their 1024 bits (eight standard errors above what sets of 4
+and 5 shingles differ by, unrelated texts being thirteen below 512). What such pairs of all groups connect is searched as
+one, so that a text's shingle set goes to one task, and to one for each block where that is large. A bucket or group of more than MOST members or a group of more than PART
 shingles is cut into blocks, and each two blocks meet in a task of their own, so that no link is lost and no task holds a
 hot one.
 
@@ -43,7 +46,7 @@ from setwise.llm.common import LOWER, UPPER, lookup, materialise, tidy
 from setwise.llm.simhash import components, first_of, hexed, lowest, marked, pivot_fingerprints, popcount
 
 WIDTH, SIMILAR, SEED, FAR = 5, (4, 5), 42, 27
-WORDS, WIDE, WIDE_FAR, MISS, DIFFERS = 16, 128, 42, 15.5, 0.1515
+WORDS, WIDE, WIDE_FAR, ALL_FAR, MISS, DIFFERS = 16, 128, 42, 300, 15.5, 0.1515
 #: Texts that a bucket holds on average, at most, and the fewest bits of a block; rows that a worker compares at once.
 BUCKET, LEAST, TOGETHER = 512, 10, 200_000
 MOST, PART = 2048, 1 << 22
@@ -91,13 +94,18 @@ def keys_of(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
     return got | np.arange(len(at)) << at.shape[1]
 
 
+def _wide(column: pa.Array) -> np.ndarray:
+    """The fingerprints of a column of wide: a row of WORDS longs each."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WORDS)
+
+
 def _dealt(at: np.ndarray):
     """Rows (fp, n, wide): key (the bucket, and below bit 32 the size of the set), fp and the WIDE first bits for each block."""
 
     def run(batches):
         for part in _parts(batches, 2048):
             fp, n = (part.column(k).to_numpy() for k in (0, 1))
-            wide = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
+            wide = _wide(part.column(2))
             key = keys_of(wide, at) << 32 | np.minimum(n, (1 << 31) - 1)[:, None]
             each = [np.repeat(x, len(at)) for x in (fp, wide[:, 0].astype(np.int64), wide[:, 1].astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *each)], names=["key", "fp", "one", "two"])
@@ -123,13 +131,19 @@ def grouped(key: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         for t in tables:
             i = i[np.abs(t[i] - t[i + k]) <= WIDE_FAR]
         i = i[popcount(one[i] ^ one[i + k]) + popcount(two[i] ^ two[i + k]) <= WIDE_FAR]
-        a, b = root[i], root[i + k]
-        while len(a):
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-            a, b = root[a], root[b]
-            a, b = a[a != b], b[a != b]
+        root = _united(root, i, i + k)
+    return root
+
+
+def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (the first row of each row's component) with rows i and j linked."""
+    a, b = root[i], root[j]
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
     return root
 
 
@@ -166,6 +180,45 @@ def _grouped(batches):
         yield flush(*(np.concatenate(x) for x in zip(*held)))
 
 
+def narrowed(group: np.ndarray, root: np.ndarray, n: np.ndarray, sim: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Of rows sorted by group and n, the first that pairs of different roots, near by size and whole fingerprint, connect each with inside its group."""
+    total, k = len(group), 0
+    first, live = np.arange(total), np.arange(total)
+    while len(live):
+        k += 1
+        live = live[live < total - k]
+        live = live[(group[live + k] == group[live]) & (n[live + k] * SIMILAR[0] <= n[live] * SIMILAR[1])]
+        i = live[(root[live] != root[live + k]) & (first[live] != first[live + k])]
+        i = i[popcount(sim[i] ^ sim[i + k]) <= FAR]
+        i = i[popcount(wide[i] ^ wide[i + k]).sum(1) <= ALL_FAR]
+        first = _united(first, i, i + k)
+    return first
+
+
+def _narrowed(batches):
+    """Rows (b, lo, hi, fp, root, sim, n, wide) come sorted by b, lo, hi, n: c, fp, n, root of those that whole fingerprints leave a partner of another root; c: the first that such pairs connect with fp."""
+    held, rows = [], 0
+
+    def flush(new, fp, root, sim, n, wide):
+        first = narrowed(np.cumsum(new), root, n, sim.view(np.uint64), wide)
+        many = np.flatnonzero(np.bincount(first, minlength=len(first))[first] > 1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[first[many]], fp[many], n[many], root[many])], names=["c", "fp", "n", "root"])
+
+    for batch in batches:
+        held.append([*(batch.column(k).to_numpy() for k in range(7)), _wide(batch.column(7))])
+        rows += len(batch)
+        if rows >= TOGETHER:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            new = np.logical_or.reduce([np.diff(x, prepend=x[0] - 1) != 0 for x in whole[:3]])
+            cut = int(np.flatnonzero(new)[-1])  # the last group may go on
+            if cut:
+                yield flush(new[:cut], *(x[:cut] for x in whole[3:]))
+            held, rows = [[x[cut:] for x in whole]], rows - cut
+    if rows:
+        whole = [np.concatenate(x) for x in zip(*held)]
+        yield flush(np.logical_or.reduce([np.diff(x, prepend=x[0] - 1) != 0 for x in whole[:3]]), *whole[3:])
+
+
 def simhash_of(found: np.ndarray) -> int:
     """The fingerprint of a set of shingles: bits that are set in over half of them."""
     counts = np.zeros(64, np.int64)
@@ -186,8 +239,8 @@ def _prints(batches):
         sets = [shingles(x.as_py()) for x in batch.column(2)]
         wide = [wide_simhash(x) for x in sets]
         fp, sim = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], [x[0] for x in wide]))
-        columns = [*batch.columns[:2], fp, sim, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in wide], pa.binary()), batch.column(2)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "sim", "n", "wide", "text"])
+        columns = [*batch.columns[:2], fp, sim, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in wide], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "sim", "n", "wide"])
 
 
 def alike(both, a, b):
@@ -199,6 +252,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
 
 
+def _near(batches):
+    """Rows (u, v, a, b): u, v of those whose whole fingerprints a and b let them be a pair."""
+    for batch in _parts(batches, 8192):
+        live = pa.array(popcount(_wide(batch.column(2)) ^ _wide(batch.column(3))).sum(1) <= ALL_FAR)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(live) for k in (0, 1)], names=["u", "v"])
+
+
 def _verified(batches):
     known = functools.lru_cache(64)(shingles)  # a bucket's smallest member comes many times
     for batch in batches:
@@ -264,10 +324,30 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(x.as_py()).astype("<u8").tobytes() for x in batch.column(2)], pa.binary())], names=["fp", "sim", "set"])
 
 
-def _texts(ids: DataFrame, prints: DataFrame) -> DataFrame:
-    """fp, sim, text of each of ids (fp). Grows with docs: never broadcast."""
-    rows = lookup(prints.select("fp", "sim", "text"), materialise(ids.distinct(), "candidates"), ["fp"], "left_semi")
-    return materialise(rows.dropDuplicates(["fp"]), "texts")
+def _texts(ids: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """fp, sim, text of each of ids (fp), the text as docs has it: no table holds it a second time. Grows with docs: never broadcast."""
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "mark"]
+    rows = lookup(prints.select("fp", "sim", "doc_id", "mark"), materialise(ids.distinct(), "candidates"), ["fp"], "left_semi")
+    rows = materialise(rows.dropDuplicates(["fp"]).select(*key, "fp", "sim"), "places")
+    texts = lookup(marked(docs).select(*key, "text"), rows, ["id", "none", "mark"], "inner")
+    return materialise(texts.select("fp", "sim", "text").dropDuplicates(["fp"]), "texts")
+
+
+def _pairs(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """u, v of pairs with a and b, the column of rows (fp, column) of either."""
+    pairs = pairs.join(rows.select(F.col("fp").alias("u"), F.col(column).alias("a")).hint("merge"), "u")
+    return pairs.join(rows.select(F.col("fp").alias("v"), F.col(column).alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
+
+
+def _met(left: DataFrame, rows: DataFrame, *order: str) -> DataFrame:
+    """b, lo, hi, fp, root and the columns of rows (fp, ...), dealt so that each two of the k blocks of a group of left (b, k, fp, root) meet in a task."""
+    block = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("k")).cast("int")
+    met = left.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root")
+    met = met.groupBy("fp").agg(F.collect_list(F.struct("b", "lo", "hi", "root")).alias("own"))  # a text is in a few groups for each block at most
+    others = [c for c in rows.columns if c != "fp"]
+    met = met.join(rows.hint("merge"), "fp").select("fp", *others, F.inline("own")).select("b", "lo", "hi", "fp", "root", *others)
+    return met.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi", *order)
 
 
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
@@ -290,27 +370,28 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, most: int = MOST, part: int = PART) -> DataFrame:
     """doc_id, fingerprint (of the shingle set), component_id, and the mark and first row by which near_deduplicated picks, for each row of docs (doc_id, text)."""
-    prints = materialise(marked(docs).mapInArrow(tidy(_prints), "doc_id long, mark binary, fp long, sim long, n long, wide binary, text string"), "shingles")
+    prints = materialise(marked(docs).mapInArrow(tidy(_prints), "doc_id long, mark binary, fp long, sim long, n long, wide binary"), "shingles")
     nodes = materialise(prints.groupBy("fp").agg(lowest().alias("low"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
     members = _candidates(nodes, most)
     stars = materialise(members.where("star").select(F.col("c").alias("u"), F.col("fp").alias("v")).distinct(), "star_pairs")
-    texts = _texts(stars.select(F.col("u").alias("fp")).unionByName(stars.select(F.col("v").alias("fp"))), prints)
-    pairs = stars.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
-    pairs = pairs.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
-    edges = materialise(pairs.select("u", "v", "a", "b").mapInArrow(tidy(_verified), "u long, v long"), "similar")
+    stars = materialise(_pairs(stars, nodes, "wide").mapInArrow(tidy(_near), "u long, v long"), "near_pairs")
+    texts = _texts(stars.select(F.col("u").alias("fp")).unionByName(stars.select(F.col("v").alias("fp"))), prints, docs)
+    edges = materialise(_pairs(stars, texts, "text").mapInArrow(tidy(_verified), "u long, v long"), "similar")
     roots = materialise(components(edges), "star_roots").withColumnRenamed("node", "fp")
     rooted = materialise(lookup(members.select("b", "fp", "n"), roots, ["fp"]).select("b", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     pieces = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / part), F.lit(1)).cast("int")
     # A group is part of a bucket of two blocks at most, so that its members fit into a row.
     whole = rooted.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), pieces.alias("k"), F.collect_list(F.struct("fp", "root")).alias("own"))
     left = materialise(whole.where("x <> y").select("b", "k", F.inline("own")), "open")
-    sets = materialise(_texts(left.select("fp"), prints).mapInArrow(tidy(_sets), "fp long, sim long, set binary"), "sets")
-    block = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("k")).cast("int")
-    met = left.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    met = met.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "root")
-    met = met.groupBy("fp").agg(F.collect_list(F.struct("b", "lo", "hi", "root")).alias("own"))  # a text is in a few groups for each block at most
-    met = met.join(sets.hint("merge"), "fp").select("fp", "sim", "set", F.inline("own")).select("b", "lo", "hi", "fp", "root", "sim", "set")
-    met = met.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
+    met = _met(left, nodes.select("fp", "sim", "n", "wide"), "n")
+    narrow = materialise(met.mapInArrow(tidy(_narrowed), "c long, fp long, n long, root long").distinct(), "narrowed")
+    joined = materialise(components(narrow.select(F.col("c").alias("u"), F.col("fp").alias("v"))), "joined").toDF("fp", "b")
+    left = lookup(narrow.select("fp", "n", "root").distinct(), joined, ["fp"]).withColumn("b", F.coalesce("b", "fp"))
+    left = materialise(left, "partners")
+    large = materialise(left.groupBy("b").agg(pieces.alias("k")).where("k > 1"), "large")
+    left = lookup(left, large, ["b"]).withColumn("k", F.coalesce("k", F.lit(1)))
+    sets = materialise(_texts(left.select("fp"), prints, docs).mapInArrow(tidy(_sets), "fp long, sim long, set binary"), "sets")
+    met = _met(left, sets)
     more = materialise(met.mapInArrow(tidy(_forests), "u long, v long").distinct(), "forests")
     roots = materialise(components(edges.unionByName(more)), "roots").withColumnRenamed("node", "fp")
     rooted = materialise(lookup(nodes.select("fp", "low"), roots, ["fp"]).withColumn("root", F.coalesce("root", "fp")), "rooted")

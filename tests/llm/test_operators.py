@@ -460,3 +460,47 @@ def test_open_groups_of_near_copies_come_without_a_join(spark, monkeypatch):
     got = near_copies.near_copies(docs).select("component_id").distinct().collect()
     assert [r[0] for r in got] == [0]
     assert "members" not in plans and "Join" not in plans["open"]
+
+
+def test_near_copies_fetch_few_sets_and_hold_no_text_twice(spark, monkeypatch):
+    written = {}
+
+    def seen(df, name):
+        written[name] = common.materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(near_copies, "materialise", seen)
+    rng = np.random.default_rng(4)
+    rows = [(i, [f"{i}w{k}" for k in range(80)]) for i in range(0, 120, 4)]
+    for i, words in rows[:]:  # copies with changes of 4, 8 and 20 words, of which the last is no near copy
+        rows += [(i + k, [f"x{rng.integers(1 << 30)}" if j % 80 in range(10, 10 + n) else w for j, w in enumerate(words)]) for k, n in ((1, 4), (2, 5), (3, 20))]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in rows] + [(0, " ".join(rows[0][1])), (None, " ".join(rows[0][1]))], "doc_id long, text string")
+    got = {r[0]: r[1] for r in near_copies.near_copies(docs, most=40).select("doc_id", "component_id").collect()}
+    sets = {i: near_copies.shingles(" ".join(words)) for i, words in rows}
+    root = simhash._roots(120, *np.array([(i, j) for i in sets for j in sets if i < j and near_copies.similar(sets[i], sets[j])]).T)
+    assert got == {i: root[i] for i in sets} | {None: 0} and len(set(got.values())) > 30
+    assert "text" not in written["shingles"].columns
+    sent = written["partners"].select("fp", "b")
+    assert sent.count() == sent.select("fp").distinct().count()  # a set goes to one group, however many buckets it is in
+
+
+def test_narrowed_groups_keep_every_pair():
+    rng = np.random.default_rng(5)
+    sets, group, root = [], [], []
+    for g in range(60):
+        of = rng.integers(0, 1 << 63, 400, np.uint64)
+        a = int(rng.choice([4, 5, 9, 30, 200]))
+        n = len(sets)
+        sets += [np.sort(of[:a]), np.sort(of[: a + a // 4]), np.sort(of[a // 9 : a + a // 9])]
+        sets += [np.sort(rng.integers(0, 1 << 63, a, np.uint64)) for _ in range(4)]
+        group += [g] * 7
+        root += [n, n + 1, n + 2, n + 3, n + 3, n + 5, n + 6]
+    n = np.array([len(x) for x in sets])
+    order = np.lexsort((n, group))
+    sets, group, root, n = [sets[i] for i in order], np.array(group)[order], np.array(root)[order], n[order]
+    wide = np.stack([near_copies.wide_simhash(x) for x in sets])
+    first = near_copies.narrowed(group, root, n, np.ascontiguousarray(wide[:, 0]), wide)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if group[i] == group[j] and root[i] != root[j] and near_copies.similar(sets[i], sets[j])]
+    assert len(pairs) > 60 and all(first[i] == first[j] for i, j in pairs)
+    alone = [i for i in range(len(sets)) if not any(i in p for p in pairs)]
+    assert (np.bincount(first)[first[alone]] == 1).mean() > 0.9
