@@ -33,7 +33,8 @@ WINDOW = 32
 BUCKETS, DIM, HIDDEN, ROUNDS, BATCH, RATE, SEED = 1 << 13, 10, 10, 7, 128, 0.01, 3
 STEPS, GRAMS, NEIGHBOURS = 50, (3, 4, 5), 4
 LEAST, SWAPPED, STANDS_OUT = 3, 0.5, 36.0
-KEPT_WORDS, WINDOWS = 120_000, 4096
+#: Windows that run in step: no power of two, as rows a multiple of a page apart share few places of the cache.
+KEPT_WORDS, WINDOWS = 120_000, 3000
 #: A text of fewer words has its windows copied out; in longer ones neighbouring windows share their words in place.
 FEW = 2 * WINDOW
 #: Odd factors of the hash of n-grams; words that a worker numbers at once.
@@ -157,29 +158,30 @@ class Network:
             ids = line[first : first + WINDOWS + WINDOW - 1]
             n = len(ids) - WINDOW + 1
             heads_of = np.empty((WINDOW, 2, n), np.float32)
-            zr, new, step, found = (np.empty((m, n), np.float32) for m in (2 * h, h, h, 2 * h + 2))
+            new, step, found = (np.empty((m, n), np.float32) for m in (h, h, 2 * h + 2))
+            zr, z, r, heads = found[: 2 * h], found[:h], found[h : 2 * h], found[2 * h :]
             for d, joint, rec_new in parts:
                 a = np.ascontiguousarray(gates[d][ids].T)
                 a[: 2 * h] *= np.float32(0.5)
                 state = np.zeros((h, n), np.float32)
                 found[:] = 0  # of the states: what the gates add of them, and their heads
                 for k in range(WINDOW) if d == "f" else reversed(range(WINDOW)):
-                    np.add(found[: 2 * h], a[: 2 * h, k : k + n], out=zr)
+                    zr += a[: 2 * h, k : k + n]
                     np.tanh(zr, out=zr)
-                    zr += 1  # twice the gates
-                    np.multiply(state, zr[h:], out=step)
+                    zr += np.float32(1)  # twice the gates
+                    np.multiply(state, r, out=step)
                     np.matmul(rec_new, step, out=new)
                     new += a[2 * h :, k : k + n]
                     np.tanh(new, out=new)
                     new -= state
-                    new *= zr[:h]
+                    new *= z
                     new *= np.float32(0.5)
                     state += new
                     np.matmul(joint, state, out=found)
                     if d == "f":
-                        heads_of[k] = found[2 * h :]
+                        heads_of[k] = heads
                     else:
-                        heads_of[k] += found[2 * h :]
+                        heads_of[k] += heads
             e, o = heads_of[:, 0], heads_of[:, 1]
             if not ids.all():
                 e[np.lib.stride_tricks.sliding_window_view(ids, WINDOW).T == 0] = -30
@@ -295,6 +297,19 @@ class Network:
         return self
 
 
+class _Numbers(dict):
+    """Numbers of words from `used` on; a word that has none gets the next one and is noted in `new`."""
+
+    def __init__(self, used: int):
+        self.used, self.new = used, []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = got = self.used
+        self.used += 1
+        return got
+
+
 class Scorer:
     """Scores whole texts in batches; keeps the gates of words seen, up to KEPT_WORDS."""
 
@@ -303,23 +318,22 @@ class Scorer:
         self._clear()
 
     def _clear(self):
-        self.number, self.used = {}, 1
+        self.number = _Numbers(1)
         self.gates = {d: np.zeros((1024, 3 * HIDDEN), np.float32) for d in "fb"}
         x = self.net.inputs([(0, [0])])
         for d in "fb":
             self.gates[d][0] = self.net.gates(x, d)[0]
 
     def _numbers(self, found: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(found) if w not in self.number]
+        ids = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        new, self.number.new = self.number.new, []
         if new:
-            x = self.net.mixed(*hashed(new))
-            while self.used + len(new) > len(self.gates["f"]):
+            x, first = self.net.mixed(*hashed(new)), self.number.used - len(new)
+            while self.number.used > len(self.gates["f"]):
                 self.gates = {d: np.concatenate([v, np.zeros_like(v)]) for d, v in self.gates.items()}
             for d in "fb":
-                self.gates[d][self.used : self.used + len(new)] = self.net.gates(x, d)
-            self.number.update(zip(new, range(self.used, self.used + len(new))))
-            self.used += len(new)
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+                self.gates[d][first : self.number.used] = self.net.gates(x, d)
+        return ids
 
     def scores(self, texts) -> np.ndarray:
         out = np.full(len(texts), -np.inf)
@@ -345,7 +359,7 @@ class Scorer:
                     for i in range(0, len(at), WINDOWS):
                         np.maximum.at(out, owner[i : i + WINDOWS], self.net.forward(self.gates, at[i : i + WINDOWS])[0])
             waiting, held = [], 0
-            if self.used > KEPT_WORDS:
+            if self.number.used > KEPT_WORDS:
                 self._clear()
 
         for i, text in enumerate(texts if self.net.ready else []):

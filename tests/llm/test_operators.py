@@ -119,6 +119,19 @@ def test_toxicity_held_out_and_windows(spark, edges):
     assert covered == set(range(1001))
 
 
+def test_toxicity_numbers_words_once_and_anew_when_cleared(monkeypatch):
+    net = toxicity.Network(seed=5)
+    net.ready = True
+    scorer, texts = toxicity.Scorer(net), [f"a{k % 7} b{k} a{k % 3}" for k in range(50)]
+    assert scorer._numbers(["x", "y", "x"]).tolist() == [1, 2, 1] and scorer._numbers(["y", "z", "z"]).tolist() == [2, 3, 3]
+    x = net.mixed(*toxicity.hashed(["x", "y", "z"]))
+    assert all(np.allclose(scorer.gates[d][1:4], net.gates(x, d), atol=1e-6) for d in "fb") and not scorer.number.new
+    want = scorer.scores(texts)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 5)
+    again = toxicity.Scorer(net)
+    assert all(np.allclose(again.scores(texts[i : i + 10]), want[i : i + 10], atol=1e-6) for i in range(0, 50, 10))
+
+
 def test_toxicity_scores_every_window():
     net = toxicity.Network(seed=5)
     net.ready = True
