@@ -31,7 +31,7 @@ ACROSS, BLOCK_BITS, CACHES = WIDE // 3, 4, (0, 8)
 #: Predictors that the writer tries; factors of the hash of three pixels.
 MODES, MIX = (1, 2, 4, 7, 10, 11, 12, 13), (0x9E3779B1, 0x85EBCA77)
 #: Images that are decoded in step, and that are written together.
-AT_ONCE, WRITTEN = 2048, 128
+AT_ONCE, WRITTEN = 4096, 128
 #: A transform is tried in full if its estimate is at most so many times the best one.
 NEARLY = 1.05
 #: Fixed values of the format: order in which lengths of code lengths stand, and offsets (x, y) of the short distances.
@@ -73,30 +73,42 @@ def _reverse(code: int, n: int) -> int:
     return int(f"{code:0{n}b}"[::-1], 2) if n else 0
 
 
-def canonical(lengths) -> np.ndarray:
-    """The code of each symbol, bits in the order in which they are written."""
-    lengths = np.asarray(lengths)
-    order = np.flatnonzero(lengths)
-    order = order[np.argsort(lengths[order], kind="stable")]
-    n, codes = lengths[order], np.zeros(len(lengths), np.int64)
-    if len(order):
-        bits = int(n[-1])
-        codes[order] = _mirror(bits)[np.cumsum(np.r_[0, 1 << (bits - n[:-1])])]
+def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, symbol and length of all lengths above 0, each row's by length and then by symbol."""
+    row, symbol = np.nonzero(lengths)
+    key = np.sort(row << 16 | lengths[row, symbol] << 12 | symbol)
+    return key >> 16, key & 0xFFF, key >> 12 & 15
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol of each row (a code's lengths), bits in the order in which they are written."""
+    row, symbol, n = _by_length(lengths)
+    codes, size = np.zeros(lengths.shape, np.int64), 1 << (15 - n)
+    before = np.cumsum(size) - size
+    codes[row, symbol] = _mirror(15)[before - before[np.searchsorted(row, row)]]
     return codes
 
 
-def _lookup(lengths: np.ndarray) -> tuple[np.ndarray, int]:
-    """symbol << 4 | length for every next `bits` bits, and bits. A lone symbol takes no bits."""
-    used = np.flatnonzero(lengths)
-    if len(used) == 1:
-        return used << 4, 0
-    bits = int(lengths.max(initial=0))
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    if len(used) == 0 or (1 << (bits - n)).sum() != 1 << bits:
+def _tables(lengths: np.ndarray, bits: int) -> np.ndarray:
+    """For each row (a code's lengths, none above bits) symbol << 4 | length for every next `bits` bits. A lone symbol takes no bits."""
+    row, symbol, n = _by_length(lengths)
+    lone = np.bincount(row, minlength=len(lengths))[row] == 1
+    n = np.where(lone, 0, n)
+    size = 1 << (bits - n)
+    if (np.bincount(row, size, len(lengths)) != 1 << bits).any():
         raise ValueError("prefix code is not complete")
-    table_ = np.repeat(order << 4 | n, 1 << (bits - n))
-    return table_[_mirror(bits)], bits
+    return np.repeat((symbol << 4 | n).astype(np.uint16), size).reshape(len(lengths), -1)[:, _mirror(bits)]
+
+
+def _lookups(lengths: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """A table as of _tables for each row, and the bits that it is for: its longest code's."""
+    bits = np.where(np.count_nonzero(lengths, 1) == 1, 0, lengths.max(1))
+    out: list = [None] * len(bits)
+    for n in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == n)
+        for k, t in zip(rows.tolist(), _tables(lengths[rows], n)):
+            out[k] = t, n
+    return out
 
 
 _MIRRORS: dict[int, np.ndarray] = {}
@@ -109,72 +121,111 @@ def _mirror(bits: int) -> np.ndarray:
     return _MIRRORS[bits]
 
 
-class Code:
-    def __init__(self, lengths):
-        self.lengths = np.asarray(lengths)
-        self.table, self.bits = _lookup(self.lengths)
+#: Of the symbols of code lengths: the fewest that one stands for, and the bits that say how many more.
+FEWEST, MORE = np.array([1] * 16 + [3, 3, 11]), np.array([0] * 16 + [2, 3, 7])
+
 
-    def read(self, b: Bits) -> int:
-        got = int(self.table[b.peek(self.bits)])
-        b.pos += got & 15
-        return got >> 4
+def _words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 32 bits from each byte on of all data behind each other, and the bit at which each begins and ends; the slack is more than the codes or 32 pixels of broken data run past the end."""
+    start, parts, at = {}, [], 0
+    for x in data:
+        if id(x) not in start:
+            start[id(x)] = at
+            parts.append(x)
+            at += len(x) + 8
+    flat = np.frombuffer(b"".join(x + b"\0" * 8 for x in parts) + b"\0" * 8192, np.uint8).astype(np.uint32)
+    begin = np.array([8 * start[id(x)] for x in data])
+    return flat[:-3] | flat[1:-2] << 8 | flat[2:-1] << 16 | flat[3:] << 24, begin, begin + 8 * np.array([len(x) for x in data])
 
 
-def read_lengths(b: Bits, alphabet: int) -> np.ndarray:
-    out = np.zeros(alphabet, np.int64)
-    if b.read(1):
-        two, wide = b.read(1), b.read(1)
-        out[b.read(8 if wide else 1)] = 1
-        if two:
-            out[b.read(8)] = 1
+def _read_lengths(word: np.ndarray, pos: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Lengths of a code at each place pos, of as many symbols as alphabet says (a row each), in step with each other; pos moves behind them."""
+
+    def take(i, n):
+        p = pos[i]
+        pos[i] = p + n
+        return word[p >> 3] >> (p & 7) & ((1 << n) - 1)
+
+    out = np.zeros((len(pos), int(alphabet.max())), np.int64)
+    simple = take(np.arange(len(pos)), 1) == 1
+    i = np.flatnonzero(simple)
+    if len(i):
+        two, wide = take(i, 1), take(i, 1)
+        for lanes, n in ((i, np.where(wide, 8, 1)), (i[two == 1], 8)):
+            symbol = take(lanes, n)
+            if (symbol >= alphabet[lanes]).any():
+                raise ValueError("symbol beyond its alphabet")
+            out[lanes, symbol] = 1
+    i = np.flatnonzero(~simple)
+    if not len(i):
         return out
-    own = np.zeros(19, np.int64)
-    for k in LENGTH_ORDER[: 4 + b.read(4)]:
-        own[k] = b.read(3)
-    table_, bits = _lookup(own)
-    table_, mask = table_.tolist(), (1 << bits) - 1
-    left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else alphabet
-    found, last, data, pos = [], 8, b.data, b.pos
-    while len(found) < alphabet and left:
-        left -= 1
-        word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 4], "little") >> (pos & 7)
-        got = table_[word & mask]
-        s, n = got >> 4, got & 15
-        if s < 16:
-            found.append(s)
-            last = s or last
-        elif s == 16:
-            found += [last] * (3 + (word >> n & 3))
-            n += 2
-        elif s == 17:
-            found += [0] * (3 + (word >> n & 7))
-            n += 3
-        else:
-            found += [0] * (11 + (word >> n & 127))
-            n += 7
-        pos += n
-    if len(found) > alphabet:
-        raise ValueError("too many code lengths")
-    if pos > 8 * len(data):
-        raise ValueError("image data ends too early")
-    b.pos = pos
-    out[: len(found)] = found
+    many = 4 + take(i, 4)
+    p = pos[i, None] + 3 * np.arange(19)
+    own = np.zeros((len(i), 19), np.int64)
+    own[:, LENGTH_ORDER] = np.where(np.arange(19) < many[:, None], word[p >> 3] >> (p & 7) & 7, 0)
+    pos[i] += 3 * many
+    table_, limit = _tables(own, 7).ravel(), alphabet[i]
+    left = limit.copy()
+    bounded = np.flatnonzero(take(i, 1))
+    if len(bounded):
+        left[bounded] = 2 + take(i[bounded], 2 + 2 * take(i[bounded], 3))
+    lane, p, at, last = np.arange(len(i)), pos[i], np.zeros(len(i), np.int64), np.full(len(i), 8)
+    values, times, sums = [], [], np.zeros(len(i), np.int64)
+    while len(lane):
+        bits = word[p >> 3] >> (p & 7)
+        got = table_[lane << 7 | bits & 127]
+        s, n = (got >> 4).astype(np.int64), got & 15
+        more = MORE[s]
+        often = FEWEST[s] + (bits >> n & ((1 << more) - 1))
+        p = p + n + more
+        value = np.where(s < 16, s, np.where(s == 16, last, 0))
+        last = np.where(value > 0, value, last)
+        at, left = at + often, left - 1
+        for x, y in ((values, value), (times, often)):
+            x.append(np.zeros(len(i), np.int16))
+            x[-1][lane] = y
+        live = (at < limit) & (left > 0)
+        if not live.all():
+            if (at > limit).any():
+                raise ValueError("too many code lengths")
+            pos[i[lane[~live]]], sums[lane[~live]] = p[~live], at[~live]
+            lane, p, at, left, last, limit = (x[live] for x in (lane, p, at, left, last, limit))
+    full = np.zeros((len(i), out.shape[1]), np.int64)
+    full[np.arange(out.shape[1]) < sums[:, None]] = np.repeat(np.stack(values, 1).ravel(), np.stack(times, 1).ravel())
+    out[i] = full
     return out
 
 
+def _read_codes(asked: list) -> list:
+    """The codes (as of _lookups) at a bit of each data, of alphabets asked for, and where they end: a code of each at a time."""
+    word, begin, end = _words([x[0] for x in asked])
+    pos, count = begin + [x[1] for x in asked], np.array([len(x[2]) for x in asked])
+    out: list = [[] for _ in asked]
+    for k in range(int(count.max())):
+        i = np.flatnonzero(count > k)
+        p = pos[i]
+        lengths = _read_lengths(word, p, np.array([asked[j][2][k] for j in i]))
+        pos[i] = p
+        if (pos > end).any():
+            raise ValueError("image data ends too early")
+        for j, code in zip(i.tolist(), _lookups(lengths)):
+            out[j].append(code)
+    return list(zip(out, (pos - begin).tolist()))
+
+
 # Reading
 
 
 def _asked(b: Bits, wide: int, high: int, top: bool):
-    """Asks for the pixels of an entropy-coded image at b, once its codes are read. top: it may have groups of codes."""
+    """Asks for the codes and then the pixels of an entropy-coded image at b. top: it may have groups of codes."""
     bits = b.read(4) if b.read(1) else 0
     which, shift = None, 0
     if top and b.read(1):
         shift = b.read(3) + 2
         which = (yield from _asked(b, -(-wide >> shift), -(-high >> shift), False)).astype(np.int64) >> 8 & 0xFFFF
     n = 1 if which is None else int(which.max()) + 1
-    groups = [[Code(read_lengths(b, a)) for a in (280 + (1 << bits if bits else 0), 256, 256, 256, 40)] for _ in range(n)]
-    argb, b.pos = yield b.data, b.pos, wide, high, which, shift, groups, bits
+    codes, b.pos = yield _read_codes, b.data, b.pos, [280 + (1 << bits if bits else 0), 256, 256, 256, 40] * n
+    argb, b.pos = yield _in_step, b.data, b.pos, wide, high, which, shift, codes, bits
     return argb
 
 
@@ -205,103 +256,109 @@ def _parsed(file: bytes):
 
 
 def _in_step(asked: list) -> list:
-    """The pixels (as ARGB numbers) and the end of each image asked for: a pixel of each at a time."""
-    n, slack = len(asked), 1024
-    data, base, start = {}, {}, 0
-    for x in asked:
-        if id(x[0]) not in base:
-            data[start], base[id(x[0])] = x[0], start
-            start += len(x[0]) + 8
-    flat = np.frombuffer(b"".join(x + b"\0" * 8 for x in data.values()) + b"\0" * slack, np.uint8).astype(np.uint32)
-    word = flat[:-3] | flat[1:-2] << 8 | flat[2:-1] << 16 | flat[3:] << 24
-    codes = [c for x in asked for g in x[6] for c in g]
-    table_ = np.concatenate([c.table for c in codes]).astype(np.int32)
-    ends_of = np.cumsum([len(c.table) for c in codes])
-    all_off = (ends_of - [len(c.table) for c in codes]).reshape(-1, 5)
-    all_mask = np.array([(1 << c.bits) - 1 for c in codes], np.uint32).reshape(-1, 5)
-    used = [bool(all_mask[:, k].any()) for k in range(5)]
-    lone = table_[all_off] >> 4  # the symbols of codes that take no bits
-    groups = np.array([len(x[6]) for x in asked])
+    """The pixels (as ARGB numbers) and the end of each image asked for: a pixel of each at a time. The largest come first, so that those not yet at their end are the first ones."""
+    sizes = np.array([x[2] * x[3] for x in asked])
+    ranks = np.argsort(-sizes, kind="stable")
+    asked = [asked[k] for k in ranks]
+    word, begin, end = _words([x[0] for x in asked])
+    codes = [c for x in asked for c in x[6]]
+    table_ = np.concatenate([t for t, _ in codes])
+    ends_of = np.cumsum([len(t) for t, _ in codes])
+    all_off = np.ascontiguousarray((ends_of - [len(t) for t, _ in codes]).reshape(-1, 5).T)
+    all_mask = np.ascontiguousarray(np.array([(1 << n) - 1 for _, n in codes]).reshape(-1, 5).T)
+    groups = np.array([len(x[6]) // 5 for x in asked])
     first_group = np.cumsum(groups) - groups
-    wide_, total = np.array([x[2] for x in asked]), np.array([x[2] * x[3] for x in asked])
-    at = np.cumsum(total) - total
-    home, goal, pixels = at.copy(), at + total, np.zeros(int(total.sum()), np.uint32)
+    off, mask = all_off[:, first_group], all_mask[:, first_group]
+    used = [bool(m.any()) for m in all_mask]
+    wide_, total = np.array([x[2] for x in asked]), sizes[ranks]
+    home = np.cumsum(total) - total
+    pixels, at = np.zeros(int(total.sum()), np.uint32), home.copy()
     maps = [x[4] if x[4] is not None else np.zeros(0, np.int64) for x in asked]
     which, map_at, shift = np.concatenate(maps), np.cumsum([0, *map(len, maps)])[:-1], np.array([x[5] for x in asked])
-    across, many = -(-wide_ >> shift), np.array([len(m) > 0 for m in maps])
+    across, many = -(-wide_ >> shift), np.flatnonzero([len(m) > 0 for m in maps])
     bits = np.array([x[7] for x in asked])
     places = np.where(bits > 0, 1 << bits, 0)
     cache, cache_at = np.zeros(int(places.sum()), np.uint32), np.cumsum(places) - places
-    pos = np.array([8 * base[id(x[0])] + x[1] for x in asked])
-    last = np.array([8 * (base[id(x[0])] + len(x[0])) for x in asked])
-    lane, row, left, back, finish, step = np.arange(n), first_group.copy(), np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), 0
-
-    def read(i, k):
-        """The next symbol of the k-th code of lanes i."""
-        p, r = pos[i], row[i]
-        got = table_[all_off[r, k] + (word[p >> 3] >> (p & 7).astype(np.uint32) & all_mask[r, k])]
-        pos[i] = p + (got & 15)
-        return got >> 4
-
-    def extended(i, s):
-        """Lengths or distances of lanes i from their prefix symbols and extra bits."""
-        extra = np.maximum(s - 2, 0) >> 1
-        p = pos[i]
-        more = (word[p >> 3] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
-        pos[i] = p + extra
-        return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + more + 1)
+    with_cache = np.flatnonzero(bits > 0)
+    from_cache, down = cache_at[with_cache], (32 - bits[with_cache]).astype(np.uint32)
+    pos, left, back = begin + [x[1] for x in asked], np.zeros(len(asked), np.int64), np.ones(len(asked), np.int64)
 
-    with_cache, several = np.flatnonzero(bits > 0), bool(many.any())
-    while len(lane):
-        if several:
-            i = np.flatnonzero(many)
-            y, x = np.divmod(at[i] - home[i], wide_[i])
-            row[i] = first_group[i] + which[map_at[i] + (y >> shift[i]) * across[i] + (x >> shift[i])]
-        value = np.zeros(len(lane), np.uint32)
-        i = np.flatnonzero(left == 0)
+    def symbols(i, k, p):
+        """Symbols of the k-th code of lanes i at p, and their lengths."""
+        got = table_[off[k][i] + (word[p >> 3] >> (p & 7) & mask[k][i])]
+        return (got >> 4).astype(np.int64), got & 15
+
+    def extended(s, p):
+        """Lengths or distances from their prefix symbols and the extra bits at p, and the number of these."""
+        extra = np.maximum(s - 2, 0) >> 1
+        more = word[p >> 3] >> (p & 7) & ((1 << extra) - 1)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + more + 1), extra
+
+    lanes = np.searchsorted(-total, -np.arange(int(total.max())))  # those with a pixel at this step
+    for step, n in enumerate(lanes.tolist()):
+        if len(many):
+            many = many[: np.searchsorted(many, n)]
+            y, x = np.divmod(step, wide_[many])
+            group = first_group[many] + which[map_at[many] + (y >> shift[many]) * across[many] + (x >> shift[many])]
+            off[:, many], mask[:, many] = all_off[:, group], all_mask[:, group]
+        value, busy = np.zeros(n, np.uint32), left[:n]
+        i = np.flatnonzero(busy == 0)
         if len(i):
-            s = read(i, 0)
-            plain = i[s < 256] if s.max() >= 256 else i
-            argb = (s[s < 256] if len(plain) < len(i) else s).astype(np.uint32) << 8
-            for k, places_ in ((1, 16), (2, 0), (3, 24)):
-                argb |= (read(plain, k) if used[k] else lone[row[plain], k]).astype(np.uint32) << places_
+            p = pos[i]
+            s, size = symbols(i, 0, p)
+            p += size
+            literal = s < 256
+            all_plain = literal.all()
+            plain, q, argb = (i, p, s << 8) if all_plain else (i[literal], p[literal], s[literal] << 8)
+            for k, up in ((1, 16), (2, 0), (3, 24)):
+                if used[k]:
+                    got, size = symbols(plain, k, q)
+                    q += size
+                else:
+                    got = (table_[off[k][plain]] >> 4).astype(np.int64)  # codes that take no bits
+                argb |= got << up
             value[plain] = argb
-            if len(plain) < len(i):
+            if all_plain:
+                pos[i] = q
+            else:
+                p[literal] = q
                 hit = s >= 280
-                if hit.any():
-                    j = i[hit]
-                    value[j] = cache[cache_at[j] + s[hit] - 280]
+                j = i[hit]
+                value[j] = cache[cache_at[j] + s[hit] - 280]
                 copy = (s >= 256) & ~hit
                 if copy.any():
-                    j = i[copy]
-                    left[j] = extended(j, s[copy] - 256)
-                    code = extended(j, read(j, 4))
+                    j, q = i[copy], p[copy]
+                    long, size = extended(s[copy] - 256, q)
+                    q += size
+                    code, size = symbols(j, 4, q)
+                    q += size
+                    code, size = extended(code, q)
+                    p[copy] = q + size
                     near_ = np.minimum(code, 120) - 1
-                    back[j] = np.where(code > 120, code - 120, np.maximum(1, _DX[near_] + _DY[near_] * wide_[j]))
-                    if (back[j] > at[j] - home[j]).any() or (at[j] + left[j] > goal[j]).any():
+                    left[j], back[j] = long, np.where(code > 120, code - 120, np.maximum(1, _DX[near_] + _DY[near_] * wide_[j]))
+                    if (back[j] > step).any() or (step + long > total[j]).any():
                         raise ValueError("back-reference outside the image")
-        j = np.flatnonzero(left)
+                pos[i] = p
+        j = np.flatnonzero(busy)
         if len(j):
             value[j] = pixels[at[j] - back[j]]
             left[j] -= 1
-        pixels[at] = value
+        pixels[at[:n]] = value
         if len(with_cache):
+            if n <= with_cache[-1]:
+                k = np.searchsorted(with_cache, n)
+                with_cache, from_cache, down = with_cache[:k], from_cache[:k], down[:k]
             v = value[with_cache]
-            cache[cache_at[with_cache] + (v * np.uint32(CACHE_FACTOR) >> (32 - bits[with_cache]).astype(np.uint32))] = v
-        at = at + 1
-        step += 1
-        live = at < goal
-        if step % 32 == 0 or not live.all():  # a broken image runs into the slack at most, until its end shows it
-            if (pos > last).any():
-                raise ValueError("image data ends too early")
-            if not live.all():
-                finish[lane[~live]] = pos[~live]
-                lane, pos, last, at, home, goal, wide_, row, left, back, first_group, map_at, shift, across, many, bits, cache_at = (
-                    x[live] for x in (lane, pos, last, at, home, goal, wide_, row, left, back, first_group, map_at, shift, across, many, bits, cache_at)
-                )
-                with_cache, several = np.flatnonzero(bits > 0), bool(many.any())
-    begin = np.cumsum(total) - total
-    return [(pixels[a : a + t], int(p - 8 * base[id(x[0])])) for a, t, p, x in zip(begin, total, finish, asked)]
+            cache[from_cache + (v * np.uint32(CACHE_FACTOR) >> down)] = v
+        at[:n] += 1
+        if step % 32 == 31 and (pos > end).any():  # a broken image runs into the slack at most, until its end shows it
+            raise ValueError("image data ends too early")
+    if (pos > end).any():
+        raise ValueError("image data ends too early")
+    out: list = [None] * len(asked)
+    for k, a, t, p in zip(ranks.tolist(), home.tolist(), total.tolist(), (pos - begin).tolist()):
+        out[k] = pixels[a : a + t], p
+    return out
 
 
 def _channels(argb: np.ndarray, high: int, wide: int) -> np.ndarray:
@@ -436,8 +493,10 @@ def decode_all(files_: list[bytes]) -> list[np.ndarray]:
         go_on(k, _parsed(f), None)
     while waiting:
         now, waiting = waiting, []
-        for (k, parser, _), answer in zip(now, _in_step([x[2] for x in now])):
-            go_on(k, parser, answer)
+        for read in (_read_codes, _in_step):
+            own = [x for x in now if x[2][0] is read]
+            for (k, parser, _), answer in zip(own, read([x[2][1:] for x in own]) if own else ()):
+                go_on(k, parser, answer)
     return _undone(out)
 
 
@@ -476,40 +535,56 @@ class Writer:
         return out.astype("<u4").tobytes()[: -(-int(ends[-1]) // 8)]
 
 
+def _depths(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Depth of each symbol in the tree of each row's counts, in step with each other. n: symbols of each row, two or more, the most first."""
+    rows, most, far = len(n), int(n[0]), 1 << 60
+    row, symbol = np.nonzero(counts)
+    key = np.sort(row << 40 | counts[row, symbol] << 12 | symbol)  # an image has at most 1 << 28 pixels
+    row, symbol = key >> 40, key & 0xFFF
+    leaf = (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * rows + row
+    # Two queues: leaves by count, and nodes in the order made, which is by count as well.
+    nodes = (most + 1) * rows
+    weight, parent = np.full((2 * most + 1) * rows, far + 1), np.zeros((2 * most + 1) * rows, np.int64)
+    weight[:nodes] = far  # of leaves that a row lacks
+    weight[leaf] = key >> 12 & ((1 << 28) - 1)
+    lane = np.arange(rows)
+    one, other, busy = lane.copy(), lane + nodes, np.searchsorted(-n, -np.arange(1, most + 1)).tolist()  # rows that make a node yet
+    for made in range(most - 1):
+        k, sums = busy[made], 0
+        one, other, begin = one[:k], other[:k], nodes + made * rows
+        for _ in range(2):
+            a, b = weight[one], weight[other]
+            first = a <= b
+            parent[np.where(first, one, other)] = begin + lane[:k]
+            sums = sums + np.minimum(a, b)
+            ahead = first * rows
+            one = one + ahead
+            other = other + (rows - ahead)
+        weight[begin : begin + k] = sums
+    depth = np.zeros(len(parent), np.int64)
+    for made in range(most - 3, -1, -1):  # roots stay 0
+        k, begin = busy[made + 1], nodes + made * rows
+        depth[begin : begin + k] = depth[parent[begin : begin + k]] + 1
+    out = np.zeros(counts.shape, np.int64)
+    out[row, symbol] = depth[parent[leaf]] + 1
+    return out
+
+
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of a prefix code for symbols with counts, none above most."""
-    out, counts = np.zeros(len(counts), np.int64), counts.astype(np.int64)
-    used = np.flatnonzero(counts)
-    if len(used) < 2:
-        out[used] = 1
-        return out
-    while True:
-        # Two queues: leaves by count, and nodes in the order made, which is by count as well.
-        order = used[np.argsort(counts[used], kind="stable")]
-        leaves, n = counts[order].tolist(), len(order)
-        weight, parent = leaves + [0] * (n - 1), [0] * (2 * n - 1)
-        leaf, node = 0, n
-        for made in range(n, 2 * n - 1):
-            for _ in range(2):
-                if node >= made or (leaf < n and weight[leaf] <= weight[node]):
-                    k, leaf = leaf, leaf + 1
-                else:
-                    k, node = node, node + 1
-                parent[k] = made
-                weight[made] += weight[k]
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        out[order] = depth[:n]
-        if out.max() <= most:
-            return out
-        counts[used] = (counts[used] + 1) // 2
-
-
-def _length_tokens(lengths: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each code's lengths the symbols (lengths, and runs by 16 to 18), their extra bits and the number of these."""
-    flat, sizes = np.concatenate(lengths), np.array(list(map(len, lengths)))
-    code = np.repeat(np.arange(len(sizes)), sizes)
+    """Lengths of a prefix code for the symbols with counts in each row, none above most."""
+    counts = counts.astype(np.int64)
+    out, n = np.minimum(counts, 1), np.count_nonzero(counts, 1)
+    rows = np.flatnonzero(n > 1)
+    rows = rows[np.argsort(-n[rows], kind="stable")]
+    while len(rows):
+        out[rows] = _depths(counts[rows], n[rows])
+        rows = rows[out[rows].max(1) > most]
+        counts[rows] = (counts[rows] + 1) // 2
+    return out
+
+
+def _length_tokens(flat: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of codes' lengths (code: which one's) the symbols (lengths, and runs by 16 to 18), their extra bits, the number of these and which code's they are."""
     first = np.flatnonzero((np.diff(flat, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
     v, n, code = flat[first], np.diff(np.r_[first, len(flat)]), code[first]
     rest, most = n - (v > 0), np.where(v > 0, 6, 138)  # a length itself, then repeats of it; zeros from the first
@@ -523,32 +598,39 @@ def _length_tokens(lengths: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarr
     symbol = np.where(repeats, np.where(value > 0, 16, np.where(size > 10, 18, 17)), value)
     extra = np.where(repeats, size - np.where(symbol == 18, 11, 3), 0)
     bits = np.where(repeats, np.select([symbol == 16, symbol == 17], [2, 3], 7), 0)
-    cut = np.searchsorted(code[run], np.arange(1, len(sizes)))
-    return list(zip(*(np.split(x, cut) for x in (symbol, extra, bits))))
-
-
-def write_lengths(w: Writer, lengths: np.ndarray, tokens: tuple | None = None):
-    """Lengths of a code: one or two symbols below 256 as a simple code, else run by run (tokens) under a code of their own."""
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
-        used = used if len(used) else np.array([0])
-        w.put(1, 1)
-        w.put(len(used) - 1, 1)
-        w.put(1, 1)
-        for s in used:
-            w.put(int(s), 8)
-        return
-    symbols, extra, wide = tokens or _length_tokens([lengths])[0]
-    own = code_lengths(np.bincount(symbols, minlength=19), 7)
-    each = own.tolist()
-    many = max([4, *(k + 1 for k, s in enumerate(LENGTH_ORDER) if each[s])])
-    w.put(0, 1)
-    w.put(many - 4, 4)
-    for s in LENGTH_ORDER[:many]:
-        w.put(each[s], 3)
-    w.put(0, 1)
-    codes, sizes = canonical(own), own * (np.count_nonzero(own) > 1)
-    w.put_all(np.stack([codes[symbols], extra], 1).ravel(), np.stack([sizes[symbols], wide], 1).ravel())
+    return symbol, extra, bits, code[run]
+
+
+def _length_fields(lengths: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values and sizes of the fields that write each row's lengths (of as many symbols as alphabet says), and the number of each row's: one or two symbols below 256 as a simple code, else run by run under a code of their own."""
+    used, there = np.count_nonzero(lengths, 1), lengths > 0
+    simple = (used <= 2) & ~there[:, 256:].any(1)
+    some, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
+    inside = np.arange(lengths.shape[1]) < alphabet[rest, None]
+    symbols, extra, wide, code = _length_tokens(lengths[rest][inside], np.repeat(np.arange(len(rest)), alphabet[rest]))
+    own = code_lengths(_counts(code, symbols, len(rest), 19), 7)
+    tokens, count = np.bincount(code, minlength=len(rest)), np.full(len(lengths), 5)
+    count[rest] = 22 + 2 * tokens
+    begin = np.cumsum(count) - count
+    values, sizes = np.zeros((2, int(count.sum())), np.int64)
+    at = begin[some, None] + np.arange(5)
+    first, last = there[some].argmax(1), there.shape[1] - 1 - there[some, ::-1].argmax(1)
+    values[at] = np.stack([np.ones_like(some), used[some] == 2, np.ones_like(some), first, last], 1)
+    sizes[at] = np.stack([np.ones_like(some)] * 3 + [np.full_like(some, 8), np.where(used[some] == 2, 8, 0)], 1)
+    ordered = own[:, LENGTH_ORDER]
+    many = np.maximum(4, 19 - (ordered[:, ::-1] > 0).argmax(1))
+    at = begin[rest, None] + np.arange(22)
+    values[at[:, 1]], values[at[:, 2:21]] = many - 4, ordered
+    sizes[at[:, [0, 21]]], sizes[at[:, 1]], sizes[at[:, 2:21]] = 1, 4, 3 * (np.arange(19) < many[:, None])
+    at = begin[rest][code] + 22 + 2 * (np.arange(len(code)) - (np.cumsum(tokens) - tokens)[code])
+    codes, long = canonical(own), own * (np.count_nonzero(own, 1) > 1)[:, None]
+    values[at], values[at + 1] = codes[code, symbols], extra
+    sizes[at], sizes[at + 1] = long[code, symbols], wide
+    return values, sizes, count
+
+
+def write_lengths(w: Writer, lengths: np.ndarray):
+    w.put_all(*_length_fields(lengths[None], np.array([len(lengths)]))[:2])
 
 
 def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -628,12 +710,13 @@ def _counts(which: np.ndarray, symbols: np.ndarray, images: int, alphabet: int)
 def _channel_counts(which: np.ndarray, px: np.ndarray, images: int) -> np.ndarray:
     """How often each image has each value of alpha, red, green, blue."""
     px = px.reshape(-1, 4)
+    key = (which * 1024).astype(np.int32)[:, None] + px
     if len(px) and (px[:, 0] == px[0, 0]).all():  # as where all is opaque
-        out = np.zeros((images, 1024), np.int64)
+        key = key[:, 1:] + _FIRST[1:].astype(np.int32)
+        out = np.bincount(key.ravel(), minlength=images * 1024).reshape(images, 1024)
         out[:, px[0, 0]] = np.bincount(which, minlength=images)
-        out[:, 256:] = _counts(np.repeat(which, 3), (px[:, 1:] + _FIRST[:3]).ravel(), images, 768)
         return out
-    return _counts(np.repeat(which, 4), (px + _FIRST).ravel(), images, 1024)
+    return np.bincount((key + _FIRST).ravel(), minlength=images * 1024).reshape(images, 1024)
 
 
 def _plans(images: list[np.ndarray], caches: tuple, copies: bool) -> list:
@@ -673,15 +756,18 @@ def _plans(images: list[np.ndarray], caches: tuple, copies: bool) -> list:
         options.append((_bits_of(counts, first), bits, slot, hit, counts, first))
     best = np.argmin([x[0] for x in options], 0)
     slot, hit = (np.choose(best[own], [x[k] for x in options]) for k in (2, 3))
-    lengths = [[code_lengths(c, 15) for c in np.split(options[b][4][k], options[b][5][1:])] for k, b in enumerate(best)]
-    wanted = [(k, j) for k, xs in enumerate(lengths) for j, x in enumerate(xs) if np.count_nonzero(x) > 2 or x[256:].any()]
-    runs = dict(zip(wanted, _length_tokens([lengths[k][j] for k, j in wanted]))) if wanted else {}
-    alphabet = max(len(xs[0]) for xs in lengths)
-    codes = np.zeros((m, 5, alphabet), np.int64)  # a code and, from bit 32, its length
-    for k, xs in enumerate(lengths):
-        for j, x in enumerate(xs):
-            if np.count_nonzero(x) > 1:
-                codes[k, j, : len(x)] = canonical(x) | x << 32
+    alphabet = np.tile([280, 256, 256, 256, 40], (m, 1))
+    alphabet[:, 0] += [1 << caches[b] if caches[b] else 0 for b in best]
+    every = np.zeros((m, 5, int(alphabet.max())), np.int64)
+    for b in np.unique(best):
+        for j, x in enumerate(np.split(options[b][4], options[b][5][1:], 1)):
+            every[best == b, j, : x.shape[1]] = x[best == b]
+    alphabet, every = alphabet.ravel(), every.reshape(5 * m, -1)
+    lengths = code_lengths(every, 15)
+    heads, head_sizes, count_ = _length_fields(lengths, alphabet)
+    head_cut = np.r_[0, np.cumsum(count_)][::5]
+    codes = np.where(np.count_nonzero(lengths, 1)[:, None] > 1, canonical(lengths) | lengths << 32, 0)  # a code and, from bit 32, its length
+    alphabet = codes.shape[1]
     codes, own_codes = codes.ravel(), own * (5 * alphabet)
     fields = np.zeros((len(tokens), 4), np.int64)
     green = colour[:, 2].copy()
@@ -694,8 +780,9 @@ def _plans(images: list[np.ndarray], caches: tuple, copies: bool) -> list:
     fields[copy, 1] = extra_l | n_l << 32
     fields[copy, 2] = codes.take(own_codes[copy] + 4 * alphabet + dist)
     fields[copy, 3] = extra_d | n_d << 32
+    there = fields >> 32 > 0
+    fields, cut = fields[there], np.r_[0, np.cumsum(there.sum(1))][np.searchsorted(own, np.arange(m + 1))]
     values, sizes_ = fields & 0xFFFFFFFF, fields >> 32
-    cut = np.searchsorted(own, np.arange(m + 1))
 
     def putter(k):
         def put(w: Writer, top: bool):
@@ -705,9 +792,8 @@ def _plans(images: list[np.ndarray], caches: tuple, copies: bool) -> list:
                 w.put(bits, 4)
             if top:
                 w.put(0, 1)  # one group of codes
-            for j, x in enumerate(lengths[k]):
-                write_lengths(w, x, runs.get((k, j)))
-            w.put_all(values[cut[k] : cut[k + 1]].ravel(), sizes_[cut[k] : cut[k + 1]].ravel())
+            w.put_all(heads[head_cut[k] : head_cut[k + 1]], head_sizes[head_cut[k] : head_cut[k + 1]])
+            w.put_all(values[cut[k] : cut[k + 1]], sizes_[cut[k] : cut[k + 1]])
 
         return put
 
@@ -816,20 +902,27 @@ def _transformed(px: np.ndarray, kinds: tuple, side: dict, bits: int):
     return px, notes
 
 
+def _all_written(parts: list, caches: tuple, copies: bool, bits: int) -> list[bytes]:
+    """For each shape, pixels that transforms left and notes of these a file; the side images of all are planned together."""
+    sides = [data for _, _, notes in parts for _, data in notes if data is not None]
+    put = iter(_plans(sides, (0,), True) if sides else ())
+    return [_written(plan, shape, [(kind, data, None if data is None else next(put)) for kind, data in notes], bits) for plan, (shape, _, notes) in zip(_plans([x[1] for x in parts], caches, copies), parts)]
+
+
 def _written(plan, shape: tuple, notes: list, bits: int) -> bytes:
     """A file of what transforms noted left, which plan puts."""
     w = Writer()
     for v, n in ((0x2F, 8), (shape[1] - 1, 14), (shape[0] - 1, 14), (1, 1), (0, 3)):
         w.put(v, n)
-    for kind, data in notes:
+    for kind, data, side in notes:
         w.put(1, 1)
         w.put(kind, 2)
         if kind in (PREDICTOR, CROSS):
             w.put(bits - 2, 3)
         elif kind == PALETTE:
             w.put(data.shape[1] - 1, 8)
-        if data is not None:
-            _put_image(w, data, False)
+        if side:
+            side(w, False)
     w.put(0, 1)
     plan(w, True)
     return _file(w.data())
@@ -843,7 +936,7 @@ def encode(px: np.ndarray, transforms: tuple = (), caches: tuple = (0,), copies:
     got = _transformed(px.astype(np.int64), transforms, side or BEST, bits)
     if got is None:
         raise ValueError("too many colours for a palette")
-    return _written(_plans([got[0]], caches, copies)[0], px.shape, got[1], bits)
+    return _all_written([(px.shape, *got)], caches, copies, bits)[0]
 
 
 KINDS = ((), (SUBTRACT,), (PREDICTOR,), (CROSS,), (PALETTE,))
@@ -854,10 +947,10 @@ def estimates(images: list[np.ndarray]) -> np.ndarray:
     m, tall = len(images), np.array([len(x) for x in images])
     px, first, image = np.concatenate(images).astype(np.int16), np.cumsum(tall) - tall, np.repeat(np.arange(len(images)), tall)
     rows, wide, _ = px.shape
-    blocks, block = np.arange(0, wide, 1 << BLOCK_BITS), np.arange(wide) >> BLOCK_BITS
+    blocks, block, which = np.arange(0, wide, 1 << BLOCK_BITS), np.arange(wide) >> BLOCK_BITS, np.repeat(image, wide)
 
     def bits(left, *notes):
-        cost = _bits_of(_channel_counts(np.repeat(image, wide), left.reshape(-1, 4).astype(np.int64), m), _FIRST)
+        cost = _bits_of(_channel_counts(which, left, m), _FIRST)
         for x in notes:
             cost = cost + _bits_of(_channel_counts(np.repeat(np.arange(m), x.shape[1]), x.reshape(-1, 4), m), _FIRST)
         return cost
@@ -923,8 +1016,7 @@ def smallest_all(images: list[np.ndarray]) -> list[bytes]:
             got = _transformed(x.astype(np.int64), KINDS[k], BEST, BLOCK_BITS)
             if got is not None:
                 todo.append((i, x.shape, *got))
-    for (i, shape, _, notes), plan in zip(todo, _plans([x[2] for x in todo], CACHES, True)):
-        file = _written(plan, shape, notes, BLOCK_BITS)
+    for (i, *_), file in zip(todo, _all_written([x[1:] for x in todo], CACHES, True, BLOCK_BITS)):
         if out[i] is None or len(file) < len(out[i]):
             out[i] = file
     return out
@@ -986,7 +1078,7 @@ def feature(payload: bytes) -> str:
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 #: Bytes of payload that a worker holds before it decodes them.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 
 
 def keep_texts(docs: DataFrame, media: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import heapq
 import re
 import zlib
 
@@ -313,6 +314,39 @@ def test_webp_reads_files_of_others():
     assert px.shape == (4, 8, 4) and (px[:, :4] == [255, 20, 10, 30]).all() and (px[:, 4:] == [4, 2, 1, 3]).all()
 
 
+def test_webp_makes_and_reads_many_codes_in_step():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 40, (60, 300)) * (rng.random((60, 300)) < rng.random((60, 1))) ** 2
+    counts[0], counts[1], counts[2, 5:] = 0, np.eye(300, dtype=int)[7], 0
+    counts[3, :30] = [1 << min(k, 25) for k in range(30)]  # deeper than 15 bits
+    got = webp.code_lengths(counts, 15)
+    assert ((got > 0) == (counts > 0)).all() and got.max() == 15
+    for k, (c, n) in enumerate(zip(counts, got)):
+        heap = sorted(c[c > 0].tolist())
+        if len(heap) < 2:
+            assert n.sum() == len(heap)
+            continue
+        assert (2.0 ** -n[n > 0]).sum() == 1
+        cost = 0
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += both
+            heapq.heappush(heap, both)
+        assert k == 3 or (c * n).sum() == cost
+    codes = webp.canonical(got)
+    for n, code, (table, bits) in zip(got[3:], codes[3:], webp._lookups(got[3:])):  # each code's bits find it, whatever follows
+        for s in np.flatnonzero(n):
+            assert bits == 0 or (table[np.arange(code[s], 1 << bits, 1 << n[s])] == s << 4 | n[s]).all()
+    with pytest.raises(ValueError):
+        webp._lookups(np.array([[1, 2, 0]]))
+    px = np.concatenate([np.full((16, 192, 1), 255), rng.integers(0, 90, (16, 192, 3))], 2)
+    file = webp.encode(px, (), (8,))
+    for size in (25, 60, 200, 900, len(file) - 4):
+        broken = webp._file(webp.chunk(file)[: size - 20])
+        with pytest.raises(ValueError):
+            webp.decode_all([file, broken])
+
+
 def test_webp_picks_the_smallest():
     y, x = np.mgrid[:16, :192]
     rng = np.random.default_rng(0)
